@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,9 +26,10 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], share: float = HEAVY_SHARE, f
     Only that bounded list is gathered. Rows with a null key are left out.
     """
     spark = df.sparkSession
-    counts = df.select(*keys).dropna().sample(False, fraction, seed).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    totals = counts.agg(F.sum("_n").alias("_all"))
-    found = counts.crossJoin(F.broadcast(totals)).filter(F.col("_n") >= share * F.col("_all")).select(*keys).collect()  # totals is one row
+    seen = Observation()
+    counts = df.select(*keys).dropna().sample(False, fraction, seed).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).observe(seen, F.sum("_n").alias("all"))
+    top = counts.orderBy(F.desc("_n"), *keys).limit(max(1, int(1 / share))).collect()
+    found = [r[:-1] for r in top if r["_n"] >= share * seen.get["all"]]
     schema = df.select(*keys).schema
     for f in schema.fields:
         f.nullable = True
