@@ -3,9 +3,9 @@
 A text is tokenized once. Cuts lie at ends of words, before the blanks that
 follow; there the tokens on both sides are the same as in the whole text, so
 the size of any piece is a difference of token numbers. Cuts have levels: section,
-paragraph, sentence, word. A part that is too large is divided at the coarsest
-level that has cuts in it, and so on down; a single word that is too large is
-divided between characters. The resulting units are packed greedily, each piece
+paragraph, sentence, word, part of a long word. A part that is too large is divided at the coarsest
+level that has cuts in it, and so on down; a long word is divided where letters,
+digits and signs meet, and at last between characters. The resulting units are packed greedily, each piece
 starting with the last words of the piece before it.
 """
 
@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from partwise.llm.tokens import VOCABULARY, byte_lengths, encoding
 
-SECTION, PARAGRAPH, SENTENCE, WORD = range(4)
+SECTION, PARAGRAPH, SENTENCE, WORD, PART = range(5)
 #: Words before whose full stop no sentence ends. Fixed values.
-ABBREVIATIONS = {"e.g.", "i.e.", "cf.", "approx.", "ca.", "vs.", "etc.", "fig.", "figs.", "tab.", "eq.", "no.", "nr.", "n.b.", "al.", "dr.", "prof.", "mr.", "mrs.", "st.", "z.b.", "d.h.", "bzw.", "u.a.", "vgl.", "abb.", "p.ej.", "p.", "pp.", "vol.", "ref.", "refs.", "resp."}
+ABBREVIATIONS = {w.encode() for w in ("e.g.", "i.e.", "cf.", "approx.", "ca.", "vs.", "etc.", "fig.", "figs.", "tab.", "eq.", "no.", "nr.", "n.b.", "al.", "dr.", "prof.", "mr.", "mrs.", "st.", "z.b.", "d.h.", "bzw.", "u.a.", "vgl.", "abb.", "p.ej.", "p.", "pp.", "vol.", "ref.", "refs.", "resp.")}
 #: An overlap that would grow by more tokens than this to reach a cut starts inside the word instead.
 WIDEN = 16
 
@@ -37,6 +37,9 @@ def _among(chars: bytes) -> np.ndarray:
 #: Which bytes end a sentence, may follow its end, end a line that stands alone, begin a line of a list, table or heading, are lower case.
 _STOPS, _CLOSERS, _LINE_ENDS, _MARKS, _LOWER = map(_among, (b".!?", b")]\"'*_`", b".!?:;|", b"-*|#>+0123456789", bytes(range(97, 123))))
 _BLANK = _among(bytes([32, *range(9, 14), *range(28, 32)]))
+#: Letters 1, digits 2, signs 3 and 0 for bytes next to which a long word isn't cut. No token of the vocabulary's pattern spans two kinds, but for apostrophes.
+_KIND = np.array([0 if c >= 128 or c == 39 or _BLANK[c] else 1 if chr(c).isalpha() else 2 if chr(c).isdigit() else 3 for c in range(256)], np.int8)
+LONG_WORD = 32
 _WIDE_STOPS, _WIDE_COMMAS = ("。", "！", "？", "；"), ("，", "、", "：")
 
 
@@ -61,19 +64,22 @@ def cuts(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int8)
     blank = _blank(data, raw)
     turn = np.flatnonzero(blank[:-1] != blank[1:]) + 1
+    head = 0
     if blank[0]:
-        turn = turn[1:]
+        head, turn = (int(turn[0]) if len(turn) else len(data)), turn[1:]
     turn = turn[: len(turn) // 2 * 2]  # blanks at the end have no word after them
     end, begin = turn[::2], turn[1::2]
+    first = np.concatenate([[head], begin])  # where each word begins; the last one ends the text
+    parts = _parts(data, first, np.append(end, len(data)))
+    first = first[:-1]
     lines = np.flatnonzero(data == 10)
     n = np.searchsorted(lines, begin) - np.searchsorted(lines, end)
     last, prior, ahead = data[end - 1], data[np.maximum(end - 2, 0)], data[begin]
     stop = (_STOPS[last] | (_CLOSERS[last] & _STOPS[prior])) & ~_LOWER[ahead]
     wide = last >= 0x80
-    for i in np.flatnonzero(stop & (last == 46)):
-        at = raw.rfind(b" ", max(0, end[i] - 12), end[i])
-        word = raw[at + 1 if at >= 0 else max(0, end[i] - 12) : end[i]].split()[-1].lstrip(b"([\"'").lower()
-        if word.decode("utf-8", "ignore") in ABBREVIATIONS or (len(word) == 2 and word[:1].isalpha()):
+    for i in np.flatnonzero(stop & (last == 46) & (end - first <= 10)):
+        word = raw[first[i] : end[i]].lstrip(b"([\"'").lower()
+        if word in ABBREVIATIONS or (len(word) == 2 and word.isascii() and word[:1].isalpha()):
             stop[i] = False
     if wide.any():
         for i in np.flatnonzero(wide):
@@ -83,33 +89,42 @@ def cuts(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     level[stop | ((n > 0) & (_LINE_ENDS[last] | _MARKS[ahead]))] = SENTENCE
     level[n > 1] = PARAGRAPH
     level[(n > 0) & (ahead == 35)] = SECTION
+    more, rank = [parts], [np.full(len(parts), PART)]
     if not raw.isascii():
-        more, rank = [], []
         for marks, of in ((_WIDE_STOPS, SENTENCE), (_WIDE_COMMAS, WORD)):
             for code in (m.encode() for m in marks):
                 at = raw.find(code)
                 while at >= 0:
                     p = at + len(code)
                     if p < len(raw) and (0xE4 <= data[p] <= 0xE9 or 65 <= data[p] <= 90 or 97 <= data[p] <= 122 or 48 <= data[p] <= 57):
-                        more.append(p)
-                        rank.append(of)
+                        more.append([p])
+                        rank.append([of])
                     at = raw.find(code, p)
-        if more:
-            end, level = np.concatenate([end, more]), np.concatenate([level, np.array(rank, np.int8)])
-            order = np.lexsort((level, end))
-            end, level = end[order], level[order]
-            first = np.append(True, end[1:] != end[:-1])
-            end, level = end[first], level[first]
+    if len(parts) or len(more) > 1:
+        end, level = np.concatenate([end, *more]).astype(np.int64), np.concatenate([level, *rank]).astype(np.int8)
+        order = np.lexsort((level, end))
+        end, level = end[order], level[order]
+        first = np.append(True, end[1:] != end[:-1])
+        end, level = end[first], level[first]
     return end, level
 
 
+def _parts(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Positions inside long words where the kind of character changes."""
+    out = [np.zeros(0, np.int64)]
+    for i in np.flatnonzero(end - begin > LONG_WORD):
+        k = _KIND[data[begin[i] : end[i]]]
+        out.append(begin[i] + 1 + np.flatnonzero((k[:-1] != k[1:]) & (k[:-1] > 0) & (k[1:] > 0)))
+    return np.concatenate(out)
+
+
 class Text:
     """A tokenized text with its cuts as token numbers."""
 
     def __init__(self, text: str, path: str = VOCABULARY):
         self.enc = encoding(path).encode_ordinary
         self.raw = text.encode("utf-8", "replace")
-        tokens = encoding(path).encode_to_numpy(text, disallowed_special=())
+        tokens = np.array(self.enc(text), np.int64)
         self.n = len(tokens)
         self.at = np.zeros(self.n + 1, np.int64)  # byte where each token starts
         np.cumsum(byte_lengths(path)[tokens], out=self.at[1:])
@@ -119,7 +134,7 @@ class Text:
         if not fits.all():
             token, level = token[fits], level[fits]
         self.all = token.tolist()
-        self.levels = [token[level == k].tolist() for k in range(3)] + [self.all]
+        self.levels = [token[level == k].tolist() for k in range(3)] + [token[level <= WORD].tolist(), self.all]
         self.inside: set[int] = set()  # token numbers inside a word at which this text was cut
 
     def count(self, a: int, b: int) -> int:
@@ -159,7 +174,7 @@ class Text:
         if b - a <= room:
             out.append(b)
             return
-        while level <= WORD:
+        while level <= PART:
             c = self.levels[level]
             lo, hi = bisect_right(c, a), bisect_left(c, b)
             level += 1
@@ -213,21 +228,19 @@ class Text:
         return out
 
 
-def _characters_of(raw: bytes, at: np.ndarray) -> np.ndarray:
-    if raw.isascii():
-        return at
-    return np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])[at]
-
-
 def cut_text(text: str | None, limits: Sequence[tuple[int, int]], path: str = VOCABULARY) -> list[int]:
-    """For each (limit, overlap) in turn its pieces as six numbers each: number of the limit, of the piece, first and end character, tokens, shared tokens."""
+    """For each (limit, overlap) in turn its pieces as eight numbers each: number of the limit, of the piece, first and end character, tokens, shared tokens, first and end byte."""
     if not text:
         return []
-    t, out = Text(text, path), []
+    t, out, ascii_only = Text(text, path), [], text.isascii()
+    if not ascii_only:  # characters before each byte
+        chars = np.concatenate([[0], np.cumsum((np.frombuffer(t.raw, np.uint8) & 0xC0) != 0x80)])
     for i, (limit, overlap) in enumerate(limits):
         p = np.array(t.pieces(limit, overlap), np.int64).reshape(-1, 4)
-        p[:, 0], p[:, 1] = _characters_of(t.raw, p[:, 0]), _characters_of(t.raw, p[:, 1])
-        out.append(np.column_stack([np.full(len(p), i), np.arange(len(p)), p]).ravel())
+        rows = np.empty((len(p), 8), np.int64)
+        rows[:, 0], rows[:, 1], rows[:, 6:], rows[:, 4:6] = i, np.arange(len(p)), p[:, :2], p[:, 2:]
+        rows[:, 2:4] = p[:, :2] if ascii_only else chars[p[:, :2]]
+        out.append(rows.ravel())
     return np.concatenate(out) if out else []
 
 
@@ -251,11 +264,15 @@ def cut_texts(documents: DataFrame, limits: Mapping[str, tuple[int, int]], path:
     def bounds(texts: pd.Series) -> pd.Series:
         return pd.Series([cut_text(t, pairs, path) for t in texts])
 
+    bounds = bounds.asNondeterministic()  # else the optimizer evaluates it once for every use of its result
+
     flat = documents.select("doc_id", "text").filter("text IS NOT NULL AND text <> ''").withColumn("b", bounds("text"))
-    row = ", ".join(f"b[6 * i + {k}] AS {c}" for k, c in enumerate("lksent"))
-    each = flat.filter("size(b) > 0").select("doc_id", "text", F.expr(f"explode(transform(sequence(0, cast(size(b) / 6 as int) - 1), i -> struct({row})))").alias("x"))
+    # The text is bound once as bytes, where a piece is found without counting characters, and left behind before the rows multiply.
+    row = ", ".join(f"b[8 * i + {k}] AS {c}" for k, c in enumerate("lksent"))
+    piece = "cast(substring(t, cast(b[8 * i + 6] + 1 as int), cast(b[8 * i + 7] - b[8 * i + 6] as int)) as string) AS p"
+    pieces = f"transform(array(cast(text as binary)), t -> transform(sequence(0, cast(size(b) / 8 as int) - 1), i -> struct({row}, {piece})))[0]"
+    each = flat.filter("size(b) > 0").select("doc_id", F.expr(pieces).alias("a")).select("doc_id", F.explode("a").alias("x"))
     return each.select(
         F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("x.l") + 1).cast("int")).alias("limit_name"), "doc_id", F.col("x.k").cast("int").alias("piece_no"),
-        F.col("x.s").alias("start_char"), F.col("x.e").alias("end_char"), F.col("x.n").alias("n_tokens"), F.col("x.t").alias("overlap_tokens"),
-        F.expr("substring(text, cast(x.s + 1 as int), cast(x.e - x.s as int))").alias("piece"),
+        F.col("x.s").alias("start_char"), F.col("x.e").alias("end_char"), F.col("x.n").alias("n_tokens"), F.col("x.t").alias("overlap_tokens"), F.col("x.p").alias("piece"),
     )
