@@ -9,34 +9,80 @@ Levenshtein. Only (hash, id) pairs are shuffled for the match, never the texts.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partwise.llm.ids import hashed, injective_seed
 from partwise.plans.lineage import Scratch
 
-#: Arithmetic of the cut, written once for both sides. L is the length of the segmented string, i the segment.
-_WIDTH = "(L div {n} + CASE WHEN i >= {n} - L % {n} THEN 1 ELSE 0 END)"
-_START = "(i * (L div {n}) + greatest(0, i - ({n} - L % {n})))"
+_BASE, _SALT = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+
+
+def segments(length: int, k: int) -> list[tuple[int, int]]:
+    """(start, width) of the k + 1 segments of a string; the last ones are a character wider where it doesn't divide evenly."""
+    q, r = divmod(length, k + 1)
+    return [(i * q + max(0, i - (k + 1 - r)), q + (i >= k + 1 - r)) for i in range(k + 1)]
+
+
+def segment_windows(length: int, k: int) -> list[tuple[int, int, int, int]]:
+    """(own length, segment, start, width) of a segmented string; one of at most k characters has a single entry for its length instead."""
+    return [(length, -1, 0, 0)] if length <= k else [(length, i, p, w) for i, (p, w) in enumerate(segments(length, k))]
+
+
+def substring_windows(length: int, k: int) -> list[tuple[int, int, int, int]]:
+    """(length L of a partner, segment, start, width) of all substrings that may be a segment of a string of length L within k edits.
+
+    Before segment i at most i edits count, after it at most k - i; a shift beyond
+    either belongs to a match of another segment.
+    """
+    out = []
+    for partner in range(max(0, length - k), length + k + 1):
+        if partner <= k:
+            out.append((partner, -1, 0, 0))
+            continue
+        d = length - partner
+        for i, (p, w) in enumerate(segments(partner, k)):
+            out += [(partner, i, x, w) for x in range(max(0, p - i, p + d - (k - i)), min(length - w, p + i, p + d + (k - i)) + 1)]
+    return out
+
+
+def _window_keys(texts: list[str], windows: list[tuple[int, int, int, int]]) -> np.ndarray:
+    """Keys of the windows (columns) of strings of one length (rows), by prefix hashes: each costs the same, whatever its width."""
+    m = len(texts[0])
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(texts), m).astype(np.uint64)
+    prefix = np.zeros((m + 1, len(texts)), np.uint64)
+    for j in range(m):
+        prefix[j + 1] = prefix[j] * np.uint64(_BASE) + codes[:, j] + np.uint64(1)
+    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(m, _BASE, np.uint64)]))
+    at = np.array(windows, np.int64)
+    start, width = at[:, 2], at[:, 3]
+    h = prefix[start + width] - prefix[start] * power[width][:, None]
+    h ^= ((at[:, 0] << 8) + at[:, 1] + 1).astype(np.uint64)[:, None] * np.uint64(_SALT)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(_BASE)
+    return (h ^ (h >> np.uint64(32))).view(np.int64).T
 
 
-def _segment_keys(k: int) -> str:
-    """SQL for the keys of a segmented string s; strings of at most k characters have one key for their length instead."""
-    n = k + 1
-    w, p = _WIDTH.format(n=n), _START.format(n=n)
-    cut = f"transform(sequence(0, {k}), i -> xxhash64(L, i, substring(s, cast({p} + 1 as int), cast({w} as int))))"
-    return f"CASE WHEN L <= {k} THEN array(xxhash64(L, -1)) ELSE {cut} END"
+def _keyed(df: DataFrame, name: str, k: int, windows: Callable[[int, int], list[tuple[int, int, int, int]]]) -> DataFrame:
+    """(name, key) for every window of every (id, s)."""
 
+    def run(batches):
+        for batch in batches:
+            by_length: dict[int, tuple[list[int], list[str]]] = {}
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids, texts = by_length.setdefault(len(text), ([], []))
+                ids.append(i)
+                texts.append(text)
+            for length, (ids, texts) in by_length.items():
+                at = windows(length, k)
+                for lo in range(0, len(ids), 1024):
+                    keys = _window_keys(texts[lo : lo + 1024], at)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids[lo : lo + 1024], np.int64), len(at))), pa.array(np.ascontiguousarray(keys).ravel())], [name, "key"])
 
-def _substring_keys(k: int) -> str:
-    """SQL for the keys of all substrings of s that may equal a segment of a string of length L within k of its own."""
-    n = k + 1
-    w, p = _WIDTH.format(n=n), _START.format(n=n)
-    lo = f"greatest(0, {p} - i, {p} + M - L - ({k} - i))"
-    hi = f"least(M - {w}, {p} + i, {p} + M - L + ({k} - i))"
-    one = f"CASE WHEN {hi} >= {lo} THEN transform(sequence({lo}, {hi}), x -> xxhash64(L, i, substring(s, cast(x + 1 as int), cast({w} as int)))) ELSE cast(array() as array<bigint>) END"
-    each = f"CASE WHEN L <= {k} THEN array(xxhash64(L, -1)) ELSE flatten(transform(sequence(0, {k}), i -> {one})) END"
-    return f"array_distinct(flatten(transform(sequence(greatest(0, M - {k}), M + {k}), L -> {each})))"
+    return df.select("id", "s").mapInArrow(run, f"{name} bigint, key bigint")
 
 
 def edit_join(cut: DataFrame, other: DataFrame, k: int = 5, scratch: Scratch | None = None) -> DataFrame:
@@ -48,9 +94,8 @@ def edit_join(cut: DataFrame, other: DataFrame, k: int = 5, scratch: Scratch | N
     """
     scratch = scratch or Scratch(cut.sparkSession, "edit")
     a, b = cut.select("id", "s").dropna(), other.select("id", "s").dropna()
-    ka = a.selectExpr("id", "s", "length(s) AS L").selectExpr("id AS cut_id", f"explode({_segment_keys(k)}) AS key")
-    kb = b.selectExpr("id", "s", "length(s) AS M").selectExpr("id AS other_id", f"explode({_substring_keys(k)}) AS key")
-    candidates = ka.join(kb, "key").select("cut_id", "other_id").distinct()
+    # The segments are a small part (k + 1 keys a string) of what they meet, so each partition's are hashed instead of sorting both sides.
+    candidates = _keyed(a, "cut_id", k, segment_windows).hint("shuffle_hash").join(_keyed(b, "other_id", k, substring_windows), "key").select("cut_id", "other_id").distinct()
     near = candidates.join(a.toDF("cut_id", "_a"), "cut_id").join(b.toDF("other_id", "_b"), "other_id")
     return near.select("cut_id", "other_id", F.levenshtein("_a", "_b", k).alias("distance")).filter("distance >= 0")
 
