@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from partwise.queries import concentration
+from partwise.queries import concentration, curation, evaluation, structure
 
-MODULES = (concentration,)
+MODULES = (concentration, curation, evaluation, structure)
 
 
 def queries() -> dict:
