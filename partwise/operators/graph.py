@@ -8,29 +8,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partwise.functions.hashing import stable_id
-from partwise.functions.sequences import masks, one_token_edit, tanimoto
+from partwise.functions.sequences import masks, one_token_edit
 from partwise.plans.lineage import Scratch
+from partwise.plans.ranking import running_totals
 
 
 def similar_sets(items: DataFrame, threshold: float, low: float = 0.0, high: float = float("inf")) -> DataFrame:
     """(a, b, similarity) with a < b for sets of Tanimoto similarity at least ``threshold`` and weight ratio w(a) / w(b) within [low, high].
 
-    ``items``: id (string), bits (array), weight. Prefix filtering: bits are ordered
+    ``items``: id (string, unique), bits (array), weight. Prefix filtering: bits are ordered
     from rare to frequent, and two sets that are similar enough share one of their
     first n - ceil(threshold n) + 1 bits, so only those are joined, and only between
     sets whose sizes allow the threshold. Sets without bits are similar to none.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be above 0 and at most 1")
-    it = items.select("id", F.array_distinct("bits").alias("bits"), F.col("weight").cast("double").alias("weight")).filter("size(bits) > 0")
-    bits = it.select("id", F.size("bits").alias("n"), F.explode("bits").alias("bit"))
-    rare = bits.groupBy("bit").agg(F.count(F.lit(1)).alias("f"))
-    ordered = bits.join(rare, "bit").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "bit"))).alias("o"))
-    first = ordered.select("id", "n", F.explode(F.slice("o", 1, F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1)).alias("p")).select("id", "n", "p.bit")
-    a, b = first.toDF("a", "na", "bit"), first.toDF("b", "nb", "bit")
+    scratch = Scratch(items.sparkSession, "similar")
+    bits = items.select("id", F.explode(F.array_distinct("bits")).alias("bit")).filter("bit IS NOT NULL")
+    # Numbers in the order of frequency: comparing and intersecting them is cheap, and a set's first ones are its rarest.
+    codes = running_totals(bits.groupBy("bit").agg(F.count(F.lit(1)).alias("f")), [], [F.asc("f"), F.asc("bit")], position="code", scratch=scratch).select("bit", F.col("code").cast("int").alias("code"))
+    sets = bits.join(codes, "bit").groupBy("id").agg(F.array_sort(F.collect_list("code")).alias("codes"))
+    sets = scratch.write(sets.join(items.select("id", F.col("weight").cast("double").alias("weight")), "id").withColumn("n", F.size("codes")))
+    first = sets.select("id", "n", F.explode(F.slice("codes", 1, F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1)).alias("code"))
+    a, b = first.toDF("a", "na", "code"), first.toDF("b", "nb", "code")
     sizes = (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9) & (F.col("a") < F.col("b"))
-    pairs = a.join(b, "bit").filter(sizes).select("a", "b").distinct()
-    full = pairs.join(it.toDF("a", "ba", "wa"), "a").join(it.toDF("b", "bb", "wb"), "b").withColumn("similarity", tanimoto("ba", "bb"))
+    pairs = a.join(b, "code").filter(sizes).select("a", "b").distinct()
+    full = pairs.join(sets.toDF("a", "ca", "wa", "na"), "a").join(sets.toDF("b", "cb", "wb", "nb"), "b").withColumn("_i", F.size(F.array_intersect("ca", "cb")))
+    full = full.withColumn("similarity", F.col("_i") / (F.col("na") + F.col("nb") - F.col("_i")))
     ratio = F.col("wa") / F.nullif("wb", F.lit(0.0))
     inside = (ratio >= low) & (ratio <= high) if (low, high) != (0.0, float("inf")) else F.lit(True)
     return full.filter((F.col("similarity") >= threshold) & inside).select("a", "b", "similarity")

@@ -17,10 +17,10 @@ from partwise.sources import files
 
 
 def graph_similar_sets(spark: SparkSession, sf: str) -> DataFrame:
-    """Molecules whose structures share most 24-character pieces, with a bound on the ratio of their lengths."""
-    c = table(spark, sf, "curated_records_public").select("molecule_id", F.trim("canonical_smiles").alias("s")).dropna().groupBy("molecule_id").agg(F.min("s").alias("s")).filter("length(s) >= 24")
-    m = c.select(F.col("molecule_id").alias("id"), F.expr("transform(sequence(1, length(s) - 23), i -> substring(s, i, 24))").alias("bits"), F.length("s").cast("double").alias("weight"))
-    return rounded(graph.similar_sets(m, 0.5, 0.8, 1.25))
+    """Users whose sets of event types by hour are similar, with a bound on the ratio of their numbers of events."""
+    bit = F.concat_ws("-", "event_type", F.hour("ts").cast("string"))
+    m = table(spark, sf, "events").groupBy(F.col("user_id").cast("string").alias("id")).agg(F.collect_set(bit).alias("bits"), F.count(F.lit(1)).cast("double").alias("weight"))
+    return rounded(graph.similar_sets(m, 0.4, 0.8, 1.25))
 
 
 def _sequences(spark: SparkSession, sf: str) -> DataFrame:
@@ -231,9 +231,6 @@ QUERIES = {
     )
 }
 
-_SHINGLES = """c AS (SELECT molecule_id AS id, min(trim(canonical_smiles)) AS s FROM curated_records_public WHERE molecule_id IS NOT NULL AND canonical_smiles IS NOT NULL GROUP BY 1 HAVING length(min(trim(canonical_smiles))) >= 24),
-g AS (SELECT DISTINCT id, substr(s, i, 24) AS g FROM (SELECT id, s, unnest(range(1, length(s) - 22)) AS i FROM c)), n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
-k AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM g x JOIN g y ON x.g = y.g AND x.id < y.id GROUP BY ALL)"""
 _SIM = """sim AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.bits, b.bits)) / (len(a.bits) + len(b.bits) - len(list_intersect(a.bits, b.bits))) AS similarity, a.w / b.w AS ratio
   FROM (SELECT id, list_distinct(tokens) AS bits, len(tokens) AS w FROM m) a JOIN (SELECT id, list_distinct(tokens) AS bits, len(tokens) AS w FROM m) b ON a.id < b.id AND len(a.bits) > 0 AND len(b.bits) > 0)"""
 _SEQ = """q AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
@@ -254,8 +251,9 @@ l AS (SELECT *, CASE event_type {_ST} END AS status FROM l0), st AS (SELECT iden
 _PLACED = "p AS (SELECT *, lag(attempt) OVER (PARTITION BY identity ORDER BY event_index) AS pa FROM l)"
 _CUST = "rec AS (SELECT c_custkey::VARCHAR AS curated_id, n_name AS sealed_block_id, n_regionkey AS f, c_mktsegment AS source, (c_custkey % 40)::VARCHAR AS analogue_component_id, c_acctbal AS value FROM customer JOIN nation ON c_nationkey = n_nationkey)"
 SQL = {
-    "graph_similar_sets": f"""WITH {_SHINGLES} SELECT a, b, round(k / (na.n + nb.n - k), 6) AS similarity FROM k JOIN n na ON na.id = a JOIN n nb ON nb.id = b JOIN c ca ON ca.id = a JOIN c cb ON cb.id = b
-WHERE k / (na.n + nb.n - k) >= 0.5 AND length(ca.s) / length(cb.s) BETWEEN 0.8 AND 1.25""",
+    "graph_similar_sets": """WITH m AS (SELECT user_id::VARCHAR AS id, list_distinct(list(event_type || '-' || hour(ts))) AS bits, count(*)::DOUBLE AS w FROM events GROUP BY 1),
+s AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.bits, b.bits)) AS k, len(a.bits) AS na, len(b.bits) AS nb, a.w / b.w AS ratio FROM m a JOIN m b ON a.id < b.id)
+SELECT a, b, round(k / (na + nb - k), 6) AS similarity FROM s WHERE k / (na + nb - k) >= 0.4 AND ratio BETWEEN 0.8 AND 1.25""",
     "graph_one_edit": f"WITH {_SEQ}, {_EDIT} SELECT a, b FROM ed",
     "graph_typed_edges": f"""WITH {_SEQ}, {_SIM}, {_EDIT}, u AS (SELECT a, b, 'ecfp4' AS t, similarity FROM sim WHERE similarity >= 0.8 UNION ALL SELECT a, b, 'exact_one_token_edit', NULL FROM ed)
 SELECT a, b, string_agg(DISTINCT t, '|' ORDER BY t) AS edge_types, round(max(similarity), 6) AS similarity FROM u GROUP BY a, b""",
