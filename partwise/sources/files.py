@@ -70,7 +70,7 @@ def write_csv(df: DataFrame, path: str, order: Sequence[Column | str], decimals:
     """
     if os.path.exists(path):
         raise FileExistsError(path)
-    shown = [F.format_string(f"%.{decimals}f", c).alias(c) if decimals is not None and isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else F.col(c).cast("string").alias(c) for c in df.columns]
+    shown = [F.when(F.col(c).isNotNull(), F.format_string(f"%.{decimals}f", c)).alias(c) if decimals is not None and isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else F.col(c).cast("string").alias(c) for c in df.columns]
     rows = df.orderBy(*order).select(*shown).collect()
     quote = lambda x: "" if x is None else '"' + x.replace('"', '""') + '"' if any(c in x for c in ',"\n\r') else x
     body = "".join(",".join(map(quote, r)) + "\n" for r in [df.columns, *rows]).encode()
