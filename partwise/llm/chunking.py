@@ -13,19 +13,22 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Mapping, Sequence
+from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partwise.llm.tokens import VOCABULARY, byte_lengths, encoding
+from partwise.llm.tokens import VOCABULARY, byte_lengths, encode
 
 SECTION, PARAGRAPH, SENTENCE, WORD, PART = range(5)
 #: Words before whose full stop no sentence ends. Fixed values.
 ABBREVIATIONS = {w.encode() for w in ("e.g.", "i.e.", "cf.", "approx.", "ca.", "vs.", "etc.", "fig.", "figs.", "tab.", "eq.", "no.", "nr.", "n.b.", "al.", "dr.", "prof.", "mr.", "mrs.", "st.", "z.b.", "d.h.", "bzw.", "u.a.", "vgl.", "abb.", "p.ej.", "p.", "pp.", "vol.", "ref.", "refs.", "resp.")}
 #: An overlap that would grow by more tokens than this to reach a cut starts inside the word instead.
 WIDEN = 16
+#: A rest that exceeds the room by no more tokens than this may still fit once encoded by itself.
+NEAR = 64
 
 
 def _among(chars: bytes) -> np.ndarray:
@@ -36,7 +39,7 @@ def _among(chars: bytes) -> np.ndarray:
 
 #: Which bytes end a sentence, may follow its end, end a line that stands alone, begin a line of a list, table or heading, are lower case.
 _STOPS, _CLOSERS, _LINE_ENDS, _MARKS, _LOWER = map(_among, (b".!?", b")]\"'*_`", b".!?:;|", b"-*|#>+0123456789", bytes(range(97, 123))))
-_BLANK = _among(bytes([32, *range(9, 14), *range(28, 32)]))
+_BLANK = _among(bytes([32, *range(9, 14)]))
 #: Letters 1, digits 2, signs 3 and 0 for bytes next to which a long word isn't cut. No token of the vocabulary's pattern spans two kinds, but for apostrophes.
 _KIND = np.array([0 if c >= 128 or c == 39 or _BLANK[c] else 1 if chr(c).isalpha() else 2 if chr(c).isdigit() else 3 for c in range(256)], np.int8)
 LONG_WORD = 32
@@ -47,7 +50,7 @@ def _blank(data: np.ndarray, raw: bytes) -> np.ndarray:
     """Bytes of blanks, those of other scripts included."""
     blank = _BLANK[data]
     if not raw.isascii():
-        for c in "\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B))):
+        for c in "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))):
             code = c.encode()
             if code in raw:
                 at = raw.find(code)
@@ -122,7 +125,7 @@ class Text:
     """A tokenized text with its cuts as token numbers."""
 
     def __init__(self, text: str, path: str = VOCABULARY):
-        self.enc = encoding(path).encode_ordinary
+        self.enc = partial(encode, path=path)
         self.raw = text.encode("utf-8", "replace")
         tokens = np.array(self.enc(text), np.int64)
         self.n = len(tokens)
@@ -156,7 +159,7 @@ class Text:
 
     def _characters(self, a: int, b: int, room: int, out: list[int]) -> None:
         while a < b:
-            if self.count(a, b) <= room:
+            if b - a <= room + NEAR and self.count(a, b) <= room:  # only a rest of about the right size is encoded
                 out.append(b)
                 return
             e = self._aligned(min(b - 1, a + room) if b - a > 1 else b, a)

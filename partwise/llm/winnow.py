@@ -35,7 +35,7 @@ ALIKE = {
 }
 _ALIKE = str.maketrans(ALIKE)
 _INLINE = re.compile(r"</?(?:a|b|i|u|s|em|strong|span|sub|sup|code|font|mark|small|tt|kbd|del|ins|q|cite|abbr)(?:\s[^<>]*)?/?>", re.I)
-_TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->", re.S)
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--[^<>]*-->")
 _LINK = re.compile(r"\]\([^()\s]*\)")
 _BREAK = re.compile(r"(?<=[^\W_])-[ \t]*\r?\n[ \t>|*#]*(?=[^\W_])")
 _UNSEEN = re.compile("[\\u0300-\\u036f\\u00ad\\u061c\\u180e\\u200b-\\u200f\\u202a-\\u202e\\u2060-\\u2064\\u2066-\\u206f\\ufe00-\\ufe0f\\ufeff]")

@@ -2,11 +2,12 @@
 
 import os
 import random
+import re
 
 import numpy as np
 import pytest
 
-from partwise.llm.tokens import VOCABULARY, encoding
+from partwise.llm.tokens import _WHITE, VOCABULARY, _by_runs, encode, encoding
 
 pytestmark = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary file")
 
@@ -209,3 +210,13 @@ def test_cut_texts(spark):
     assert cut_texts(df.limit(0), {"s": (12, 5)}).count() == 0
     with pytest.raises(ValueError):
         cut_texts(df, {"s": (5, 5)})
+
+
+def test_runs_of_blanks_encode_as_in_the_whole_text():
+    r = random.Random(8)
+    runs = re.compile(f"[{_WHITE}]{{3,}}")
+    for _ in range(200):
+        text = "".join(r.choice([" ", "  ", "\n", "\t", "\u00a0", "\u3000", "word", "x1", "'s", "!", "\x1c", "的"]) for _ in range(r.randrange(40)))
+        assert _by_runs(encoding(), text, runs) == encoding().encode_ordinary(text)
+    long = "a" + " " * 1_500_000 + "\n" + "b"
+    assert encoding().decode(encode(long)) == long
