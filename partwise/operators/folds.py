@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from partwise.functions.hashing import id_set_hash
+from partwise.functions.hashing import frame_hash, id_set_hash
+from partwise.plans.contracts import Violation, require_empty, require_finite, require_unique
 from partwise.plans.ranking import running_totals
 
 
@@ -155,3 +156,29 @@ def authoritative_records(train: DataFrame, test: DataFrame, target: str) -> Dat
 def scaffold_or_singleton(scaffold: str, record: str) -> Column:
     """A scaffold key, or one of the record's own where it is empty."""
     return F.when(F.trim(F.coalesce(F.col(scaffold), F.lit(""))) == "", F.concat(F.lit("NO_SCAFFOLD:"), record)).otherwise(F.col(scaffold))
+
+
+def role_batch(roles: DataFrame, rows: DataFrame, fold: int, basket: int, role: str, record: str = "record") -> DataFrame:
+    """The rows of one role of one contract, in the order of their ids; raises if an id is missing from ``rows`` or there twice."""
+    ids = roles.filter((F.col("outer_fold") == fold) & (F.col("inner_basket") == basket) & (F.col("role") == role)).select(record)
+    batch = rows.join(ids, record, "left_semi")
+    require_unique(batch, [record])
+    require_empty(ids.join(rows, record, "left_anti"), f"ids of {role} without rows")
+    return batch.orderBy(record)
+
+
+def weight_sidecar(weights: DataFrame, record: str, weight: str) -> DataFrame:
+    """(n_rows, weights_sha256) of usable training weights: finite, none negative, one positive at least. The hash is that of the content in any order."""
+    require_finite(weights, [weight])
+    low, high = weights.agg(F.min(weight), F.max(weight)).first()
+    if low is None or low < 0 or high <= 0:
+        raise Violation("weights must not be negative and some must be positive")
+    return frame_hash(weights.select(record, weight)).withColumnRenamed("content_hash", "weights_sha256")
+
+
+def residual_gaps(residuals: DataFrame, assigned: DataFrame, record: str = "record") -> DataFrame:
+    """(outer_fold, n_residuals, n_repeated, n_missing): whether each fold has one residual for every record outside it."""
+    n = assigned.select(record).distinct().count()
+    own = assigned.groupBy(F.col("fold").alias("outer_fold")).agg(F.count_distinct(record).alias("_own"))
+    per = residuals.groupBy("outer_fold", record).agg(F.count(F.lit(1)).alias("_c")).groupBy("outer_fold").agg(F.sum("_c").alias("n_residuals"), F.count_if(F.col("_c") > 1).alias("n_repeated"), F.count(F.lit(1)).alias("_d"))
+    return per.join(own, "outer_fold").select("outer_fold", "n_residuals", "n_repeated", (F.lit(n) - F.col("_own") - F.col("_d")).alias("n_missing"))

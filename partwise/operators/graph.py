@@ -89,7 +89,11 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
 
 
 def component_ids(components: DataFrame, prefix: str) -> DataFrame:
-    """(id, component_id, component_size): ids hashed from the sorted members, so they don't depend on the root chosen."""
+    """(id, component_id, component_size): ids hashed from the sorted members, so they don't depend on the root chosen.
+
+    The hash is defined over the members' text in order, so a component's ids (not its
+    rows) meet in one task here; use the root as the label where components are huge.
+    """
     named = components.groupBy("root").agg(F.array_sort(F.collect_set("id")).alias("m")).select("root", stable_id(prefix, F.array_join("m", "\x1f")).alias("component_id"), F.size("m").alias("component_size"))
     return components.join(named, "root").select("id", "component_id", "component_size")
 
@@ -115,3 +119,16 @@ def threshold_sweep(edges: DataFrame, vertices: DataFrame, thresholds: Sequence[
         row = n.withColumn("threshold", F.lit(float(t))).withColumn("n_edges", kept.agg(F.count(F.lit(1))).scalar())
         out = row if out is None else out.unionByName(row)
     return out.select("threshold", "n_edges", "n_components")
+
+
+def nearest_training(items: DataFrame, split: str, threshold: float) -> DataFrame:
+    """(id, nearest, similarity) for every held-out item: its most similar training item (ties: the smaller id), null where none reaches the threshold.
+
+    ``items``: id, bits, weight and a split column that is ``train`` for training items.
+    """
+    pairs = similar_sets(items, threshold)
+    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "similarity").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "similarity"))
+    train = items.filter(F.col(split) == "train").select(F.col("id").alias("other"))
+    best = both.join(train, "other", "left_semi").groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "other")).alias("m"))
+    held = items.filter(F.col(split) != "train").select("id")
+    return held.join(best, "id", "left").select("id", F.col("m.other").alias("nearest"), (-F.col("m.s")).alias("similarity"))

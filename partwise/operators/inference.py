@@ -74,11 +74,11 @@ def bootstrap(cube: DataFrame, arms: tuple[str, str], replicates: int, salt: str
         m = named.count()
         slots = spark.range(replicates).select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("slot"))
         drawn = slots.select("replicate", (_draw(kind, salt) % m).cast("int").alias("i")).groupBy("replicate", "i").agg(F.count(F.lit(1)).alias(f"w_{name}"))
-        return drawn.join(F.broadcast(named), "i").drop("i")
+        return drawn.join(named, "i").drop("i")
 
     wb, ws = weights("block", blocks, "block"), weights("seed", seeds, "seed")
     w = F.col("w_block") * F.col("w_seed")
-    per = wb.join(ws, "replicate").join(F.broadcast(c), ["block", "seed"]).groupBy("replicate", "arm").agg((F.sum(w * F.col("s")) / F.sum(w * F.col("n"))).alias("m"))  # c has one row per arm, seed and block
+    per = wb.join(ws, "replicate").join(c, ["block", "seed"]).groupBy("replicate", "arm").agg((F.sum(w * F.col("s")) / F.sum(w * F.col("n"))).alias("m"))
     return arm_gap(per, "m", arms, ["replicate"])
 
 

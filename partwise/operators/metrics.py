@@ -152,3 +152,14 @@ def partition_agreement(pairs: DataFrame, a: str, b: str) -> DataFrame:
 def best(df: DataFrame, group: Sequence[str], order: Sequence[Column], flag: str = "selected") -> DataFrame:
     """``df`` with a flag on the first row of each group in the given order (which must end in a unique key)."""
     return df.withColumn(flag, F.row_number().over(Window.partitionBy(*group).orderBy(*order)) == 1)
+
+
+def variant_deltas(df: DataFrame, keys: Sequence[str], variant: str, value: str, base: str, variants: Sequence[str]) -> DataFrame:
+    """One column per variant, and the difference of each to the base variant; keys that lack a variant are left out."""
+    wide = df.groupBy(*keys).agg(*[F.max(F.when(F.col(variant) == v, F.col(value))).alias(v) for v in variants]).dropna(subset=list(variants))
+    return wide.withColumns({f"{v}_minus_{base}": F.col(v) - F.col(base) for v in variants if v != base})
+
+
+def replicate_seeds(rows: DataFrame, seeds: Sequence[int]) -> DataFrame:
+    """Rows of a deterministic model once per seed."""
+    return rows.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))

@@ -87,6 +87,18 @@ def metrics_top_sources(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(c.orderBy(F.desc("worst"), "source").limit(10))
 
 
+def metrics_variant_deltas(spark: SparkSession, sf: str) -> DataFrame:
+    """Errors of return flags as variants, per ship year, against one of them."""
+    li = table(spark, sf, "lineitem").groupBy(F.year("l_shipdate").alias("fold"), F.col("l_returnflag").alias("variant")).agg(F.avg(F.abs(F.col("l_discount") - F.col("l_tax"))).alias("mae"))
+    return rounded(m.variant_deltas(li, ["fold"], "variant", "mae", "A", ["A", "N", "R"]))
+
+
+def metrics_replicated_seeds(spark: SparkSession, sf: str) -> DataFrame:
+    """A deterministic prediction counted once per seed."""
+    p = predictions(spark, sf).filter("arm = 'joint'").drop("seed")
+    return rounded(m.replicate_seeds(p, range(5)).groupBy("seed", "block").agg(F.count(F.lit(1)).alias("n"), F.avg("prediction").alias("prediction")))
+
+
 def metrics_spearman(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(inf.source_spearman(predictions(spark, sf)))
 
@@ -258,7 +270,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         metrics_estimand_ladder, metrics_source_cube, metrics_by_seed, metrics_per_source, metrics_per_block, metrics_stratified_arms, metrics_seed_stability, metrics_paired_effects, metrics_block_contributions, metrics_seed_means,
-        metrics_leave_one_out, metrics_omit_largest, metrics_concentration, metrics_partition_agreement, metrics_duplicate_slots, metrics_top_sources, metrics_spearman, metrics_risk_coverage, calibration_curve, calibration_summary,
+        metrics_leave_one_out, metrics_omit_largest, metrics_concentration, metrics_partition_agreement, metrics_duplicate_slots, metrics_top_sources, metrics_variant_deltas, metrics_replicated_seeds, metrics_spearman, metrics_risk_coverage, calibration_curve, calibration_summary,
         coverage_half_widths, coverage_overall, coverage_by_fold, coverage_sensitivity, inference_bootstrap, inference_interval, inference_cluster_robust, inference_jackknife, inference_sign_flip, inference_holm, weights_balanced,
         scaler_fit, scaler_keep, scaler_drop, selection_config, selection_family, selection_oof, selection_cost_ranks, selection_best_epoch, model_training_mean, model_ridge, model_forest, sealed_round_trip,
     )
@@ -329,6 +341,10 @@ SELECT round((both_ - pa * pb / pt) / ((pa + pb) / 2 - pa * pb / pt), 6) AS adju
 (SELECT count(*) FROM gb WHERE k > 1) AS divided_b, (SELECT max(k) FROM gb) AS most_parts_b FROM x""",
     "metrics_duplicate_slots": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
     "metrics_top_sources": f"{_W} SELECT source, round(max(source_mae), 6) AS worst, arg_max(arm, source_mae) AS worst_arm FROM cube WHERE seed = 0 GROUP BY source ORDER BY max(source_mae) DESC, source LIMIT 10",
+    "metrics_variant_deltas": f"""WITH g AS (SELECT year(l_shipdate)::INTEGER AS fold, l_returnflag AS v, avg(abs(l_discount - l_tax)) AS x FROM lineitem GROUP BY ALL),
+w AS (SELECT fold, {', '.join(f"max(x) FILTER (v = '{v}') AS {v}" for v in 'ANR')} FROM g GROUP BY fold)
+SELECT fold, round(A, 6) AS A, round(N, 6) AS N, round(R, 6) AS R, round(N - A, 6) AS N_minus_A, round(R - A, 6) AS R_minus_A FROM w WHERE A IS NOT NULL AND N IS NOT NULL AND R IS NOT NULL""",
+    "metrics_replicated_seeds": f"{_W} SELECT unnest(range(5))::INTEGER AS seed, block, n, prediction FROM (SELECT block, count(*) AS n, round(avg(prediction), 6) AS prediction FROM p WHERE arm = 'joint' GROUP BY block)",
     "metrics_spearman": f"""{_W}, k AS (SELECT arm, seed, source, rank() OVER (PARTITION BY arm, seed, source ORDER BY prediction) + (count(*) OVER (PARTITION BY arm, seed, source, prediction) - 1) / 2.0 AS rp,
 rank() OVER (PARTITION BY arm, seed, source ORDER BY observed) + (count(*) OVER (PARTITION BY arm, seed, source, observed) - 1) / 2.0 AS ro FROM p),
 s AS (SELECT arm, seed, source, count(*) AS n, corr(rp, ro) AS rho FROM k GROUP BY ALL HAVING count(*) >= 10), t AS (SELECT arm, seed, avg(rho) AS rho, count(rho) AS n FROM s GROUP BY ALL)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from partwise.queries import concentration, curation, evaluation, structure
+from partwise.queries import concentration, curation, evaluation, streams, structure
 
-MODULES = (concentration, curation, evaluation, structure)
+MODULES = (concentration, curation, evaluation, structure, streams)
 
 
 def queries() -> dict:

@@ -47,6 +47,14 @@ def _edges(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return v, e
 
 
+def graph_nearest_training(spark: SparkSession, sf: str) -> DataFrame:
+    """The most similar training user of every fifth, held-out user."""
+    bit = F.concat_ws("-", "event_type", F.hour("ts").cast("string"))
+    m = table(spark, sf, "events").groupBy("user_id").agg(F.collect_set(bit).alias("bits"), F.count(F.lit(1)).cast("double").alias("weight"))
+    m = m.select(F.col("user_id").cast("string").alias("id"), "bits", "weight", F.when(F.col("user_id") % 5 == 0, "test").otherwise("train").alias("split"))
+    return rounded(graph.nearest_training(m, "split", 0.4)).fillna({"nearest": "", "similarity": 0.0})
+
+
 def graph_components(spark: SparkSession, sf: str) -> DataFrame:
     """Components of listed molecules, with ids hashed from their members."""
     v, e = _edges(spark, sf)
@@ -140,6 +148,13 @@ def folds_singletons(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("curated_id", folds.scaffold_or_singleton("analogue_component_id", "curated_id").alias("scaffold"))
 
 
+def folds_residual_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Residual slots of every customer outside each region, less those of two customers and with some repeated."""
+    own = table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("record"), F.col("n_regionkey").alias("fold"))
+    r = own.withColumn("outer_fold", F.explode(F.array(*map(F.lit, range(5))))).filter("outer_fold <> fold AND record NOT IN (3, 4)")
+    return folds.residual_gaps(r.unionAll(r.filter("record < 100")), own)
+
+
 # Ledgers
 
 _TYPES = {"signup": "CLAIMED", "view": "HEARTBEAT", "click": "SCIENTIFIC_STARTED", "purchase": "COMPLETED", "error": "FAILED"}
@@ -225,8 +240,8 @@ def files_csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        graph_similar_sets, graph_one_edit, graph_typed_edges, graph_components, graph_threshold_sweep, graph_joint_blocks, folds_roles, folds_inner_baskets, folds_comparison, folds_ordinal_baskets, folds_matched_size,
-        folds_contract_manifest, folds_contract_proof, folds_overlap, folds_gate, folds_training_targets, folds_authoritative, folds_singletons, ledger_chain_problems, ledger_attempt_states, ledger_status, ledger_accepted,
+        graph_similar_sets, graph_one_edit, graph_typed_edges, graph_nearest_training, graph_components, graph_threshold_sweep, graph_joint_blocks, folds_roles, folds_inner_baskets, folds_comparison, folds_ordinal_baskets, folds_matched_size,
+        folds_contract_manifest, folds_contract_proof, folds_overlap, folds_gate, folds_training_targets, folds_authoritative, folds_singletons, folds_residual_gaps, ledger_chain_problems, ledger_attempt_states, ledger_status, ledger_accepted,
         ledger_runtime, ledger_ready, ledger_plan_problems, ledger_accounting, ledger_projection, files_inventory, files_csv_round_trip,
     )
 }
@@ -278,6 +293,13 @@ k AS (SELECT curated_id, row_number() OVER (ORDER BY sha256('matched|' || curate
     "folds_training_targets": f"WITH {_CUST} SELECT r_regionkey AS outer_fold, count(*) AS n, round(sum(value), 2) AS total FROM region JOIN rec ON f <> r_regionkey WHERE r_regionkey IN (SELECT f FROM rec) GROUP BY 1",
     "folds_authoritative": "SELECT c_custkey, c_mktsegment, CASE WHEN c_mktsegment = 'BUILDING' THEN -1e9 ELSE c_acctbal END AS c_acctbal FROM customer",
     "folds_singletons": "SELECT DISTINCT curated_id, CASE WHEN trim(coalesce(analogue_component_id, '')) = '' THEN 'NO_SCAFFOLD:' || curated_id ELSE analogue_component_id END AS scaffold FROM split_manifest_public",
+    "graph_nearest_training": """WITH m AS (SELECT user_id, list_distinct(list(event_type || '-' || hour(ts))) AS bits FROM events GROUP BY 1),
+s AS (SELECT a.user_id::VARCHAR AS id, b.user_id::VARCHAR AS o, len(list_intersect(a.bits, b.bits)) AS k, len(a.bits) AS na, len(b.bits) AS nb FROM m a JOIN m b ON a.user_id % 5 = 0 AND b.user_id % 5 <> 0),
+t AS (SELECT id, o, k / (na + nb - k) AS similarity FROM s WHERE k / (na + nb - k) >= 0.4 QUALIFY row_number() OVER (PARTITION BY id ORDER BY k / (na + nb - k) DESC, o) = 1)
+SELECT user_id::VARCHAR AS id, coalesce(o, '') AS nearest, round(coalesce(similarity, 0), 6) AS similarity FROM m LEFT JOIN t ON t.id = user_id::VARCHAR WHERE user_id % 5 = 0""",
+    "folds_residual_gaps": """WITH own AS (SELECT c_custkey AS record, n_regionkey AS fold FROM customer JOIN nation ON c_nationkey = n_nationkey), f AS (SELECT DISTINCT fold AS outer_fold FROM own),
+r AS (SELECT outer_fold, record FROM f JOIN own ON fold <> outer_fold WHERE record NOT IN (3, 4))
+SELECT outer_fold, count(*) + count(*) FILTER (record < 100) AS n_residuals, count(*) FILTER (record < 100) AS n_repeated, (SELECT count(*) FROM own WHERE fold <> r.outer_fold) - count(*) AS n_missing FROM r GROUP BY outer_fold""",
     "ledger_chain_problems": f"""WITH {_LEDGER}, {_PLACED} SELECT identity, event_index, 'self_hash' AS problem FROM p WHERE event_id % 97 = 0
 UNION ALL SELECT identity, event_index, 'attempt_order' FROM p WHERE NOT (attempt = coalesce(pa, 0) + 1 OR coalesce(attempt = pa, false)) UNION ALL SELECT identity, event_index, 'attempt_start' FROM p WHERE attempt = coalesce(pa, 0) + 1 AND event_type <> 'CLAIMED'""",
     "ledger_attempt_states": f"WITH {_LEDGER} SELECT * FROM st",

@@ -266,3 +266,32 @@ def test_holm(spark):
     df = spark.createDataFrame([("f", 0.01), ("f", 0.04), ("f", 0.03), ("g", 0.5)], "family string, p double")
     got = {(r.family, r.p): round(r.p_holm, 6) for r in inference.holm(df, "p", "family").collect()}
     assert got == {("f", 0.01): 0.03, ("f", 0.03): 0.06, ("f", 0.04): 0.06, ("g", 0.5): 0.5}
+
+
+def test_role_batches_and_sidecars(spark):
+    roles = spark.createDataFrame([(1, 1, "b", "fit"), (1, 1, "a", "fit"), (1, 1, "c", "test")], "outer_fold int, inner_basket int, record string, role string")
+    rows = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 0.0)], "record string, w double")
+    assert [r.record for r in folds.role_batch(roles, rows, 1, 1, "fit").collect()] == ["a", "b"]
+    with pytest.raises(Violation):
+        folds.role_batch(roles, rows.filter("record <> 'a'"), 1, 1, "fit")
+    with pytest.raises(Violation):
+        folds.role_batch(roles, rows.unionAll(rows), 1, 1, "fit")
+    a, b = folds.weight_sidecar(rows, "record", "w").first(), folds.weight_sidecar(rows.orderBy(F.desc("w")), "record", "w").first()
+    assert a == b and a.n_rows == 3
+    for bad in (rows.withColumn("w", F.lit(0.0)), rows.withColumn("w", F.lit(-1.0)), rows.withColumn("w", F.lit(float("nan"))), rows.limit(0)):
+        with pytest.raises(Violation):
+            folds.weight_sidecar(bad, "record", "w")
+
+
+def test_residual_gaps(spark):
+    own = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2)], "record string, fold int")
+    r = spark.createDataFrame([(1, "c"), (1, "c"), (2, "a")], "outer_fold int, record string")
+    assert {x.outer_fold: tuple(x)[1:] for x in folds.residual_gaps(r, own).collect()} == {1: (2, 1, 0), 2: (1, 0, 1)}
+
+
+def test_nearest_training_and_variants(spark):
+    items = spark.createDataFrame([("t1", ["x", "y"], 1.0, "train"), ("t2", ["x", "z"], 1.0, "train"), ("h1", ["x", "y"], 1.0, "test"), ("h2", ["q"], 1.0, "test"), ("h3", ["x"], 1.0, "test")], "id string, bits array<string>, weight double, split string")
+    assert {r.id: (r.nearest, r.similarity) for r in graph.nearest_training(items, "split", 0.4).collect()} == {"h1": ("t1", 1.0), "h2": (None, None), "h3": ("t1", 0.5)}
+    df = spark.createDataFrame([(1, "a", 1.0), (1, "b", 3.0), (2, "a", 1.0)], "f int, v string, x double")
+    assert [tuple(r) for r in metrics.variant_deltas(df, ["f"], "v", "x", "a", ["a", "b"]).collect()] == [(1, 1.0, 3.0, 2.0)]
+    assert metrics.replicate_seeds(df, [0, 7]).groupBy("seed").count().collect()[0]["count"] == 3
