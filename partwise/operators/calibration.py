@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from partwise.plans.quantiles import exact_quantiles
 from partwise.plans.ranking import running_totals
 
 
 def quantile_bins(df: DataFrame, scope: Sequence[str], value: str, bins: int = 10, out: str = "bin") -> DataFrame:
     """``df`` with the 1-based bin of ``value`` between exact quantiles of its scope; bins are closed on the right, the least value is in the first."""
-    edges = df.groupBy(*scope).agg(F.percentile(value, [i / bins for i in range(1, bins)]).alias("_edges"))
+    edges = exact_quantiles(df, scope, value, [i / bins for i in range(1, bins)], "_edges")
     return df.join(edges, list(scope)).withColumn(out, F.size(F.filter("_edges", lambda e: e < F.col(value))) + 1).drop("_edges")
 
 

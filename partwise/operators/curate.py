@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from partwise.functions.cleaning import clean
 from partwise.functions.hashing import stable_id
+from partwise.plans.quantiles import exact_quantiles
 
 #: Fields in which the usable rows of a group must agree.
 AGREE = ("year", "version", "topology", "sequence")
@@ -70,7 +71,9 @@ def source_audit(raw: DataFrame, records: DataFrame) -> DataFrame:
     """Per raw source its rows, censored rows and numeric endpoints, with quartiles and range of its curated endpoints where it has any."""
     a = raw.groupBy("source").agg(F.count(F.lit(1)).alias("raw_rows"), F.count_if("censored").alias("censored_rows"), F.count("endpoint").alias("numeric_rows"))
     a = a.withColumn("uncensored_rows", F.col("raw_rows") - F.col("censored_rows")).withColumn("censored_fraction", F.col("censored_rows") / F.col("raw_rows"))
-    c = records.groupBy("source").agg(F.count(F.lit(1)).alias("curated_records"), F.median("endpoint").alias("endpoint_median"), F.percentile("endpoint", 0.25).alias("endpoint_q1"), F.percentile("endpoint", 0.75).alias("endpoint_q3"), F.min("endpoint").alias("endpoint_min"), F.max("endpoint").alias("endpoint_max"))
+    c = records.groupBy("source").agg(F.count(F.lit(1)).alias("curated_records"), F.min("endpoint").alias("endpoint_min"), F.max("endpoint").alias("endpoint_max"))
+    q = exact_quantiles(records, ["source"], "endpoint", (0.25, 0.5, 0.75)).select("source", *[F.col("q")[i].alias(f"endpoint_{n}") for i, n in enumerate(("q1", "median", "q3"))])
+    c = c.join(q, "source", "left")
     return a.join(c, "source", "left").withColumn("curated_records", F.coalesce("curated_records", F.lit(0)))
 
 

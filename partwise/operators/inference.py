@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from partwise.functions.hashing import rng_seed
 from partwise.operators.metrics import arm_gap
+from partwise.plans.quantiles import average_ranks, exact_quantiles
 
 
 def student_t(p: float, df: int) -> float:
@@ -157,21 +158,15 @@ def sign_flip(contributions: DataFrame, tolerance: float = 1e-12, most: int = 26
 
 def source_spearman(rows: DataFrame, least: int = 10) -> DataFrame:
     """Per arm the rank correlation of prediction and observation within each (seed, source) of at least ``least`` rows, averaged over sources, then seeds."""
-    part = Window.partitionBy("arm", "seed", "source")
-
-    def rank(c: str):
-        ties = F.count(F.lit(1)).over(Window.partitionBy("arm", "seed", "source", c))
-        return F.rank().over(part.orderBy(c)) + (ties - 1) / 2.0
-
-    r = rows.withColumn("_rp", rank("prediction")).withColumn("_ro", rank("observed"))
+    cell = ["arm", "seed", "source"]
+    r = average_ranks(average_ranks(rows.select(*cell, "prediction", "observed"), cell, "prediction", "_rp"), cell, "observed", "_ro")
     per = r.groupBy("arm", "seed", "source").agg(F.count(F.lit(1)).alias("n"), F.corr("_rp", "_ro").alias("rho")).filter(F.col("n") >= least)
     return per.groupBy("arm", "seed").agg(F.avg("rho").alias("rho"), F.count("rho").alias("n_sources")).groupBy("arm").agg(F.avg("rho").alias("spearman"), F.max("n_sources").alias("n_sources"))
 
 
 def risk_coverage(rows: DataFrame, scope: str, confidence: str, error: str, steps: int = 10) -> DataFrame:
     """(scope, coverage, risk): the mean error of the most confident tenth, two tenths, ... of each scope, from exact confidence quantiles."""
-    q = F.percentile(confidence, [i / steps for i in range(1, steps)])
-    cuts = rows.groupBy(scope).agg(q.alias("_q"))
+    cuts = exact_quantiles(rows, [scope], confidence, [i / steps for i in range(1, steps)], "_q")
     tagged = rows.join(cuts, scope).withColumn("_step", F.lit(steps) - F.size(F.filter("_q", lambda x: x < F.col(confidence))))
     per = tagged.groupBy(scope, "_step").agg(F.sum(error).alias("s"), F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(scope).orderBy("_step").rowsBetween(Window.unboundedPreceding, 0)  # `steps` rows

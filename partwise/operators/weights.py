@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partwise.functions.cleaning import is_finite
+from partwise.plans.quantiles import exact_quantiles
 
 
 def balanced_weights(rows: DataFrame, record: str, source: str, component: str) -> DataFrame:
@@ -29,7 +30,8 @@ def fit_scaler(train: DataFrame, columns: Sequence[str], infinite_is_missing: bo
     ok = (lambda c: is_finite(c)) if infinite_is_missing else (lambda c: F.col(c).isNotNull() & ~F.isnan(c))
     x = train.select(*[F.when(ok(c), F.col(c).cast("double")).alias(c) for c in columns])
     long = x.unpivot([], list(columns), "column", "x")
-    first = long.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.median("x").alias("median"), (1 - F.count("x") / F.count(F.lit(1))).alias("missing_share"))
+    medians = exact_quantiles(long, ["column"], "x", [0.5]).select("column", F.col("q")[0].alias("median"))
+    first = long.groupBy("column").agg(F.count(F.lit(1)).alias("n"), (1 - F.count("x") / F.count(F.lit(1))).alias("missing_share")).join(medians, "column", "left")
     filled = long.join(F.broadcast(first.select("column", "median")), "column").withColumn("x", F.coalesce("x", "median"))  # one row per column
     second = filled.groupBy("column").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
     active = F.coalesce((F.col("missing_share") <= most_missing) & (F.col("sd") > 0), F.lit(False))
