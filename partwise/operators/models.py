@@ -15,13 +15,17 @@ def training_mean(train: DataFrame, test: DataFrame, scope: Sequence[str], targe
 
 
 def ridge(train: DataFrame, features: Sequence[str], target: str, alpha: float):
-    """Linear regression with an L2 penalty alpha on the sum of squares (Spark's objective is per row, hence alpha / n); no standardisation."""
+    """Linear regression with an L2 penalty alpha beside the sum of squares; no standardisation.
+
+    Spark's objective is per row and in units of the target's deviation, so its
+    parameter is alpha times that deviation over the number of rows.
+    """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
     x = VectorAssembler(inputCols=list(features), outputCol="_x").transform(train)
-    n = train.count()
-    return LinearRegression(featuresCol="_x", labelCol=target, regParam=alpha / max(1, n), elasticNetParam=0.0, standardization=False, solver="normal").fit(x)
+    n, deviation = train.agg(F.count(F.lit(1)), F.stddev_pop(target)).first()
+    return LinearRegression(featuresCol="_x", labelCol=target, regParam=alpha * (deviation or 1.0) / max(1, n), elasticNetParam=0.0, standardization=False, solver="normal").fit(x)
 
 
 def forest(train: DataFrame, features: Sequence[str], target: str, trees: int, depth: int, seed: int):

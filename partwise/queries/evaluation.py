@@ -384,6 +384,10 @@ SELECT *, row_number() OVER (PARTITION BY outer_fold, family ORDER BY source_mac
     "selection_best_epoch": """WITH e AS (SELECT user_id, event_id % 4 AS basket, hour(ts) AS epoch, round(avg(value), 2) AS loss FROM events GROUP BY ALL), b AS (SELECT user_id, basket, epoch FROM e QUALIFY row_number() OVER (PARTITION BY user_id, basket ORDER BY loss, epoch) = 1)
 SELECT user_id, CAST(ceil(median(epoch)) AS BIGINT) AS epochs, count(*) AS n_runs FROM b GROUP BY user_id""",
     "model_training_mean": f"{_W}, t AS (SELECT block, avg(observed) AS prediction FROM p WHERE arm = 'joint' AND seed <> 0 GROUP BY block) SELECT block, record_id, round(prediction, 6) AS prediction FROM (SELECT record_id, block FROM p WHERE arm = 'joint' AND seed = 0) JOIN t USING (block)",
+    "model_ridge": """WITH m AS (SELECT count(*) AS n, avg(l_quantity) AS a, avg(l_discount) AS b, avg(l_extendedprice) AS y, var_pop(l_quantity) * count(*) AS saa, var_pop(l_discount) * count(*) AS sbb,
+covar_pop(l_quantity, l_discount) * count(*) AS sab, covar_pop(l_quantity, l_extendedprice) * count(*) AS say, covar_pop(l_discount, l_extendedprice) * count(*) AS sby FROM lineitem),
+w AS (SELECT *, ((sbb + alpha) * say - sab * sby) / ((saa + alpha) * (sbb + alpha) - sab * sab) AS p, ((saa + alpha) * sby - sab * say) / ((saa + alpha) * (sbb + alpha) - sab * sab) AS q FROM m, (SELECT unnest([0.01::DOUBLE, 0.1::DOUBLE, 1.0::DOUBLE, 10.0::DOUBLE, 100.0::DOUBLE]) AS alpha))
+SELECT alpha, round(p, 3) AS b_quantity, round(q, 3) AS b_discount, round(y - p * a - q * b, 3) AS intercept FROM w""",
     "inference_jackknife": "",
     "inference_cluster_robust": "",
 }

@@ -265,6 +265,17 @@ _LEDGER = f"""l0 AS (SELECT user_id AS identity, event_id, ts AS "at", row_numbe
 l AS (SELECT *, CASE event_type {_ST} END AS status FROM l0), st AS (SELECT identity, attempt, arg_max(event_type, event_index) AS last_event, arg_max(status, event_index) AS status, arg_max("at", event_index) AS "at" FROM l GROUP BY ALL)"""
 _PLACED = "p AS (SELECT *, lag(attempt) OVER (PARTITION BY identity ORDER BY event_index) AS pa FROM l)"
 _CUST = "rec AS (SELECT c_custkey::VARCHAR AS curated_id, n_name AS sealed_block_id, n_regionkey AS f, c_mktsegment AS source, (c_custkey % 40)::VARCHAR AS analogue_component_id, c_acctbal AS value FROM customer JOIN nation ON c_nationkey = n_nationkey)"
+
+
+def _greedy_sql(groups: str, scope: str, group: str, folds: int) -> str:
+    """Recursive SQL for greedy folds of a table (scope, group, n)."""
+    zeros = "[" + ", ".join(["0"] * folds) + "]"
+    return f"""o AS (SELECT {scope}, {group}, n, row_number() OVER (PARTITION BY {scope} ORDER BY n DESC, {group}) AS k FROM {groups}),
+st AS (SELECT DISTINCT {scope}, 0::BIGINT AS k, {zeros}::BIGINT[] AS t, ''::VARCHAR AS g, 0::BIGINT AS n, 0::BIGINT AS fold FROM o
+  UNION ALL SELECT st.{scope}, o.k, list_transform(st.t, lambda v, i: CASE WHEN i = list_position(st.t, list_min(st.t)) THEN v + o.n ELSE v END), o.{group}, o.n, list_position(st.t, list_min(st.t)) FROM st JOIN o ON o.{scope} = st.{scope} AND o.k = st.k + 1),
+placed AS (SELECT {scope}, g AS {group}, n, CAST(fold AS INTEGER) AS fold FROM st WHERE k > 0)"""
+
+
 SQL = {
     "graph_similar_sets": """WITH m AS (SELECT user_id::VARCHAR AS id, list_distinct(list(event_type || '-' || hour(ts))) AS bits, count(*)::DOUBLE AS w FROM events GROUP BY 1),
 s AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.bits, b.bits)) AS k, len(a.bits) AS na, len(b.bits) AS nb, a.w / b.w AS ratio FROM m a JOIN m b ON a.id < b.id)
@@ -283,6 +294,11 @@ g AS (SELECT root, list(source ORDER BY source) AS ss FROM r GROUP BY root), c A
 SELECT l.source, component, 'BLOCK-' || substr(sha256(array_to_string(list_concat(ss, cs), chr(31))), 1, 16) AS block_id FROM l JOIN g ON g.root = l.source JOIN c ON c.root = l.source""",
     "folds_roles": f"""WITH {_CUST}, s AS (SELECT sealed_block_id, count(*) AS n_rows, count(DISTINCT source) AS n_sources, count(DISTINCT analogue_component_id) AS n_components FROM rec GROUP BY 1), n AS (SELECT *, dense_rank() OVER (ORDER BY sealed_block_id) AS k FROM s)
 SELECT t.k AS outer_fold, t.sealed_block_id AS test_block, n.sealed_block_id, CASE WHEN t.k = n.k THEN 'test' ELSE 'train' END AS role, n.n_rows, n.n_sources, n.n_components FROM n t CROSS JOIN n""",
+    "folds_inner_baskets": f"""WITH RECURSIVE {_CUST}, b AS (SELECT sealed_block_id, count(*) AS n FROM rec GROUP BY 1), i AS (SELECT sealed_block_id AS test_block, row_number() OVER (ORDER BY sealed_block_id) AS outer_fold FROM b),
+gr AS (SELECT outer_fold, sealed_block_id, n FROM i JOIN b ON sealed_block_id <> test_block), {_greedy_sql('gr', 'outer_fold', 'sealed_block_id', 4)}
+SELECT outer_fold, test_block, sealed_block_id, n AS n_rows, fold AS inner_basket FROM placed JOIN i USING (outer_fold)""",
+    "folds_comparison": f"""WITH RECURSIVE {_CUST}, gr AS (SELECT k || '' AS scope, g, count(*) AS n FROM (SELECT 'c' AS k, analogue_component_id AS g FROM rec UNION ALL SELECT 'b', sealed_block_id FROM rec) GROUP BY ALL), {_greedy_sql('gr', 'scope', 'g', 5)}
+SELECT curated_id, analogue_component_id, c.fold AS analogue_component_id_fold, sealed_block_id, b.fold AS sealed_block_id_fold FROM rec JOIN placed c ON c.scope = 'c' AND c.g = analogue_component_id JOIN placed b ON b.scope = 'b' AND b.g = sealed_block_id""",
     "folds_ordinal_baskets": f"WITH {_REGION} SELECT * FROM bk",
     "folds_matched_size": f"""WITH {_CUST}, s AS (SELECT sealed_block_id AS fold, count(*) AS n FROM rec GROUP BY 1), b AS (SELECT fold, sum(n) OVER (ORDER BY fold) - n AS lo, sum(n) OVER (ORDER BY fold) AS hi FROM s),
 k AS (SELECT curated_id, row_number() OVER (ORDER BY sha256('matched|' || curated_id), curated_id) AS p FROM rec) SELECT curated_id, fold FROM k JOIN b ON p > lo AND p <= hi""",
