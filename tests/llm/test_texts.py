@@ -41,6 +41,25 @@ def test_plan_places_every_item_once_within_capacity(seed):
     assert plan.bins <= max(-(-total // capacity) * 2, 1)
 
 
+def fewest_bins(sizes, capacity):
+    """Least number of containers, by trying every way to fill the one that holds the largest item."""
+    if not sizes:
+        return 0
+    first, *rest = sorted(sizes, reverse=True)
+    ways = {()}
+    for i, s in enumerate(rest):
+        ways |= {w + (i,) for w in ways if first + sum(rest[k] for k in w) + s <= capacity}
+    return 1 + min(fewest_bins([s for i, s in enumerate(rest) if i not in w], capacity) for w in ways)
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_plan_is_near_the_fewest_containers(seed):
+    r = random.Random(seed)
+    sizes = [r.randrange(1, 11) for _ in range(9)]
+    counts = {s: sizes.count(s) for s in sizes}
+    assert Plan(counts, 12).bins <= fewest_bins(sizes, 12) + 1
+
+
 def test_plan_uses_exact_complements():
     for counts in ({6: 3, 4: 3}, {7: 2, 2: 2, 1: 2}, {4: 5, 3: 5, 2: 5, 1: 5}, {5: 4}, {10: 2}):
         assert (bins_of(Plan(counts, 10), counts) == 10).all()
