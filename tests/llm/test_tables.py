@@ -245,3 +245,56 @@ def test_posterior_and_copying():
     counts[2, 0, 2] = counts[2, 2, 0] = 6  # mostly different
     d = copy_probability(*counts, np.full(3, 0.8))
     assert d[0, 1] > 0.99 and d[0, 2] < 0.1 and d[1, 2] == 0
+
+
+def test_fusion_equals_a_plain_loop(spark):
+    """The same estimates object by object, without patterns or Spark."""
+    from partwise.llm import fusion
+
+    r = random.Random(6)
+    rows = []
+    for g in range(120):
+        truth = r.choice("ABC")
+        for k in range(r.randrange(1, 7)):
+            good = r.random() < 0.7
+            value = truth if r.random() < (0.9 if good else 0.4) else r.choice(["B", "D", "E", "na", None])
+            at = None if r.random() < 0.1 else datetime(2024, r.randrange(1, 13), 1)
+            rows.append((f"g{g}", f"P:{g}{k}", value, r.choice(["1", "2", "-"]), at, "included" if good else "excluded", r.choice([True, False, None]), "SSCP-1" if good else None, 0, 0))
+    m, c = manifest(spark, rows)
+    prepared = prepare(m, c, ["year", "version"])
+    got = {(x.group, x.field_name): (x.value, round(x.posterior, 9)) for x in fuse(prepared, ["year", "version"], rounds=3).collect()}
+
+    counts = {}
+    for x in fusion._channels(prepared, ["year", "version"]).collect():
+        for f in ("year", "version"):
+            v = x[f]
+            if v is not None and v.strip().lower() not in ("", "na", "-"):
+                by = counts.setdefault((x.group, f), {}).setdefault(x.channel, {})
+                by[v.strip()] = by.get(v.strip(), 0) + 1
+    claims = {o: {ch: min(by, key=lambda v: (-by[v], v)) for ch, by in chs.items()} for o, chs in counts.items()}
+    accuracy, dep = np.full(N_CHANNELS, 0.8), np.zeros((N_CHANNELS, N_CHANNELS))
+
+    def judge(o):
+        values = sorted(set(claims[o].values()))
+        pattern = sorted((ch, values.index(v)) for ch, v in claims[o].items())
+        return values, pattern, posterior(pattern, accuracy, dep)
+
+    for _ in range(3):
+        n, mass, pairs = np.zeros(N_CHANNELS), np.zeros(N_CHANNELS), np.zeros((3, N_CHANNELS, N_CHANNELS))
+        for o in claims:
+            _, pattern, post = judge(o)
+            win = int(post.argmax())
+            for i, (a, v) in enumerate(pattern):
+                n[a] += 1
+                mass[a] += post[v]
+                for b, w in pattern[i + 1 :]:
+                    kind = 2 if v != w else 0 if v == win else 1
+                    pairs[kind, a, b] += 1
+                    pairs[kind, b, a] += 1
+        accuracy = np.where(n > 0, np.clip((mass + 0.8) / (n + 1), 0.01, 0.99), 0.8)
+        dep = copy_probability(*pairs, accuracy)
+    want = {}
+    for o in claims:
+        values, _, post = judge(o)
+        want[o] = (values[int(post.argmax())], round(float(post.max()), 9))
+    assert got == want
