@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from partwise.functions.hashing import rng_seed
 from partwise.operators.metrics import arm_gap
+from partwise.plans.lineage import Scratch
 from partwise.plans.quantiles import average_ranks, exact_quantiles
 
 
@@ -159,7 +160,8 @@ def sign_flip(contributions: DataFrame, tolerance: float = 1e-12, most: int = 26
 def source_spearman(rows: DataFrame, least: int = 10) -> DataFrame:
     """Per arm the rank correlation of prediction and observation within each (seed, source) of at least ``least`` rows, averaged over sources, then seeds."""
     cell = ["arm", "seed", "source"]
-    r = average_ranks(average_ranks(rows.select(*cell, "prediction", "observed"), cell, "prediction", "_rp"), cell, "observed", "_ro")
+    base = Scratch(rows.sparkSession, "spearman").write(rows.select(*cell, "prediction", "observed"))  # read five times
+    r = average_ranks(average_ranks(base, cell, "prediction", "_rp"), cell, "observed", "_ro", base)
     per = r.groupBy("arm", "seed", "source").agg(F.count(F.lit(1)).alias("n"), F.corr("_rp", "_ro").alias("rho")).filter(F.col("n") >= least)
     return per.groupBy("arm", "seed").agg(F.avg("rho").alias("rho"), F.count("rho").alias("n_sources")).groupBy("arm").agg(F.avg("rho").alias("spearman"), F.max("n_sources").alias("n_sources"))
 

@@ -37,9 +37,13 @@ def exact_quantiles(df: DataFrame, scope: Sequence[str], value: str, shares: Seq
     return each.groupBy(*scope).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "_q"))), lambda x: x["_q"]).alias(out))
 
 
-def average_ranks(df: DataFrame, scope: Sequence[str], value: str, out: str) -> DataFrame:
-    """``df`` with the average rank of each value in its scope; rows with a null value have no rank."""
-    r = _counted(df, scope, value).select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(scope)], "_v", (F.col("_c_running") - (F.col("_c") - 1) / 2.0).alias(out))
+def average_ranks(df: DataFrame, scope: Sequence[str], value: str, out: str, counted: DataFrame | None = None) -> DataFrame:
+    """``df`` with the average rank of each value in its scope; rows with a null value have no rank.
+
+    Ranks may be counted over another table with the same values, such as ``df`` before
+    costly joins.
+    """
+    r = _counted(df if counted is None else counted, scope, value).select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(scope)], "_v", (F.col("_c_running") - (F.col("_c") - 1) / 2.0).alias(out))
     same = df[value] == r["_v"]
     for i, c in enumerate(scope):
         same &= df[c].eqNullSafe(r[f"_s{i}"])
