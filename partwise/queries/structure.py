@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from partwise.functions.hashing import stable_id
+from partwise.functions.sequences import canonical_tokens, parse_tokens, tokens_text
 from partwise.functions.text import plain_id, sql_plain_id
 from partwise.operators import folds, graph, ledger
 from partwise.plans import contracts
@@ -41,6 +43,30 @@ def graph_typed_edges(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(graph.typed_edges(graph.similar_sets(sets, 0.8), graph.one_edit_pairs(m)))
 
 
+def _record_sequences(spark: SparkSession, sf: str) -> DataFrame:
+    """(curated_id, id, tokens, topology) for every curated record whose sequence parses; rotations of one ring are one sequence with one id."""
+    r = table(spark, sf, "curated_records_public").select("curated_id", F.col("topology_signature").alias("topology"), parse_tokens("canonical_sequence").alias("t")).dropna()
+    r = r.select("curated_id", canonical_tokens("t", "topology").alias("tokens"), "topology").distinct()
+    return r.withColumn("id", stable_id("SEQ", "topology", tokens_text("tokens")))
+
+
+def graph_sequence_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Which curated records have which of the sequences that the record edges join."""
+    return _record_sequences(spark, sf).select(F.col("id").alias("sequence_id"), "curated_id")
+
+
+def graph_one_edit_records(spark: SparkSession, sf: str) -> DataFrame:
+    """One-edit edges between the different whole sequences of all curated records."""
+    return graph.one_edit_pairs(_record_sequences(spark, sf).select("id", "tokens", "topology").distinct())
+
+
+def graph_typed_edges_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Both kinds of edges between the different whole sequences of all curated records."""
+    m = Scratch(spark, "sequences").write(_record_sequences(spark, sf).select("id", "tokens", "topology").distinct())
+    sets = m.select("id", F.col("tokens").alias("bits"), F.size("tokens").cast("double").alias("weight"))
+    return rounded(graph.typed_edges(graph.similar_sets(sets, 0.8, short=True), graph.one_edit_pairs(m)))
+
+
 def _edges(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, sf, "analogue_edges").select(plain_id("molecule_id_a").alias("a"), plain_id("molecule_id_b").alias("b"), F.col("ecfp4_tanimoto").alias("similarity"))
     v = table(spark, sf, "analogue_components").select(plain_id("molecule_id").alias("id")).filter("id IS NOT NULL").distinct()
@@ -240,7 +266,7 @@ def files_csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        graph_similar_sets, graph_one_edit, graph_typed_edges, graph_nearest_training, graph_components, graph_threshold_sweep, graph_joint_blocks, folds_roles, folds_inner_baskets, folds_comparison, folds_ordinal_baskets, folds_matched_size,
+        graph_similar_sets, graph_one_edit, graph_typed_edges, graph_nearest_training, graph_components, graph_threshold_sweep, graph_joint_blocks, graph_sequence_members, graph_one_edit_records, graph_typed_edges_records, folds_roles, folds_inner_baskets, folds_comparison, folds_ordinal_baskets, folds_matched_size,
         folds_contract_manifest, folds_contract_proof, folds_overlap, folds_gate, folds_training_targets, folds_authoritative, folds_singletons, folds_residual_gaps, ledger_chain_problems, ledger_attempt_states, ledger_status, ledger_accepted,
         ledger_runtime, ledger_ready, ledger_plan_problems, ledger_accounting, ledger_projection, files_inventory, files_csv_round_trip,
     )
