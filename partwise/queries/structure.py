@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from partwise.functions.hashing import stable_id
 from partwise.functions.sequences import canonical_tokens, parse_tokens, tokens_text
-from partwise.functions.text import plain_id, sql_plain_id
+from partwise.functions.text import plain_id, plain_words, sql_plain_id
 from partwise.operators import folds, graph, ledger
 from partwise.plans import contracts
 from partwise.plans.lineage import Scratch
@@ -99,6 +99,12 @@ def graph_joint_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return graph.joint_blocks(li, "source", "component")
 
 
+def graph_joint_blocks_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks of sources and components closed over all rows of the split manifest that name both."""
+    m = table(spark, sf, "split_manifest_public").select(plain_words("source").alias("source"), plain_id("analogue_component_id").alias("component"))
+    return graph.joint_blocks(m, "source", "component")
+
+
 # Folds
 
 
@@ -266,7 +272,7 @@ def files_csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        graph_similar_sets, graph_one_edit, graph_typed_edges, graph_nearest_training, graph_components, graph_threshold_sweep, graph_joint_blocks, graph_sequence_members, graph_one_edit_records, graph_typed_edges_records, folds_roles, folds_inner_baskets, folds_comparison, folds_ordinal_baskets, folds_matched_size,
+        graph_similar_sets, graph_one_edit, graph_typed_edges, graph_nearest_training, graph_components, graph_threshold_sweep, graph_joint_blocks, graph_sequence_members, graph_one_edit_records, graph_typed_edges_records, graph_joint_blocks_manifest, folds_roles, folds_inner_baskets, folds_comparison, folds_ordinal_baskets, folds_matched_size,
         folds_contract_manifest, folds_contract_proof, folds_overlap, folds_gate, folds_training_targets, folds_authoritative, folds_singletons, folds_residual_gaps, ledger_chain_problems, ledger_attempt_states, ledger_status, ledger_accepted,
         ledger_runtime, ledger_ready, ledger_plan_problems, ledger_accounting, ledger_projection, files_inventory, files_csv_round_trip,
     )

@@ -46,3 +46,29 @@ def test_short_sets_give_the_same_pairs(spark):
     for t in (0.4, 0.8):
         got = [sorted(map(tuple, graph.similar_sets(items, t, 0.5, 2.0, short=x).collect())) for x in (False, True)]
         assert got[0] and got[0] == got[1]
+
+
+def union_find(edges):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {x: find(x) for x in root}
+
+
+def test_joint_blocks_close_over_every_row(spark, tmp_path):
+    r = random.Random(2)
+    rows = [(f"S{r.randrange(60)}", f"AC-{r.randrange(80)}") for _ in range(90)]
+    dirty = [(f" {s.lower()} ", f"ac-{c[3:]} ") for s, c in rows[:20]] + [(None, "AC-1"), ("S1", None)]
+    put(spark, tmp_path, "split_manifest_public", rows + dirty, "source string, analogue_component_id string")
+    root = union_find([(("s", s.lower()), ("c", c)) for s, c in rows])
+    got = structure.graph_joint_blocks_manifest(spark, str(tmp_path)).collect()
+    assert {(x.source, x.component) for x in got} == {(s.lower(), c) for s, c in rows} and len(got) == len(set(rows))
+    pairs = {(x.block_id, root["s", x.source]) for x in got}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) > 1
