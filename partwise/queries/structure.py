@@ -93,6 +93,24 @@ def graph_threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return graph.threshold_sweep(e.join(v.withColumnRenamed("id", "a"), "a", "left_semi").join(v.withColumnRenamed("id", "b"), "b", "left_semi").dropna(subset=["a", "b"]), v, (0.70, 0.80, 0.90))
 
 
+def _linked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Vertices are the listed molecules and both ends of every edge; edges are all that have two ends."""
+    v, e = _edges(spark, sf)
+    ends = v.unionByName(e.select(F.col("a").alias("id"))).unionByName(e.select(F.col("b").alias("id")))
+    return ends.filter("id IS NOT NULL").distinct(), e.dropna(subset=["a", "b"])
+
+
+def graph_components_linked(spark: SparkSession, sf: str) -> DataFrame:
+    """Components over all edges, of listed molecules and of those that only edges name."""
+    return graph.component_ids(graph.connected_components(*_linked(spark, sf)), "AC")
+
+
+def graph_threshold_sweep_linked(spark: SparkSession, sf: str) -> DataFrame:
+    """The sweep over all edges and the same molecules."""
+    v, e = _linked(spark, sf)
+    return graph.threshold_sweep(e, v, (0.70, 0.80, 0.90))
+
+
 def graph_joint_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Blocks of suppliers and parts closed over heavily discounted full lines."""
     li = table(spark, sf, "lineitem").filter("l_quantity >= 50 AND l_discount >= 0.09").select(F.col("l_suppkey").cast("string").alias("source"), F.col("l_partkey").cast("string").alias("component"))
@@ -272,7 +290,7 @@ def files_csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        graph_similar_sets, graph_one_edit, graph_typed_edges, graph_nearest_training, graph_components, graph_threshold_sweep, graph_joint_blocks, graph_sequence_members, graph_one_edit_records, graph_typed_edges_records, graph_joint_blocks_manifest, folds_roles, folds_inner_baskets, folds_comparison, folds_ordinal_baskets, folds_matched_size,
+        graph_similar_sets, graph_one_edit, graph_typed_edges, graph_nearest_training, graph_components, graph_threshold_sweep, graph_joint_blocks, graph_sequence_members, graph_one_edit_records, graph_typed_edges_records, graph_joint_blocks_manifest, graph_components_linked, graph_threshold_sweep_linked, folds_roles, folds_inner_baskets, folds_comparison, folds_ordinal_baskets, folds_matched_size,
         folds_contract_manifest, folds_contract_proof, folds_overlap, folds_gate, folds_training_targets, folds_authoritative, folds_singletons, folds_residual_gaps, ledger_chain_problems, ledger_attempt_states, ledger_status, ledger_accepted,
         ledger_runtime, ledger_ready, ledger_plan_problems, ledger_accounting, ledger_projection, files_inventory, files_csv_round_trip,
     )

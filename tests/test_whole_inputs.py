@@ -72,3 +72,15 @@ def test_joint_blocks_close_over_every_row(spark, tmp_path):
     assert {(x.source, x.component) for x in got} == {(s.lower(), c) for s, c in rows} and len(got) == len(set(rows))
     pairs = {(x.block_id, root["s", x.source]) for x in got}
     assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) > 1
+
+
+def test_components_link_over_unlisted_molecules(spark, tmp_path):
+    edges = [("MOL-A", "MOL-X", 0.9), ("MOL-x ", "MOL-B", None), ("MOL-B", "MOL-C", 0.75), ("MOL-Y", "MOL-Z", 0.85), ("MOL-D", "MOL-D", 0.9), ("MOL-W", None, 0.9)]
+    put(spark, tmp_path, "analogue_edges", edges, "molecule_id_a string, molecule_id_b string, ecfp4_tanimoto double")
+    put(spark, tmp_path, "analogue_components", [(f"MOL-{x}",) for x in "ABCDE"] + [(None,)], "molecule_id string")
+    groups = {}
+    for r in structure.graph_components_linked(spark, str(tmp_path)).collect():
+        groups.setdefault((r.component_id, r.component_size), set()).add(r.id[-1])
+    assert sorted((n, "".join(sorted(m))) for (_, n), m in groups.items()) == [(1, "d"), (1, "e"), (1, "w"), (2, "yz"), (4, "abcx")]
+    sweep = sorted(map(tuple, structure.graph_threshold_sweep_linked(spark, str(tmp_path)).collect()))
+    assert sweep == [(0.7, 5, 5), (0.8, 4, 6), (0.9, 3, 7)]
