@@ -8,6 +8,7 @@ sums over the size multiplicities.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -18,8 +19,8 @@ from partwise.llm.ids import hashed, injective_seed
 from partwise.plans.lineage import Scratch
 from partwise.plans.ranking import running_totals
 
-#: Sums are exact up to this many records; beyond, sizes count in units of n / SUM_UNITS records (the rest goes by single records).
-SUM_UNITS = 4_000_000
+#: Sums are marked in pieces of so many, which bounds what a step holds besides the marks.
+PIECE = 1 << 22
 
 
 def hook_and_shortcut(edges: DataFrame, scratch: Scratch, jumps: int = 2, max_rounds: int = 200) -> DataFrame:
@@ -69,60 +70,73 @@ def components(df: DataFrame, record: str, keys: Sequence[str], scratch: Scratch
     return hook_and_shortcut(edges, scratch), seed
 
 
+def _closest(left: Mapping[int, int], goal: float) -> dict[int, int]:
+    """Copies of each size whose sum is closest to ``goal`` (ties: the smaller sum), exactly.
+
+    Taking the largest sizes first gives a sum at some distance below the goal, so
+    only sums up to that distance above it matter. It is taken where no whole number
+    is closer; else every sum in that range is marked with the item that first reached it.
+    """
+    aim = math.ceil(goal - 0.5)  # the closest whole number, the smaller one of two
+    took, rest = {}, aim
+    for s in sorted(left, reverse=True):
+        k = min(left[s], rest // s)
+        if k:
+            took[s] = k
+            rest -= s * k
+    if rest == 0:
+        return took
+    cap = aim + rest
+    items: list[tuple[int, int, int]] = []  # weight, size, copies
+    for s in sorted(left, reverse=True):
+        c, k = min(left[s], cap // s), 1
+        while c > 0:  # 1, 2, 4, ... copies make every multiplicity
+            k = min(k, c)
+            items.append((s * k, s, k))
+            c -= k
+            k *= 2
+    first = np.full(cap + 1, -1, np.int16 if len(items) < 32_000 else np.int32)  # the item that first reached a sum
+    first[0] = 0
+    for i, (w, _, _) in enumerate(items):
+        for hi in range(cap + 1, w, -PIECE):  # from above, so that an item is used once
+            lo = max(w, hi - PIECE)
+            to = first[lo:hi]
+            to[(first[lo - w : hi - w] >= 0) & (to < 0)] = i
+        if first[aim] >= 0:
+            break
+    below = aim - int((first[aim::-1] >= 0).argmax())
+    above = first[aim:] >= 0
+    at = aim + int(above.argmax()) if above.any() else below
+    at = min(below, at, key=lambda x: (abs(x - goal), x))
+    took = {}
+    while at > 0:
+        w, s, k = items[first[at]]
+        took[s] = took.get(s, 0) + k
+        at -= w
+    return took
+
+
 def choose_sizes(sizes: Mapping[int, int], targets: Mapping[str, float]) -> dict[str, dict[int, int]]:
     """How many components of each size go to each split, so that split totals come near their target shares.
 
     ``sizes`` maps a component size to its number of components. Splits choose in
     ascending order of share; each takes the subset sum closest to its target from
     what is left (ties: the smaller sum), and the split of largest share takes the
-    rest. Targets are scaled to sum to one. No sizes give empty choices.
+    rest. Sums are exact at every size. Targets are scaled to sum to one. No sizes
+    give empty choices.
     """
     order = sorted(targets, key=lambda n: (targets[n], n))
     if not order:
         return {}
     total, share = sum(s * c for s, c in sizes.items()), sum(targets.values()) or 1
-    unit = max(1, -(-total // SUM_UNITS))
     left = {s: c for s, c in sizes.items() if s > 0 and c > 0}
     chosen: dict[str, dict[int, int]] = {n: {} for n in order}
     for name in order[:-1]:
-        goal = total * targets[name] / share
-        want = round(goal / unit)
-        cap = 2 * want + 1
-        first = np.full(cap + 1, -1, np.int32)  # the item that first reached a sum
-        reach = np.zeros(cap + 1, bool)
-        reach[0] = True
-        items: list[tuple[int, int, int]] = []  # weight in units, size, copies
-        for s in sorted(left, reverse=True):
-            w, c, k = s // unit, left[s], 1
-            if w == 0 or w > cap:
-                continue
-            c = min(c, cap // w)
-            while c > 0:  # 1, 2, 4, ... copies make every multiplicity
-                k = min(k, c)
-                if w * k <= cap:
-                    new = reach[: cap + 1 - w * k] & ~reach[w * k :]
-                    first[w * k :][new] = len(items)
-                    reach[w * k :] |= new
-                    items.append((w * k, s, k))
-                c -= k
-                k *= 2
-        sums = np.flatnonzero(reach)
-        at = int(sums[np.lexsort((sums, np.abs(sums * unit - goal)))[0]])
-        took = chosen[name]
-        while at > 0:
-            w, s, k = items[first[at]]
-            took[s] = took.get(s, 0) + k
-            at -= w
-        if unit > 1:  # components below one unit fill what the units left open
-            missing = int(goal - sum(s * c for s, c in took.items()))
-            for s in sorted((s for s in left if s < unit), reverse=True):
-                k = min(left[s], max(0, missing) // s)
-                if k:
-                    took[s] = took.get(s, 0) + k
-                    missing -= s * k
-        for s, c in took.items():
+        chosen[name] = _closest(left, total * targets[name] / share)
+        for s, c in chosen[name].items():
             left[s] -= c
-    chosen[order[-1]] = {s: c for s, c in left.items() if c > 0}
+        left = {s: c for s, c in left.items() if c > 0}
+    chosen[order[-1]] = left
     return chosen
 
 
