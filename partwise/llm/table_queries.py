@@ -34,7 +34,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 def p2_fused(spark: SparkSession, sf: str) -> DataFrame:
     """The most probable value of each field of each group, by fusion with copy detection."""
     normal = {"year": F.regexp_replace(strip("year"), r"\.0+$", ""), "version": F.regexp_replace(F.lower(strip("version")), "^v", "")}
-    out = fuse(_rows(spark, sf), FIELDS, normal)
+    out = fuse(_rows(spark, sf), FIELDS, normal, every_value=True)
     return out.withColumnRenamed("group", "raw_group_id").withColumn("posterior", F.round("posterior", 6))
 
 
