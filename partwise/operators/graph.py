@@ -142,3 +142,19 @@ def nearest_training(items: DataFrame, split: str, threshold: float) -> DataFram
     best = both.join(train, "other", "left_semi").groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "other")).alias("m"))
     held = items.filter(F.col(split) != "train").select("id")
     return held.join(best, "id", "left").select("id", F.col("m.other").alias("nearest"), (-F.col("m.s")).alias("similarity"))
+
+
+def nearest_training_exact(items: DataFrame, split: str, threshold: float) -> DataFrame:
+    """The same without a least similarity; ``threshold`` only says what the fast pass covers. Null only for items that share no bit with any training item.
+
+    Items that the threshold pass leaves open meet every training item with which
+    they share a bit, and shared bits are counted pair by pair.
+    """
+    near = Scratch(items.sparkSession, "nearest").write(nearest_training(items, split, threshold))
+    bits = items.select("id", split, F.explode(F.array_distinct("bits")).alias("bit")).filter("bit IS NOT NULL")
+    n = bits.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    held = bits.join(near.filter("nearest IS NULL"), "id", "left_semi").select("id", "bit")
+    train = bits.filter(F.col(split) == "train").select(F.col("id").alias("other"), "bit")
+    k = held.join(train, "bit").groupBy("id", "other").agg(F.count(F.lit(1)).alias("k")).join(n, "id").join(n.toDF("other", "m"), "other")
+    best = k.groupBy("id").agg(F.min(F.struct((-F.col("k") / (F.col("n") + F.col("m") - F.col("k"))).alias("s"), "other")).alias("x"))
+    return near.join(best, "id", "left").select("id", F.coalesce("nearest", "x.other").alias("nearest"), F.coalesce("similarity", -F.col("x.s")).alias("similarity"))

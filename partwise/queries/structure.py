@@ -73,12 +73,20 @@ def _edges(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return v, e
 
 
-def graph_nearest_training(spark: SparkSession, sf: str) -> DataFrame:
-    """The most similar training user of every fifth, held-out user."""
+def _split_users(spark: SparkSession, sf: str) -> DataFrame:
     bit = F.concat_ws("-", "event_type", F.hour("ts").cast("string"))
     m = table(spark, sf, "events").groupBy("user_id").agg(F.collect_set(bit).alias("bits"), F.count(F.lit(1)).cast("double").alias("weight"))
-    m = m.select(F.col("user_id").cast("string").alias("id"), "bits", "weight", F.when(F.col("user_id") % 5 == 0, "test").otherwise("train").alias("split"))
-    return rounded(graph.nearest_training(m, "split", 0.4)).fillna({"nearest": "", "similarity": 0.0})
+    return m.select(F.col("user_id").cast("string").alias("id"), "bits", "weight", F.when(F.col("user_id") % 5 == 0, "test").otherwise("train").alias("split"))
+
+
+def graph_nearest_training(spark: SparkSession, sf: str) -> DataFrame:
+    """The most similar training user of every fifth, held-out user, if its similarity is at least 0.4."""
+    return rounded(graph.nearest_training(_split_users(spark, sf), "split", 0.4)).fillna({"nearest": "", "similarity": 0.0})
+
+
+def graph_nearest_training_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """The most similar training user of every fifth, held-out user, however low its similarity."""
+    return rounded(graph.nearest_training_exact(_split_users(spark, sf), "split", 0.4)).fillna({"nearest": "", "similarity": 0.0})
 
 
 def graph_components(spark: SparkSession, sf: str) -> DataFrame:
@@ -290,7 +298,7 @@ def files_csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        graph_similar_sets, graph_one_edit, graph_typed_edges, graph_nearest_training, graph_components, graph_threshold_sweep, graph_joint_blocks, graph_sequence_members, graph_one_edit_records, graph_typed_edges_records, graph_joint_blocks_manifest, graph_components_linked, graph_threshold_sweep_linked, folds_roles, folds_inner_baskets, folds_comparison, folds_ordinal_baskets, folds_matched_size,
+        graph_similar_sets, graph_one_edit, graph_typed_edges, graph_nearest_training, graph_components, graph_threshold_sweep, graph_joint_blocks, graph_sequence_members, graph_one_edit_records, graph_typed_edges_records, graph_joint_blocks_manifest, graph_components_linked, graph_threshold_sweep_linked, graph_nearest_training_exact, folds_roles, folds_inner_baskets, folds_comparison, folds_ordinal_baskets, folds_matched_size,
         folds_contract_manifest, folds_contract_proof, folds_overlap, folds_gate, folds_training_targets, folds_authoritative, folds_singletons, folds_residual_gaps, ledger_chain_problems, ledger_attempt_states, ledger_status, ledger_accepted,
         ledger_runtime, ledger_ready, ledger_plan_problems, ledger_accounting, ledger_projection, files_inventory, files_csv_round_trip,
     )

@@ -84,3 +84,15 @@ def test_components_link_over_unlisted_molecules(spark, tmp_path):
     assert sorted((n, "".join(sorted(m))) for (_, n), m in groups.items()) == [(1, "d"), (1, "e"), (1, "w"), (2, "yz"), (4, "abcx")]
     sweep = sorted(map(tuple, structure.graph_threshold_sweep_linked(spark, str(tmp_path)).collect()))
     assert sweep == [(0.7, 5, 5), (0.8, 4, 6), (0.9, 3, 7)]
+
+
+def test_nearest_training_below_the_threshold(spark):
+    r = random.Random(8)
+    rows = [(f"i{i:02}", r.sample(range(40), r.randrange(1, 12)), 1.0, "test" if i % 4 == 0 else "train") for i in range(60)] + [("alone", [99], 1.0, "test")]
+    got = {x.id: (x.nearest, x.similarity) for x in graph.nearest_training_exact(spark.createDataFrame(rows, "id string, bits array<int>, weight double, split string"), "split", 0.4).collect()}
+    want = {}
+    for i, b, _, s in rows:
+        if s == "test":
+            best = min((-len({*b} & {*o}) / len({*b} | {*o}), j) for j, o, _, k in rows if k == "train")
+            want[i] = (best[1], -best[0]) if best[0] else (None, None)
+    assert got == want and any(s and s < 0.4 for _, s in want.values())
