@@ -73,6 +73,15 @@ def curate_reconcile(spark: SparkSession, sf: str) -> DataFrame:
     return curate.reconcile(listed, r)
 
 
+def curate_reconcile_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for every used raw id of a curated record."""
+    r = raw_rows(spark, sf).select("raw_id", "source", F.coalesce("structure", F.lit("")).alias("structure"))
+    ids = F.explode(F.split("raw_ids_used", r"\|"))
+    listed = table(spark, sf, "curated_records_public").select(F.coalesce("source", F.lit("")).alias("split"), F.coalesce("canonical_smiles", F.lit("")).alias("structure"), ids.alias("id"))
+    listed = listed.withColumn("id", F.trim("id")).filter("id <> ''").select("split", "id", "structure").distinct()
+    return curate.reconcile(listed, r)
+
+
 def scalar_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Cleaning, coercion, prefixes, indicators, affine maps and token counts per raw row."""
     t = seq.parse_tokens("sequence")
@@ -139,7 +148,7 @@ def contract_group_constant(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        curate_records, curate_manifest, curate_flow, curate_source_audit, curate_endpoint_histogram, curate_note_classes, curate_rollup, curate_reconcile, scalar_rules, scalar_topology, scalar_canonical_cycles,
+        curate_records, curate_manifest, curate_flow, curate_source_audit, curate_endpoint_histogram, curate_note_classes, curate_rollup, curate_reconcile, curate_reconcile_all, scalar_rules, scalar_topology, scalar_canonical_cycles,
         hash_ids, hash_id_sets, hash_frame, hash_seeds, contract_mapping, contract_coverage, contract_group_constant,
     )
 }

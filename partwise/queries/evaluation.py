@@ -151,6 +151,15 @@ def inference_interval(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(inf.percentile_interval(inf.bootstrap(m.source_cube(predictions(spark, sf)), ARMS, 2000)))
 
 
+def inference_bootstrap_full(spark: SparkSession, sf: str) -> DataFrame:
+    """The reference's 10,000 replicates."""
+    return rounded(inf.bootstrap(m.source_cube(predictions(spark, sf)), ARMS, 10_000))
+
+
+def inference_interval_full(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(inf.percentile_interval(inf.bootstrap(m.source_cube(predictions(spark, sf)), ARMS, 10_000)))
+
+
 def inference_cluster_robust(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(inf.cluster_robust(m.paired_effects(predictions(spark, sf), ARMS)))
 
@@ -271,7 +280,7 @@ QUERIES = {
     for f in (
         metrics_estimand_ladder, metrics_source_cube, metrics_by_seed, metrics_per_source, metrics_per_block, metrics_stratified_arms, metrics_seed_stability, metrics_paired_effects, metrics_block_contributions, metrics_seed_means,
         metrics_leave_one_out, metrics_omit_largest, metrics_concentration, metrics_partition_agreement, metrics_duplicate_slots, metrics_top_sources, metrics_variant_deltas, metrics_replicated_seeds, metrics_spearman, metrics_risk_coverage, calibration_curve, calibration_summary,
-        coverage_half_widths, coverage_overall, coverage_by_fold, coverage_sensitivity, inference_bootstrap, inference_interval, inference_cluster_robust, inference_jackknife, inference_sign_flip, inference_holm, weights_balanced,
+        coverage_half_widths, coverage_overall, coverage_by_fold, coverage_sensitivity, inference_bootstrap, inference_interval, inference_bootstrap_full, inference_interval_full, inference_cluster_robust, inference_jackknife, inference_sign_flip, inference_holm, weights_balanced,
         scaler_fit, scaler_keep, scaler_drop, selection_config, selection_family, selection_oof, selection_cost_ranks, selection_best_epoch, model_training_mean, model_ridge, model_forest, sealed_round_trip,
     )
 }

@@ -281,9 +281,10 @@ def ledger_projection(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def files_inventory(spark: SparkSession, sf: str) -> DataFrame:
-    """Hash and kind of the files of the star schema."""
-    f = files.inventory(spark, sf, "{region,nation,customer,supplier,part}.parquet")
-    return f.select(F.element_at(F.split("path", "/"), -1).alias("name"), "size", "sha256", "kind")
+    """Hash and kind of every file below the folder; names are paths within it."""
+    f = files.inventory(spark, sf)
+    name = F.substring_index("path", "/" + sf.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
+    return f.select(name.alias("name"), "size", "sha256", "kind")
 
 
 def files_csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:

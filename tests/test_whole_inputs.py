@@ -1,11 +1,12 @@
 """Queries over whole inputs, on small tables with what cuts would lose."""
 
 import itertools
+import hashlib
 import json
 import random
 
 from partwise.operators import graph
-from partwise.queries import structure
+from partwise.queries import curation, evaluation, structure
 
 
 def put(spark, folder, name, rows, schema):
@@ -96,3 +97,30 @@ def test_nearest_training_below_the_threshold(spark):
             best = min((-len({*b} & {*o}) / len({*b} | {*o}), j) for j, o, _, k in rows if k == "train")
             want[i] = (best[1], -best[0]) if best[0] else (None, None)
     assert got == want and any(s and s < 0.4 for _, s in want.values())
+
+
+def test_inventory_names_every_file(spark, tmp_path):
+    folder = tmp_path / "tables"
+    (folder / "parts.parquet").mkdir(parents=True)
+    for name in ("region.parquet", "lineitem.parquet", "notes.csv", "parts.parquet/part-0.parquet"):
+        (folder / name).write_text(name)
+    got = {r.name: r.sha256 for r in structure.files_inventory(spark, str(folder)).collect()}
+    assert got == {n: hashlib.sha256(n.encode()).hexdigest() for n in ("region.parquet", "lineitem.parquet", "notes.csv", "parts.parquet/part-0.parquet")}
+
+
+def test_every_used_id_is_reconciled(spark, monkeypatch, tmp_path):
+    raw = spark.createDataFrame([("P:1", "s", "CC"), ("P:2", "s", "NN")], "raw_id string, source string, structure string")
+    monkeypatch.setattr(curation, "raw_rows", lambda *_: raw)
+    rows = [("s", "CC", "P:1| P:2 ||P:9")]
+    put(spark, tmp_path, "curated_records_public", rows, "source string, canonical_smiles string, raw_ids_used string")
+    got = {r.id: r.reason for r in curation.curate_reconcile_all(spark, str(tmp_path)).collect()}
+    assert got == {"P:1": "direct_single_record_match", "P:2": "id_maps_to_another_structure", "P:9": "id_absent_from_raw_namespace"}
+
+
+def test_bootstrap_draws_ten_thousand(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(evaluation, "predictions", lambda *_: None)
+    monkeypatch.setattr(evaluation.m, "source_cube", lambda _: None)
+    monkeypatch.setattr(evaluation.inf, "bootstrap", lambda cube, arms, n: seen.append(n) or spark.range(1))
+    evaluation.inference_bootstrap_full(spark, "")
+    assert seen == [10_000]
