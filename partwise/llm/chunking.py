@@ -196,6 +196,18 @@ class Text:
         goal = max(a + 1, b - want)
         i = bisect_right(self.all, goal)
         start = self.all[i - 1] if i and self.all[i - 1] > a and goal - self.all[i - 1] <= WIDEN else None
+        if start is None:  # no cut is near: inside the stretch before the goal, at a whole character
+            exact, tried = self._aligned(goal, a), set()
+            while a < exact <= goal:
+                if self.all[bisect_left(self.all, exact) : bisect_right(self.all, exact)] == []:
+                    tried |= {exact} - self.inside
+                    self.inside.add(exact)
+                if self.count(exact, unit) > limit:
+                    break
+                if self.count(exact, b) >= want or exact - 1 <= a:
+                    return exact
+                exact = self._aligned(exact - 1, a)
+            self.inside -= tried
         if start is None or self.count(start, unit) > limit:
             later = self.all[i] if i < len(self.all) and self.all[i] <= b else b
             if later - goal <= WIDEN and self.count(later, unit) <= limit and (later < b or start is not None):
