@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from partwise.functions.text import plain_id, plain_words, sql_is_missing, sql_plain_id, sql_plain_words, sql_strip, strip
 from partwise.llm.contraction import contract_ids
 from partwise.llm.editjoin import cross_split_pairs
-from partwise.llm.fusion import fuse, prepare, ranked_suppliers
+from partwise.llm.fusion import LEAD, fuse
 from partwise.llm.splits import group_splits, straddling_keys
 
 FIELDS = ("year", "version", "topology_signature", "canonical_sequence")
@@ -22,20 +22,19 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 # Problem 2
 
 
-def _rows(spark: SparkSession, sf: str) -> DataFrame:
-    return prepare(_table(spark, sf, "curation_manifest"), _table(spark, sf, "curated_records_public"), FIELDS)
+def _fused(spark: SparkSession, sf: str, prior: float) -> DataFrame:
+    normal = {"year": F.regexp_replace(strip("year"), r"\.0+$", ""), "version": F.regexp_replace(F.lower(strip("version")), "^v", "")}
+    return fuse(_table(spark, sf, "curation_manifest"), _table(spark, sf, "curated_records_public"), FIELDS, normal, prior).withColumnRenamed("group", "raw_group_id")
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    """The raw row that supplies each field of each group."""
-    return ranked_suppliers(_rows(spark, sf), FIELDS).withColumnRenamed("group", "raw_group_id")
+    """The raw row that supplies each field of each group: fusion under the prior that the best row outweighs all votes."""
+    return _fused(spark, sf, LEAD).filter("several").select("raw_group_id", "field_name", "raw_id")
 
 
 def p2_fused(spark: SparkSession, sf: str) -> DataFrame:
-    """The most probable value of each field of each group, by fusion with copy detection."""
-    normal = {"year": F.regexp_replace(strip("year"), r"\.0+$", ""), "version": F.regexp_replace(F.lower(strip("version")), "^v", "")}
-    out = fuse(_rows(spark, sf), FIELDS, normal, every_value=True)
-    return out.withColumnRenamed("group", "raw_group_id").withColumn("posterior", F.round("posterior", 6))
+    """The most probable value of each field of each group, by the votes alone."""
+    return _fused(spark, sf, 0.0).withColumn("posterior", F.round("posterior", 6)).drop("several")
 
 
 # Problem 3

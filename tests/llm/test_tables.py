@@ -6,10 +6,11 @@ from datetime import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from partwise.llm.contraction import contract, contract_ids
 from partwise.llm.editjoin import cross_split_pairs, edit_join
-from partwise.llm.fusion import N_CHANNELS, copy_probability, fuse, posterior, prepare, ranked_suppliers
+from partwise.llm.fusion import LEAD, N_CHANNELS, copy_probability, fuse, pair_counts, parse, posterior, prepare
 from partwise.llm.ids import hex_number, hex_text, injective_seed
 from partwise.llm.splits import choose_sizes, group_splits, straddling_keys
 
@@ -194,7 +195,7 @@ def manifest(spark, rows):
     return spark.createDataFrame(rows, MANIFEST), spark.createDataFrame([("SSCP-1", "P:3 | P:4||"), ("SSCP-1", "p:9"), (None, "P:1"), ("SSCP-2", None)], CURATED)
 
 
-def test_ranked_suppliers(spark):
+def test_best_rows_decide_under_the_prior(spark):
     t = lambda d: datetime(2024, 1, d)
     rows = [
         ("g", "P:10", "2001", "n/a", t(9), "excluded", None, None, 1, 1),
@@ -209,12 +210,27 @@ def test_ranked_suppliers(spark):
         ("g", None, "2009", "1", t(20), None, None, None, 1, 1),
         ("none", "P:1", "NA", "unknown", None, None, None, None, 1, 1),
         ("none", "P:2", "None", "", None, None, None, None, 1, 1),
+        *[("big", f"P:{i}" + "0" * 40, f"{i}", "1", t(2), "included", None, None, 1, 1) for i in range(1, 200)],  # many values, numbers of any length
+        ("big", "P:7" + "0" * 39, "x", "1", t(2), "included", None, None, 1, 1),
     ]
     m, c = manifest(spark, rows)
-    got = sorted(map(tuple, ranked_suppliers(prepare(m, c, ["year", "version"]), ["year", "version"]).collect()))
-    assert got == [("g", "version", "P:3"), ("g", "year", "P:4"), ("tie", "version", "P:9"), ("tie", "year", "P:9")]
+    got = sorted((r.group, r.field_name, r.raw_id, r.value) for r in fuse(m, c, ["year", "version"], prior=LEAD).filter("several").collect())
+    far = "P:7" + "0" * 39
+    assert got == [("big", "version", far, "1"), ("big", "year", far, "x"), ("g", "version", "P:3", "1.0"), ("g", "year", "P:4", "2002"), ("tie", "version", "P:9", "1"), ("tie", "year", "P:9", "2004")]
     e, c = manifest(spark, [])
-    assert ranked_suppliers(prepare(e, c, ["year"]), ["year"]).count() == 0
+    assert fuse(e, c, ["year"], prior=LEAD).count() == 0
+
+
+def test_heavy_groups_come_out_as_light_ones(spark, monkeypatch):
+    from partwise.llm import fusion
+
+    r = random.Random(4)
+    rows = [(r.choice(["g1", "g2", "g3"]), f"P:{i}", r.choice(["2001", "2002", None]), r.choice(["1", "2", "na"]), datetime(2024, 1, r.randrange(1, 20)), r.choice(["included", "x"]), None, None, 0, 0) for i in range(300)]
+    m, c = manifest(spark, rows)
+    light = sorted(map(tuple, fuse(m, c, ["year", "version"]).collect()))
+    monkeypatch.setattr(fusion, "heavy_keys", lambda df, keys: spark.createDataFrame([("g1",), ("g3",)], "group string"))
+    heavy = sorted(map(tuple, fuse(m, c, ["year", "version"]).collect()))
+    assert [x[:3] + x[4:] for x in light] == [x[:3] + x[4:] for x in heavy] and all(abs(x[3] - y[3]) < 1e-9 for x, y in zip(light, heavy))
 
 
 def test_fusion_prefers_accurate_channels_over_copies(spark):
@@ -226,19 +242,24 @@ def test_fusion_prefers_accurate_channels_over_copies(spark):
         rows += [(f"g{i}", f"P:{i}2", wrong if i % 3 else truth, None, t, "excluded", True, None, 0, 0)]
     rows += [("q", "P:1", None, None, None, None, None, None, 0, 0), ("w", "P:2", "Z", None, t, None, None, None, 0, 0)]
     m, c = manifest(spark, rows)
-    got = {r.group: r for r in fuse(prepare(m, c, ["year", "version"]), ["year", "version"]).collect()}
+    got = {r.group: r for r in fuse(m, c, ["year", "version"]).collect()}
     assert len(got) == 61 and "q" not in got and got["w"].value == "Z"
     assert all(got[f"g{i}"].value == "A" for i in range(60)) and got["g1"].raw_id == "P:10" and got["g1"].n_values == 2
     e, c = manifest(spark, [])
-    assert fuse(prepare(e, c, ["year"]), ["year"]).count() == 0
+    assert fuse(e, c, ["year"]).count() == 0
 
 
 def test_posterior_and_copying():
     a, none = np.full(N_CHANNELS, 0.8), np.zeros((N_CHANNELS, N_CHANNELS))
-    alone = posterior([(0, 0), (1, 0), (2, 1)], a, none)
+    pattern = [(1, [(0, 1.0), (1, 1.0)]), (1, [(2, 1.0)])]
+    assert parse("1*0:3,1:2;1*2:1") == (None, pattern) and parse("1|2*7:1;1*7:2") == (1, [(2, [(7, 0.25)]), (1, [(7, 0.5)])])
+    alone = posterior(pattern, a, none)
+    assert posterior(pattern, a, none, 1, LEAD)[-1] == 1 and posterior(pattern, a, none, 1, 0.0).tolist() == alone.tolist()
+    channels, true, false = pair_counts([(1, [(0, 0.5), (1, 1.0)]), (2, [(0, 0.25)])], 0)
+    assert channels == [0, 1] and true[0, 1] == 0.5 and false[0, 1] == 0 and false[0, 0] == 0.125
     copied = none.copy()
     copied[0, 1] = copied[1, 0] = 1
-    assert alone[0] > 0.9 and posterior([(0, 0), (1, 0), (2, 1)], a, copied)[0] < alone[0]
+    assert alone[0] > 0.9 and posterior(pattern, a, copied)[0] < alone[0]
     counts = np.zeros((3, 3, 3))
     counts[1, 0, 1] = counts[1, 1, 0] = 8  # shared false values
     counts[0, 0, 2] = counts[0, 2, 0] = 2
@@ -261,40 +282,70 @@ def test_fusion_equals_a_plain_loop(spark):
             at = None if r.random() < 0.1 else datetime(2024, r.randrange(1, 13), 1)
             rows.append((f"g{g}", f"P:{g}{k}", value, r.choice(["1", "2", "-"]), at, "included" if good else "excluded", r.choice([True, False, None]), "SSCP-1" if good else None, 0, 0))
     m, c = manifest(spark, rows)
-    prepared = prepare(m, c, ["year", "version"])
-    got = {(x.group, x.field_name): (x.value, round(x.posterior, 9)) for x in fuse(prepared, ["year", "version"], rounds=3).collect()}
+    fields = ["year", "version"]
+    got = {(x.group, x.field_name): (x.value, round(x.posterior, 6)) for x in fuse(m, c, fields).collect()}
 
     counts = {}
-    for x in fusion._channels(prepared, ["year", "version"]).collect():
-        for f in ("year", "version"):
+    for x in prepare(m, c, fields).withColumn("channel", fusion.channel(fields, fusion.age_cuts(m))).collect():
+        for f in fields:
             v = x[f]
             if v is not None and v.strip().lower() not in ("", "na", "-"):
                 by = counts.setdefault((x.group, f), {}).setdefault(x.channel, {})
                 by[v.strip()] = by.get(v.strip(), 0) + 1
-    claims = {o: {ch: min(by, key=lambda v: (-by[v], v)) for ch, by in chs.items()} for o, chs in counts.items()}
+    shares = {o: {(ch, v): n / sum(by.values()) for ch, by in chs.items() for v, n in by.items()} for o, chs in counts.items()}
     accuracy, dep = np.full(N_CHANNELS, 0.8), np.zeros((N_CHANNELS, N_CHANNELS))
 
     def judge(o):
-        values = sorted(set(claims[o].values()))
-        pattern = sorted((ch, values.index(v)) for ch, v in claims[o].items())
-        return values, pattern, posterior(pattern, accuracy, dep)
-
-    for _ in range(3):
+        values = sorted({v for _, v in shares[o]})
+        score = []
+        for v in values:
+            total, before = 0.0, []
+            for ch in sorted((ch for ch, w in shares[o] if w == v), key=lambda ch: (-accuracy[ch], ch)):
+                free = np.prod([1 - fusion.COPY_RATE * dep[ch, b] for b in before])
+                total += shares[o][ch, v] * free * np.log(fusion.N_FALSE * accuracy[ch] / (1 - accuracy[ch]))
+                before.append(ch)
+            score.append(total)
+        e = np.exp(score)
+        return values, e / (e.sum() + fusion.N_FALSE + 1 - len(values))
+
+    for _ in range(200):
         n, mass, pairs = np.zeros(N_CHANNELS), np.zeros(N_CHANNELS), np.zeros((3, N_CHANNELS, N_CHANNELS))
-        for o in claims:
-            _, pattern, post = judge(o)
-            win = int(post.argmax())
-            for i, (a, v) in enumerate(pattern):
-                n[a] += 1
-                mass[a] += post[v]
-                for b, w in pattern[i + 1 :]:
-                    kind = 2 if v != w else 0 if v == win else 1
-                    pairs[kind, a, b] += 1
-                    pairs[kind, b, a] += 1
-        accuracy = np.where(n > 0, np.clip((mass + 0.8) / (n + 1), 0.01, 0.99), 0.8)
+        for o in shares:
+            values, post = judge(o)
+            win = values[int(post.argmax())]
+            for (a, v), x in shares[o].items():
+                n[a] += x
+                mass[a] += x * post[values.index(v)]
+                for (b, w), y in shares[o].items():
+                    if a != b:
+                        pairs[2 if v != w else 0 if v == win else 1, a, b] += x * y
+        last, accuracy = accuracy, np.where(n > 0, np.clip((mass + 0.8) / (n + 1), 0.01, 0.99), 0.8)
         dep = copy_probability(*pairs, accuracy)
+        if np.abs(accuracy - last).max() <= 1e-3:
+            break
     want = {}
-    for o in claims:
-        values, _, post = judge(o)
-        want[o] = (values[int(post.argmax())], round(float(post.max()), 9))
+    for o in shares:
+        values, post = judge(o)
+        want[o] = (values[int(post.argmax())], round(float(post.max()), 6))
     assert got == want
+
+
+def test_what_copy_detection_changes(spark, monkeypatch):
+    """A channel and its copy outvote one better channel unless the copied votes are discounted."""
+    from partwise.llm import fusion
+
+    t, r, rows = datetime(2024, 1, 1), random.Random(8), []
+    for i in range(300):
+        truth, wrong = str(r.randrange(5)), str(r.randrange(5, 9))
+        first = truth if r.random() < 0.6 else wrong
+        other = lambda p, bad: truth if r.random() < p else f"{bad}{r.randrange(9)}"
+        claims = [("included", False, first), ("included", True, first), ("excluded", False, other(0.9, "a")), ("excluded", True, other(0.6, "b")), ("excluded", None, other(0.6, "c"))]
+        rows += [(f"g{i:03}", f"P:{i}{k}", v, truth, t, status, censored, None, 0, 0) for k, (status, censored, v) in enumerate(claims)]
+    m, c = manifest(spark, rows)
+    truths = m.groupBy(F.col("raw_group_id").alias("group")).agg(F.min("version").alias("truth"))
+    right = lambda: fuse(m, c, ["year"]).join(truths, "group").filter("value = truth").count()
+    with_it = right()
+    monkeypatch.setattr(fusion, "COPY_RATE", 1e-9)
+    without = right()
+    print(with_it, without)
+    assert with_it > without + 10
