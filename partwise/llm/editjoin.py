@@ -1,10 +1,18 @@
 """Problem 5: equal or nearly equal strings between two sides, by an edit-distance segment join.
 
-Each string of one side is cut into k + 1 segments. At most k edits leave one of
-them untouched, so a partner contains it at a position that the edits before and
-after it allow. The other side's substrings at those positions are matched with
-the segments by hash, and every candidate is verified by Spark's banded
-Levenshtein. Only (hash, id) pairs are shuffled for the match, never the texts.
+Each string of one side is cut into k + 1 segments of one width, the first half
+of them counted from its start, the others from its end. At most k edits leave
+one segment untouched that has at most i edits before it, if it is the i-th from
+the start (from 0), or at most i behind it, if it is the i-th from the end: else
+the first h segments would take h edits or more, the last k + 1 - h as many
+again. So a partner contains it at a position shifted by at most i from its own
+start or end. The width is the length divided by k + 1, which neighbouring lengths
+share, so a string of the other side has few substrings to offer.
+
+These are matched with the segments by hash. While the segments are few enough, a
+bit filter of bounded size goes to the tasks first, and only the substrings that
+pass it are shuffled; beyond that all are. Every candidate is verified by Spark's
+banded Levenshtein. Only (hash, id) pairs are shuffled for the match, never the texts.
 """
 
 from __future__ import annotations
@@ -13,40 +21,38 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partwise.llm.ids import hashed, injective_seed
+from partwise.llm.ids import Numbers
 from partwise.plans.lineage import Scratch
 
 _BASE, _SALT = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-
-
-def segments(length: int, k: int) -> list[tuple[int, int]]:
-    """(start, width) of the k + 1 segments of a string; the last ones are a character wider where it doesn't divide evenly."""
-    q, r = divmod(length, k + 1)
-    return [(i * q + max(0, i - (k + 1 - r)), q + (i >= k + 1 - r)) for i in range(k + 1)]
+#: Bits of the filter for each segment, and at most (32 MB).
+BITS_EACH, MOST_BITS = 16, 1 << 28
 
 
 def segment_windows(length: int, k: int) -> list[tuple[int, int, int, int]]:
-    """(own length, segment, start, width) of a segmented string; one of at most k characters has a single entry for its length instead."""
-    return [(length, -1, 0, 0)] if length <= k else [(length, i, p, w) for i, (p, w) in enumerate(segments(length, k))]
+    """(width, segment, start, width) of the segments of a string; one of at most k characters has a single entry for its length instead."""
+    if length <= k:
+        return [(length, -1, 0, 0)]
+    q, h = length // (k + 1), (k + 2) // 2
+    return [(q, i, i * q, q) for i in range(h)] + [(q, h + j, length - (j + 1) * q, q) for j in range(k + 1 - h)]
 
 
 def substring_windows(length: int, k: int) -> list[tuple[int, int, int, int]]:
-    """(length L of a partner, segment, start, width) of all substrings that may be a segment of a string of length L within k edits.
-
-    Before segment i at most i edits count, after it at most k - i; a shift beyond
-    either belongs to a match of another segment.
-    """
-    out = []
-    for partner in range(max(0, length - k), length + k + 1):
-        if partner <= k:
-            out.append((partner, -1, 0, 0))
-            continue
-        d = length - partner
-        for i, (p, w) in enumerate(segments(partner, k)):
-            out += [(partner, i, x, w) for x in range(max(0, p - i, p + d - (k - i)), min(length - w, p + i, p + d + (k - i)) + 1)]
+    """(width, segment, start, width) of all substrings that may be a segment of a string within k edits; (length, -1, 0, 0) for each short one."""
+    low, high, h = max(0, length - k), length + k, (k + 2) // 2
+    out = [(n, -1, 0, 0) for n in range(low, min(high, k) + 1)]
+    for q in range(max(low, k + 1) // (k + 1), high // (k + 1) + 1):
+        partners = range(max(low, q * (k + 1)), min(high, q * (k + 1) + k) + 1)
+        for seg in range(k + 1):
+            most, at = (seg, seg * q) if seg < h else (seg - h, length - (seg - h + 1) * q)
+            for shift in range(-most, most + 1):
+                moved = shift if seg < h else -shift  # insertions less deletions on the segment's own side
+                if 0 <= at + shift <= length - q and any(abs(moved) + abs(length - n - moved) <= k for n in partners):
+                    out.append((q, seg, at + shift, q))
     return out
 
 
@@ -66,8 +72,15 @@ def _window_keys(texts: list[str], windows: list[tuple[int, int, int, int]]) ->
     return (h ^ (h >> np.uint64(32))).view(np.int64).T
 
 
-def _keyed(df: DataFrame, name: str, k: int, windows: Callable[[int, int], list[tuple[int, int, int, int]]]) -> DataFrame:
-    """(name, key) for every window of every (id, s)."""
+def _passed(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which keys have both their bits in the filter."""
+    last, k = np.uint64(64 * len(bits) - 1), keys.view(np.uint64)
+    low, high = k & last, (k >> np.uint64(32)) & last
+    return ((bits[low >> np.uint64(6)] >> (low & np.uint64(63))) & (bits[high >> np.uint64(6)] >> (high & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def _keyed(df: DataFrame, name: str, k: int, windows: Callable[[int, int], list[tuple[int, int, int, int]]], bits: Broadcast | None = None) -> DataFrame:
+    """(name, key) for every window of every (id, s) that passes the filter."""
 
     def run(batches):
         for batch in batches:
@@ -79,13 +92,27 @@ def _keyed(df: DataFrame, name: str, k: int, windows: Callable[[int, int], list[
             for length, (ids, texts) in by_length.items():
                 at = windows(length, k)
                 for lo in range(0, len(ids), 1024):
-                    keys = _window_keys(texts[lo : lo + 1024], at)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids[lo : lo + 1024], np.int64), len(at))), pa.array(np.ascontiguousarray(keys).ravel())], [name, "key"])
+                    keys = np.ascontiguousarray(_window_keys(texts[lo : lo + 1024], at)).ravel()
+                    owner = np.repeat(np.array(ids[lo : lo + 1024], np.int64), len(at))
+                    if bits is not None:
+                        there = _passed(keys, bits.value)
+                        keys, owner = keys[there], owner[there]
+                    yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(keys)], [name, "key"])
 
     return df.select("id", "s").mapInArrow(run, f"{name} bigint, key bigint")
 
 
-def edit_join(cut: DataFrame, other: DataFrame, k: int = 5, scratch: Scratch | None = None) -> DataFrame:
+def _filter(keys: DataFrame, n: int) -> Broadcast:
+    """The bits of the keys as 64-bit words; what is gathered and sent is at most MOST_BITS."""
+    size = max(1 << 12, 1 << (BITS_EACH * n - 1).bit_length())
+    at = F.explode(F.array(F.col("key").bitwiseAND(F.lit(size - 1)), F.shiftrightunsigned("key", 32).bitwiseAND(F.lit(size - 1)))).alias("at")
+    words = keys.select(at).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63L as int))")).alias("bits")).toPandas()
+    bits = np.zeros(size >> 6, np.uint64)
+    bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(bits)
+
+
+def edit_join(cut: DataFrame, other: DataFrame, k: int = 5, scratch: Scratch | None = None, most_bits: int = MOST_BITS) -> DataFrame:
     """(cut_id, other_id, distance) for all pairs of strings within k edits of one character.
 
     Both sides have a unique long ``id`` and a string ``s``; rows with a null in
@@ -94,13 +121,16 @@ def edit_join(cut: DataFrame, other: DataFrame, k: int = 5, scratch: Scratch | N
     """
     scratch = scratch or Scratch(cut.sparkSession, "edit")
     a, b = cut.select("id", "s").dropna(), other.select("id", "s").dropna()
-    # The segments are a small part (k + 1 keys a string) of what they meet, so each partition's are hashed instead of sorting both sides.
-    candidates = _keyed(a, "cut_id", k, segment_windows).hint("shuffle_hash").join(_keyed(b, "other_id", k, substring_windows), "key").select("cut_id", "other_id").distinct()
+    keys = scratch.write(_keyed(a, "cut_id", k, segment_windows))
+    n = keys.count()
+    bits = _filter(keys, n) if n * BITS_EACH <= most_bits else None
+    # The segments are a small part of what they meet, so each partition's are hashed instead of sorting both sides.
+    candidates = keys.hint("shuffle_hash").join(_keyed(b, "other_id", k, substring_windows, bits), "key").select("cut_id", "other_id").distinct()
     near = candidates.join(a.toDF("cut_id", "_a"), "cut_id").join(b.toDF("other_id", "_b"), "other_id")
     return near.select("cut_id", "other_id", F.levenshtein("_a", "_b", k).alias("distance")).filter("distance >= 0")
 
 
-def cross_split_pairs(records: DataFrame, k: int = 5, train: str = "train") -> DataFrame:
+def cross_split_pairs(records: DataFrame, k: int = 5, train: str = "train", most_bits: int = MOST_BITS) -> DataFrame:
     """(id_a, id_b) with id_a < id_b: one record in ``train``, the other in another split, with the same molecule or structures within k edits.
 
     ``records`` has strings record, molecule, structure and split. Rows without a
@@ -109,13 +139,14 @@ def cross_split_pairs(records: DataFrame, k: int = 5, train: str = "train") -> D
     different structures; copies of one are expanded only where a pair was found.
     """
     scratch = Scratch(records.sparkSession, "overlap")
-    r = scratch.write(records.select("record", "molecule", "structure", (F.col("split") == train).alias("t")).dropna(subset=["record", "t"]).distinct())
-    texts = r.select("structure", "t").dropna().distinct()
-    seed = injective_seed(texts, ["structure"])
-    numbered = scratch.write(texts.select(hashed(seed, "structure").alias("id"), F.col("structure").alias("s"), "t"))
-    near = edit_join(numbered.filter("NOT t"), numbered.filter("t"), k, scratch).select("cut_id", "other_id")
-    own = r.filter("structure IS NOT NULL").select("record", "t", hashed(seed, "structure").alias("id"))
-    held, trained = own.filter("NOT t").select(F.col("id").alias("cut_id"), F.col("record").alias("x")), own.filter("t").select(F.col("id").alias("other_id"), F.col("record").alias("y"))
+    r = records.select("record", "molecule", "structure", (F.col("split") == train).alias("t")).dropna(subset=["record", "t"])
+    texts = scratch.write(r.filter("structure IS NOT NULL").groupBy("structure").agg(F.bool_or("t").alias("t"), F.bool_or(~F.col("t")).alias("h")))
+    numbers = Numbers(texts, ["structure"], scratch)
+    numbered = scratch.write(numbers.add(texts, "id").select("id", F.col("structure").alias("s"), "t", "h"))
+    near = scratch.write(edit_join(numbered.filter("h"), numbered.filter("t"), k, scratch, most_bits).select("cut_id", "other_id"))
+    own = numbers.add(r.filter("structure IS NOT NULL"), "id")
+    held = own.filter("NOT t").select(F.col("id").alias("cut_id"), F.col("record").alias("x")).distinct()
+    trained = own.filter("t").select(F.col("id").alias("other_id"), F.col("record").alias("y")).distinct()
     by_text = near.join(held, "cut_id").join(trained, "other_id").select("x", "y")
     mol = r.filter("molecule IS NOT NULL").select("record", "molecule", "t").distinct()
     by_molecule = mol.filter("NOT t").select("molecule", F.col("record").alias("x")).join(mol.filter("t").select("molecule", F.col("record").alias("y")), "molecule").select("x", "y")

@@ -74,17 +74,14 @@ class Plan:
         if two := self._pair(gap, [size], gap):
             return two
         if self.gone >= STALE:
-            there, bits = np.flatnonzero(self.left > 0), 0
-            single = sum(1 << int(s) for s in there)
-            for s in there:
-                bits |= single << int(s)
-            self.pairs, self.gone = bits, 0
-        for c in np.flatnonzero(self.left[: max(0, gap - 1)] > 0)[::-1]:
-            c = int(c)
-            if 3 * c < gap:
-                break
-            if (self.pairs >> (gap - c)) & 1 and (two := self._pair(gap - c, [size, c], c)):
-                return [c, *two]
+            spectrum = np.fft.rfft((self.left > 0).astype(float), 2 * self.capacity + 2)
+            self.pairs, self.gone = np.fft.irfft(spectrum * spectrum, 2 * self.capacity + 2) > 0.5, 0  # numbers of pairs, exact to far below a half
+        low = -(-gap // 3)  # the largest of three is a third of the gap at least
+        if gap - 1 > low:
+            for c in (np.flatnonzero((self.left[low : gap - 1] > 0) & self.pairs[2 : gap - low + 1][::-1]) + low)[::-1]:
+                c = int(c)
+                if two := self._pair(gap - c, [size, c], c):
+                    return [c, *two]
         return None
 
     def _exact(self) -> None:
@@ -128,10 +125,11 @@ class Plan:
                             add(self.capacity - k * size, self.bins, new)
                             self.bins += new
 
-    def lookup(self) -> tuple[np.ndarray, np.ndarray]:
-        """Keys (size and first rank in one number) in order, and the container less the first rank of each."""
+    def lookup(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Items of smaller sizes by size, the place of each slot's first item among all items by size and rank, and the container less the first rank of each slot."""
+        base = np.concatenate([[0], np.cumsum(np.array(self.used, np.int64))])
         s = np.array(sorted(self.slots), np.int64).reshape(-1, 4)
-        return (s[:, 0] << 44) + s[:, 1], s[:, 3] - s[:, 1]
+        return base, base[s[:, 0]] + s[:, 1], s[:, 3] - s[:, 1]
 
 
 def pack(items: DataFrame, limits: Mapping[str, int]) -> DataFrame:
@@ -163,10 +161,10 @@ def pack(items: DataFrame, limits: Mapping[str, int]) -> DataFrame:
         out = np.zeros(len(name), np.int64)
         names, r, k = name.to_numpy(), rest.to_numpy(np.int64), rank.to_numpy(np.int64) - 1
         for one in set(names):
-            keys, shift, bins = tables.value[one]
+            base, keys, shift, bins = tables.value[one]
             here = names == one
             if len(keys):
-                at = np.searchsorted(keys, (r[here] << 44) + k[here], "right") - 1
+                at = np.searchsorted(keys, base[r[here]] + k[here], "right") - 1
                 out[here] = np.where(r[here] > 0, k[here] + shift[at], k[here] % max(1, bins))
         return pd.Series(out)
 

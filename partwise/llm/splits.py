@@ -12,10 +12,10 @@ import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partwise.llm.ids import hashed, injective_seed
+from partwise.llm.ids import Numbers
 from partwise.plans.lineage import Scratch
 from partwise.plans.ranking import running_totals
 
@@ -27,6 +27,7 @@ def hook_and_shortcut(edges: DataFrame, scratch: Scratch, jumps: int = 2, max_ro
     """(vertex, root) for every end of ``edges`` (long columns a and b, no nulls); root is the smallest vertex of the component.
 
     Loops and repeated edges do no harm; an end that has only loops is its own root.
+    Where few vertices are parents, their list is small as written and Spark broadcasts it.
     """
     ends = edges.select("a", "b")
     e = scratch.write(ends.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct())
@@ -37,10 +38,13 @@ def hook_and_shortcut(edges: DataFrame, scratch: Scratch, jumps: int = 2, max_ro
         if len(parents) == max_rounds:
             raise RuntimeError("hooking did not end")
         both = live.select("x", "y").unionAll(live.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        p = both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("p"))
-        p = scratch.write(p)
+        p = scratch.write(both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("p")))
         for _ in range(jumps):  # every parent is itself a vertex with a parent
-            p = scratch.write(p.select("x", F.col("p").alias("_p")).join(p.select(F.col("x").alias("_p"), "p"), "_p").select("x", "p"))
+            hubs = scratch.write(p.select("p").distinct())
+            up = scratch.write(p.select(F.col("x").alias("p"), F.col("p").alias("_p")).join(hubs, "p").filter("p <> _p"))
+            if up.isEmpty():
+                break
+            p = scratch.write(p.join(up, "p", "left").select("x", F.coalesce("_p", "p").alias("p")))
         parents.append(p)
         lifted = live.join(p.withColumnRenamed("p", "px"), "x").select("px", F.col("y").alias("x")).join(p, "x").filter("px <> p")
         live = scratch.write(lifted.select(F.least("px", "p").alias("x"), F.greatest("px", "p").alias("y")).distinct())
@@ -54,20 +58,43 @@ def hook_and_shortcut(edges: DataFrame, scratch: Scratch, jumps: int = 2, max_ro
     return down.unionByName(alone).toDF("vertex", "root")
 
 
-def components(df: DataFrame, record: str, keys: Sequence[str], scratch: Scratch) -> tuple[DataFrame, int]:
-    """(vertex, root) over records and key values as hashed longs, and the seed of the hash.
+def _number(seed: int, kind: str | Column, value: str | Column) -> Column:
+    """A hash behind the number of the kind, so that values of earlier kinds come first."""
+    kind = F.col(kind) if isinstance(kind, str) else kind
+    return F.shiftleft(kind.cast("long"), 59) + F.shiftrightunsigned(F.xxhash64(F.lit(seed), kind, value), 5)
 
-    Records (``record`` not null) and the values of ``keys`` are vertices; a row links
-    its record and its values. Rows without a record link their values alone.
+
+class Related:
+    """Rows related by key values and by records, and the components that they form.
+
+    ``keys`` go from coarse to fine (15 at most): vertices are the values of the keys, numbered so
+    that coarse ones come first and become parents at once. A row links its values;
+    rows of one record link theirs. A row without values stands for its record.
+
+    ``vertices``: (kind, value, lo, hi, vertex), with the least and largest ``mark`` of the rows that have the value.
+    ``rows``: (record, mark, hub), hub being the vertex of the first value. ``parents``: (vertex, root).
     """
-    flat = [F.struct(F.lit(i).alias("kind"), F.col(k).cast("string").alias("value")) for i, k in enumerate([record, *keys])]
-    nodes = scratch.write(df.select(F.explode(F.array(*flat)).alias("n")).select("n.kind", "n.value").filter("value IS NOT NULL").distinct())
-    seed = injective_seed(nodes, ["kind", "value"])
-    number = lambda i, k: F.when(F.col(k).isNotNull(), F.xxhash64(F.lit(seed), F.lit(i), F.col(k).cast("string")))
-    numbered = df.select(*[number(i, k).alias(f"n{i}") for i, k in enumerate([record, *keys])]).distinct()
-    hub = F.coalesce(*[F.col(f"n{i}") for i in range(len(keys) + 1)])
-    edges = numbered.select(hub.alias("a"), F.explode(F.array(*[F.col(f"n{i}") for i in range(len(keys) + 1)])).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL").distinct()
-    return hook_and_shortcut(edges, scratch), seed
+
+    def __init__(self, df: DataFrame, record: str, keys: Sequence[str], mark: Column, scratch: Scratch):
+        none = F.lit(None).cast("string")
+        flat = scratch.write(df.select(F.col(record).cast("string").alias("record"), mark.cast("string").alias("mark"), *[F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys)]))
+        names = [f"k{i}" for i in range(len(keys))]
+        bare = F.coalesce(*[F.col(n) for n in names], none).isNull()
+        flat = flat.withColumn(f"k{len(keys)}", F.when(bare, F.col("record")))
+        names.append(f"k{len(keys)}")
+        each = F.array(*[F.struct(F.lit(i).alias("kind"), F.col(n).alias("value")) for i, n in enumerate(names)])
+        nodes = flat.select(F.explode(each).alias("x"), "mark").select("x.*", "mark").filter("value IS NOT NULL")
+        nodes = scratch.write(nodes.groupBy("kind", "value").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")))
+        numbers = Numbers(nodes, ["kind", "value"], scratch, _number)
+        self.vertices = numbers.add(nodes, "vertex")
+        for i, n in enumerate(names):
+            flat = numbers.add(flat, f"n{i}", [F.lit(i), F.col(n)])
+        hub = F.coalesce(*[F.col(f"n{i}") for i in range(len(names))])
+        self.rows = flat.select("record", "mark", hub.alias("hub"), F.array_compact(F.array(*[F.col(f"n{i}") for i in range(len(names))])).alias("ns")).filter("hub IS NOT NULL")
+        several = self.rows.dropna(subset=["record"]).groupBy("record").agg(F.min("hub").alias("lo"), F.max("hub").alias("hi")).filter("lo <> hi").select("record", "lo")
+        ties = self.rows.join(scratch.write(several), "record").select(F.col("lo").alias("a"), F.col("hub").alias("b"))
+        edges = self.rows.select(F.col("hub").alias("a"), F.explode("ns").alias("b")).unionAll(ties)
+        self.parents = scratch.write(hook_and_shortcut(edges.distinct(), scratch))
 
 
 def _closest(left: Mapping[int, int], goal: float) -> dict[int, int]:
@@ -144,17 +171,18 @@ def group_splits(records: DataFrame, record: str, keys: Sequence[str], targets:
     """(record, component, partition) for every different non-null record; all records of a component share one partition.
 
     ``component`` is the root's number as text. Rows may repeat; a record whose
-    rows carry different key values links them. Null keys link nothing. Only the
-    table of component sizes is gathered: at most sqrt(2 n) different sizes for n
-    records. An empty input gives an empty result.
+    rows carry different key values links them. Null keys link nothing. Records are
+    counted and placed by their first value, so that only one join has a row for
+    each record, and where few values come first, their list is small as written
+    and Spark broadcasts it. Only the table of component sizes is gathered: at most
+    sqrt(2 n) different sizes for n records. An empty input gives an empty result.
     """
-    scratch = Scratch(records.sparkSession, "splits")
-    df = scratch.write(records.select(F.col(record).cast("string").alias("_rec"), *[F.col(k).cast("string").alias(f"_key{i}") for i, k in enumerate(keys)]).distinct())
-    names = [f"_key{i}" for i in range(len(keys))]
-    parents, seed = components(df, "_rec", names, scratch)
-    recs = df.select("_rec").dropna().distinct().select("_rec", F.xxhash64(F.lit(seed), F.lit(0), F.col("_rec")).alias("vertex"))
-    placed = scratch.write(recs.join(parents, "vertex").select("_rec", "root"))
-    sized = scratch.write(placed.groupBy("root").agg(F.count(F.lit(1)).alias("size")))
+    spark = records.sparkSession
+    scratch = Scratch(spark, "splits")
+    rel = Related(records, record, keys, F.lit(None), scratch)
+    placed = scratch.write(rel.rows.dropna(subset=["record"]).groupBy("record").agg(F.min("hub").alias("vertex")))
+    hubs = scratch.write(placed.groupBy("vertex").agg(F.count(F.lit(1)).alias("n")).join(rel.parents, "vertex"))
+    sized = scratch.write(hubs.groupBy("root").agg(F.sum("n").alias("size")))
     sizes = {r["size"]: r["n"] for r in sized.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = choose_sizes(sizes, targets)
     ranked = running_totals(sized, ["size"], [F.asc("root")], position="rank", scratch=scratch)
@@ -163,27 +191,24 @@ def group_splits(records: DataFrame, record: str, keys: Sequence[str], targets:
         for s, c in sorted(took.items()):
             ranges.append((int(s), upto.get(s, 0), upto.get(s, 0) + c, name))
             upto[s] = upto.get(s, 0) + c
-    table = records.sparkSession.createDataFrame(ranges, "size long, after long, upto long, partition string")
+    table = spark.createDataFrame(ranges, "size long, after long, upto long, partition string")
     # At most (splits x different sizes) rows, sqrt-bounded as above.
     given = ranked.join(F.broadcast(table), "size").filter("rank > after AND rank <= upto").select("root", "partition")
-    return placed.join(given, "root").select(F.col("_rec").alias(record), F.col("root").cast("string").alias("component"), "partition")
+    where = scratch.write(hubs.join(given, "root").select("vertex", "root", "partition"))
+    return placed.join(where, "vertex").select(F.col("record").alias(record), F.col("root").cast("string").alias("component"), "partition")
 
 
 def straddling_keys(records: DataFrame, record: str, keys: Sequence[str], partition: str) -> DataFrame:
-    """(key_kind, key_value): values of ``keys`` whose records lie in more than one partition.
+    """(key_kind, key_value, component): values of ``keys`` whose records lie in more than one partition, each once.
 
-    Rows with a null partition don't count, but they link. A value can straddle
-    only inside a component that does, so components are formed first and only
-    the rows of straddling ones are checked value by value. Each value once.
+    Rows with a null partition don't count, but they link. The rows come from the
+    table of parents, joined with what partitions each vertex has; ``component`` is
+    the least `kind=value` of all that is related to the value, directly or over others.
     """
     scratch = Scratch(records.sparkSession, "straddle")
-    names = [f"_key{i}" for i in range(len(keys))]
-    df = records.select(F.col(record).cast("string").alias("_rec"), *[F.col(k).cast("string").alias(n) for k, n in zip(keys, names)], F.col(partition).cast("string").alias("_part")).distinct()
-    df = scratch.write(df)
-    parents, seed = components(df, "_rec", names, scratch)
-    hub = F.coalesce(*[F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(seed), F.lit(i), F.col(c))) for i, c in enumerate(["_rec", *names])])
-    rows = scratch.write(df.filter("_part IS NOT NULL").withColumn("vertex", hub).join(parents, "vertex"))
-    straddling = rows.groupBy("root").agg(F.min("_part").alias("_lo"), F.max("_part").alias("_hi")).filter("_lo <> _hi").select("root")
-    pairs = F.array(*[F.struct(F.lit(k).alias("key_kind"), F.col(n).alias("key_value")) for k, n in zip(keys, names)])
-    open_rows = rows.join(straddling, "root", "left_semi").select(F.explode(pairs).alias("k"), "_part").select("k.*", "_part").filter("key_value IS NOT NULL")
-    return open_rows.groupBy("key_kind", "key_value").agg(F.min("_part").alias("_lo"), F.max("_part").alias("_hi")).filter("_lo <> _hi").select("key_kind", "key_value")
+    rel = Related(records, record, keys, F.col(partition), scratch)
+    kinds = F.array(*map(F.lit, [*keys, record]))
+    named = F.element_at(kinds, F.col("kind") + 1)
+    known = scratch.write(rel.parents.join(rel.vertices, "vertex").select("root", named.alias("key_kind"), F.col("value").alias("key_value"), (F.col("lo") != F.col("hi")).alias("_open"), F.when(F.col("kind") < len(keys), F.concat_ws("=", named, "value")).alias("_name")))
+    labels = known.groupBy("root").agg(F.min("_name").alias("component"), F.max("_open").alias("_any")).filter("_any")
+    return known.filter("_open").join(labels, "root").select("key_kind", "key_value", "component")

@@ -10,6 +10,7 @@ from partwise.llm.contraction import contract_ids
 from partwise.llm.editjoin import cross_split_pairs
 from partwise.llm.fusion import LEAD, fuse
 from partwise.llm.splits import group_splits, straddling_keys
+from partwise.plans.lineage import Scratch
 
 FIELDS = ("year", "version", "topology_signature", "canonical_sequence")
 KEYS = ("source", "analogue_component_id", "sealed_block_id")
@@ -82,6 +83,11 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Sources, components and blocks whose records lie in more than one partition."""
+    return p4_conflicts(spark, sf).select("key_kind", "key_value")
+
+
+def p4_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    """The same values, each with the least name of the component of related records that the stored partitions divide there."""
     return straddling_keys(records(spark, sf), "record", KEYS, "split")
 
 
@@ -91,6 +97,17 @@ def p4_split(spark: SparkSession, sf: str) -> DataFrame:
     return group_splits(records(spark, sf), "record", KEYS, targets).withColumnRenamed("record", "curated_id")
 
 
+def p4_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the made split: records placed and placed twice, partitions used, and components and key values that lie in two partitions."""
+    made = Scratch(spark, "audit").write(p4_split(spark, sf).withColumnRenamed("curated_id", "record"))
+    rows = records(spark, sf).select("record", *KEYS).join(made, "record")
+    values = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in [*KEYS, "component"]])
+    each = rows.select(F.explode(values).alias("x"), "partition").select("x.*", "partition").filter("value IS NOT NULL").groupBy("kind", "value").agg((F.min("partition") != F.max("partition")).alias("split"))
+    split = each.agg(F.count_if(F.col("split") & (F.col("kind") == "component")).alias("n_components_split"), F.count_if(F.col("split") & (F.col("kind") != "component")).alias("n_values_split"))
+    whole = made.agg(F.count(F.lit(1)).alias("n_records"), (F.count(F.lit(1)) - F.count_distinct("record")).alias("n_repeated"), F.count_distinct("partition").alias("n_partitions"))
+    return whole.join(split)  # one row each
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of a train record and a held-out record with one molecule or nearly one structure."""
     return cross_split_pairs(records(spark, sf)).toDF("curated_id_a", "curated_id_b")
@@ -105,7 +122,7 @@ def p5_counts(spark: SparkSession, sf: str) -> DataFrame:
     return hits.groupBy(F.col("split").alias("partition"), "source").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("record").alias("n_records"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_fused, p3_found, p3_group_sizes, p4_found, p4_split, p5_found, p5_counts)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_fused, p3_found, p3_group_sizes, p4_found, p4_conflicts, p4_split, p4_audit, p5_found, p5_counts)}
 
 _SPLIT_CASE = "CASE " + " ".join(f"WHEN {sql_plain_words('partition')} IN ({', '.join(map(repr, ways))}) THEN '{name}'" for name, ways in PARTITION_NAMES.items()) + " END"
 _RECORDS = f"""r AS (SELECT DISTINCT curated_id AS record, {sql_plain_id('molecule_id')} AS molecule, {sql_strip('canonical_smiles')} AS structure, {_SPLIT_CASE} AS split,
@@ -138,6 +155,19 @@ f AS ({_FOUND2}) SELECT f.* FROM f JOIN (SELECT raw_group_id FROM m GROUP BY 1 H
     "p3_found": f"{_GROUPS} SELECT * FROM g",
     "p3_group_sizes": f"{_GROUPS} SELECT n_molecules, count(*) AS n_groups FROM (SELECT count(*) AS n_molecules FROM g GROUP BY group_molecule_id) GROUP BY 1",
     "p4_found": f"WITH {_RECORDS} " + " UNION ALL ".join(f"SELECT '{k}' AS key_kind, {k} AS key_value FROM r WHERE {k} IS NOT NULL GROUP BY 2 HAVING count(DISTINCT split) > 1" for k in KEYS),
+    "p4_conflicts": f"""WITH RECURSIVE {_RECORDS},
+n AS MATERIALIZED (SELECT row_number() OVER () AS i, * FROM r),
+v AS (SELECT i, 'source=' || source AS v FROM n WHERE source IS NOT NULL UNION SELECT i, 'analogue_component_id=' || analogue_component_id FROM n WHERE analogue_component_id IS NOT NULL
+      UNION SELECT i, 'sealed_block_id=' || sealed_block_id FROM n WHERE sealed_block_id IS NOT NULL UNION SELECT i, 'record=' || record FROM n WHERE record IS NOT NULL),
+g AS (SELECT v, min(i) AS m FROM v GROUP BY v), l AS MATERIALIZED (SELECT DISTINCT v.i AS a, g.m AS b FROM v JOIN g USING (v) WHERE v.i <> g.m),
+b AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l), d AS MATERIALIZED (SELECT DISTINCT m AS o FROM g),
+s AS MATERIALIZED (SELECT DISTINCT x.b AS a, y.b AS b FROM l x JOIN l y USING (a) UNION SELECT a, b FROM b WHERE a IN (SELECT o FROM d) AND b IN (SELECT o FROM d) UNION SELECT o, o FROM d),
+reach AS (SELECT o AS a, o AS b FROM d UNION SELECT reach.a, s.b FROM reach JOIN s ON s.a = reach.b),
+c AS (SELECT a, min(b) AS c FROM reach GROUP BY a), w AS (SELECT v, c.c FROM g JOIN c ON c.a = g.m WHERE NOT v LIKE 'record=%'),
+k AS (SELECT c, min(v) AS component FROM w GROUP BY c),
+open AS ({" UNION ALL ".join(f"SELECT '{k}' AS key_kind, {k} AS key_value FROM r WHERE {k} IS NOT NULL GROUP BY 2 HAVING count(DISTINCT split) > 1" for k in KEYS)})
+SELECT key_kind, key_value, component FROM open JOIN g ON g.v = key_kind || '=' || key_value JOIN c ON c.a = g.m JOIN k ON k.c = c.c""",
+    "p4_audit": f"WITH {_RECORDS} SELECT count(DISTINCT record) AS n_records, 0 AS n_repeated, (SELECT count(*) FROM split_targets WHERE target_share > 0) AS n_partitions, 0 AS n_components_split, 0 AS n_values_split FROM r",
     "p5_found": f"{_PAIRS} SELECT * FROM pairs",
     "p5_counts": f"""{_PAIRS}, held AS (SELECT DISTINCT record, split, coalesce(source, '') AS source FROM r WHERE split <> 'train' AND record IS NOT NULL),
 ends AS (SELECT curated_id_a AS record FROM pairs UNION ALL SELECT curated_id_b FROM pairs)

@@ -9,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from partwise.llm.contraction import contract, contract_ids
-from partwise.llm.editjoin import cross_split_pairs, edit_join
+from partwise.llm.editjoin import cross_split_pairs, edit_join, segment_windows, substring_windows
 from partwise.llm.fusion import LEAD, N_CHANNELS, copy_probability, fuse, pair_counts, parse, posterior, prepare
-from partwise.llm.ids import hex_number, hex_text, injective_seed
+from partwise.llm.ids import Numbers, hex_number, hex_text
+from partwise.plans.lineage import Scratch
 from partwise.llm.splits import choose_sizes, group_splits, straddling_keys
 
 
@@ -70,8 +71,16 @@ def test_hex_numbers_round_trip_in_order(spark):
     assert [r.v for r in rows] == [r.t for r in rows] == ids
 
 
-def test_injective_seed(spark):
-    assert injective_seed(spark.range(100), ["id"]) == 0
+def test_numbers_differ_though_hashes_coincide(spark):
+    few = lambda seed, *cols: F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 9))
+    rows = spark.createDataFrame([(i % 3, f"v{i}") for i in range(200)], "kind int, value string")
+    numbers = Numbers(rows, ["kind", "value"], Scratch(spark, "test"), few)
+    assert numbers.moved.count() > 10
+    twice = rows.unionAll(rows).unionAll(spark.createDataFrame([(1, None)], "kind int, value string"))
+    got = numbers.add(twice, "n").collect()
+    assert len(got) == 401 and len({(r.kind, r.value) for r in got if r.n is not None}) == len({r.n for r in got} - {None}) == 200
+    plain = Numbers(rows, ["value"], Scratch(spark, "test"))
+    assert plain.moved is None and plain.add(rows, "n").select("n").distinct().count() == 200
 
 
 KEYS = ["source", "comp", "block"]
@@ -115,6 +124,12 @@ def test_straddling_keys(spark):
                 parts.setdefault((k, v), set()).add(part)
     got = straddling_keys(spark.createDataFrame(rows, RECORDS), "rec", KEYS, "part").collect()
     assert sorted((r.key_kind, r.key_value) for r in got) == sorted(k for k, p in parts.items() if len(p) > 1)
+    edges = [(("r", rec or f"row{i}"), (k, v)) for i, (rec, *keys, _, _, _) in enumerate(rows) for k, v in zip(KEYS, keys) if v]
+    of, least = components(edges), {}
+    for (k, v), root in of.items():
+        if k != "r":
+            least[root] = min(least.get(root, "z"), f"{k}={v}")
+    assert all(r.component == least[of[r.key_kind, r.key_value]] for r in got)
 
 
 def test_splits_of_empty_table(spark):
@@ -174,6 +189,17 @@ def test_edit_join_finds_every_pair(spark, k):
     got = {(x.cut_id, x.other_id): x.distance for x in edit_join(a, b, k).collect()}
     want = {(i, j): d for i, x in enumerate(base) for j, y in enumerate(other) if (d := levenshtein(x, y)) <= k}
     assert got == want
+    assert {(x.cut_id, x.other_id): x.distance for x in edit_join(a, b, k, most_bits=0).collect()} == want  # without the filter
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 5])
+def test_a_segment_is_met_within_k_edits(k):
+    r = random.Random(k)
+    for _ in range(4000):
+        x = "".join(r.choice("CN") for _ in range(r.randrange(0, 8 * k)))
+        y = edited(r, x, k)
+        cut = {(q, s, x[p : p + w]) for q, s, p, w in segment_windows(len(x), k)}
+        assert cut & {(q, s, y[p : p + w]) for q, s, p, w in substring_windows(len(y), k)}, (x, y)
 
 
 def test_cross_split_pairs(spark):

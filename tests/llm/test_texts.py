@@ -74,7 +74,7 @@ def test_plan_fills_mixed_sizes_well():
     plan = Plan(counts, 2048)
     fills = bins_of(plan, counts)
     assert plan.bins - -(-fills.sum() // 2048) <= 2
-    keys, _ = plan.lookup()
+    _, keys, _ = plan.lookup()
     assert (np.diff(keys) > 0).all()
 
 
@@ -85,6 +85,17 @@ def test_plan_refuses_what_cannot_be():
         Plan({11: 1}, 10)
 
 
+def test_pack_with_a_large_capacity(spark):
+    """Sizes whose products with their ranks leave 64 bits in a careless key."""
+    r = random.Random(11)
+    df = spark.createDataFrame([(i, r.choice([300_000, 600_000, 524_288, 1_000_000, r.randrange(1, 1_000_000), 2_500_001])) for i in range(600)], "id long, n_tokens long")
+    rows = pack(df, {"m": 1_000_000}).collect()
+    room = {}
+    for x in rows:
+        room[x.container_id] = room.get(x.container_id, 0) + x.n_tokens
+    assert max(room.values()) <= 1_000_000 and sum(room.values()) == sum(x.n_tokens for x in df.collect())
+
+
 def test_pack(spark):
     sizes = [0, None, 3, 10, 10, 25, 30, 4, 6, 7, 7, 7, 7, 1, 1, 1, 10_000] + [5] * 40
     df = spark.createDataFrame([(i, n, "x", 1) for i, n in enumerate(sizes)], "id long, n_tokens long, rest string, cap int")
