@@ -11,6 +11,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written during one operator call. ``drop`` removes one early; the rest goes when Python ends.
+    """Tables written during one operator call. ``drop`` removes one early; the rest goes when its ``scratch_scope`` or Python ends.
 
     Tables that a lazily evaluated result still reads must not be dropped.
     """
@@ -48,6 +50,11 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def last_bytes(self) -> int:
+        """Bytes of the table written last."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{self.made:04d}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
     def drop(self, df: DataFrame) -> None:
         """Remove the table behind a DataFrame that ``write`` returned."""
         for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
@@ -63,11 +70,22 @@ class Scratch:
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Removes at its end all tables written within it: for long-lived drivers, around a call and the use of its result."""
+    before = len(_OPEN)
+    try:
+        yield
+    finally:
+        _forget(before)
+
+
 @atexit.register
-def _forget() -> None:
-    for s in _OPEN:
+def _forget(start: int = 0) -> None:
+    for s in _OPEN[start:]:
         try:
             if s.spark.sparkContext._jsc is not None:
                 s.drop_all()
         except Exception:  # the session is gone; the folder's owner clears it
             pass
+    del _OPEN[start:]

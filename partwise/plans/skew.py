@@ -11,21 +11,27 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A key is heavy when it holds this share of the sampled rows; so there are at most 1 / HEAVY_SHARE heavy keys.
-HEAVY_SHARE = 1 / 256
+#: There are this many heavy keys at least before a key counts as light, and twice as many as shuffle partitions.
+LEAST_HEAVY = 256
 SAMPLE_FRACTION = 0.05
 
 
-def heavy_keys(df: DataFrame, keys: Sequence[str], share: float = HEAVY_SHARE, fraction: float = SAMPLE_FRACTION, seed: int = 17) -> DataFrame:
-    """The keys that hold at least ``share`` of a sample, each with an int ``_slot``: at most 1 / share rows.
+def heavy_share(spark: SparkSession) -> float:
+    """A key is heavy when it holds this share of the sampled rows: half a task's even share, so no light key makes a task much longer than the others."""
+    return 1 / max(LEAST_HEAVY, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def heavy_keys(df: DataFrame, keys: Sequence[str], share: float | None = None, fraction: float = SAMPLE_FRACTION, seed: int = 17) -> DataFrame:
+    """The keys that hold at least ``share`` (default ``heavy_share``) of a sample, each with an int ``_slot``: at most 1 / share rows.
 
     Only that bounded list is gathered. Rows with a null key are left out.
     """
     spark = df.sparkSession
+    share = share or heavy_share(spark)
     seen = Observation()
     counts = df.select(*keys).dropna().sample(False, fraction, seed).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).observe(seen, F.sum("_n").alias("all"))
     top = counts.orderBy(F.desc("_n"), *keys).limit(max(1, int(1 / share))).collect()
@@ -37,7 +43,7 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], share: float = HEAVY_SHARE, f
     return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], schema.add("_slot", T.IntegerType()))
 
 
-def distinct_counts(df: DataFrame, keys: Sequence[str], items: Mapping[str, str], rows: str | None = None, share: float = HEAVY_SHARE, fraction: float = SAMPLE_FRACTION) -> DataFrame:
+def distinct_counts(df: DataFrame, keys: Sequence[str], items: Mapping[str, str], rows: str | None = None, share: float | None = None, fraction: float = SAMPLE_FRACTION) -> DataFrame:
     """For each key the number of different non-null values of each item column.
 
     ``items`` maps result columns to item columns; ``rows`` names an optional
