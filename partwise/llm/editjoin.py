@@ -11,8 +11,9 @@ share, so a string of the other side has few substrings to offer.
 
 These are matched with the segments by hash. While the segments are few enough, a
 bit filter of bounded size goes to the tasks first, and only the substrings that
-pass it are shuffled; beyond that all are. Every candidate is verified by Spark's
-banded Levenshtein. Only (hash, id) pairs are shuffled for the match, never the texts.
+pass it are shuffled; beyond that all are. Candidates whose characters differ too much
+drop out, the others are verified by Spark's banded Levenshtein. Only hashes, ids and
+counts of characters are shuffled for the match, never the texts.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partwise.llm.ids import Numbers
@@ -56,11 +57,28 @@ def substring_windows(length: int, k: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def _window_keys(texts: list[str], windows: list[tuple[int, int, int, int]]) -> np.ndarray:
+def _codes(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(texts), len(texts[0])).astype(np.uint64)
+
+
+def _bags(codes: np.ndarray) -> np.ndarray:
+    """How often each of eight classes of characters occurs (255 at most), a byte each. An edit moves one count, or two by one."""
+    of, out = (codes ^ (codes >> np.uint64(3))) & np.uint64(7), np.zeros(len(codes), np.uint64)
+    for c in range(8):
+        out |= np.minimum((of == c).sum(1), 255).astype(np.uint64) << np.uint64(8 * c)
+    return out.view(np.int64)
+
+
+def _bags_apart(a: str, b: str) -> Column:
+    """The sum of differences of two bags: at most twice the edits between the strings."""
+    count = lambda x, c: F.shiftrightunsigned(x, 8 * c).bitwiseAND(F.lit(255))
+    return sum((F.abs(count(a, c) - count(b, c)) for c in range(1, 8)), F.abs(count(a, 0) - count(b, 0)))
+
+
+def _window_keys(codes: np.ndarray, windows: list[tuple[int, int, int, int]]) -> np.ndarray:
     """Keys of the windows (columns) of strings of one length (rows), by prefix hashes: each costs the same, whatever its width."""
-    m = len(texts[0])
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(texts), m).astype(np.uint64)
-    prefix = np.zeros((m + 1, len(texts)), np.uint64)
+    m = codes.shape[1]
+    prefix = np.zeros((m + 1, len(codes)), np.uint64)
     for j in range(m):
         prefix[j + 1] = prefix[j] * np.uint64(_BASE) + codes[:, j] + np.uint64(1)
     power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(m, _BASE, np.uint64)]))
@@ -80,7 +98,7 @@ def _passed(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 
 def _keyed(df: DataFrame, name: str, k: int, windows: Callable[[int, int], list[tuple[int, int, int, int]]], bits: Broadcast | None = None) -> DataFrame:
-    """(name, key) for every window of every (id, s) that passes the filter."""
+    """(name_id, key, name_bag) for every window of every (id, s) that passes the filter."""
 
     def run(batches):
         for batch in batches:
@@ -92,14 +110,15 @@ def _keyed(df: DataFrame, name: str, k: int, windows: Callable[[int, int], list[
             for length, (ids, texts) in by_length.items():
                 at = windows(length, k)
                 for lo in range(0, len(ids), 1024):
-                    keys = np.ascontiguousarray(_window_keys(texts[lo : lo + 1024], at)).ravel()
-                    owner = np.repeat(np.array(ids[lo : lo + 1024], np.int64), len(at))
+                    codes = _codes(texts[lo : lo + 1024])
+                    keys = np.ascontiguousarray(_window_keys(codes, at)).ravel()
+                    owner, bag = np.repeat(np.array(ids[lo : lo + 1024], np.int64), len(at)), np.repeat(_bags(codes), len(at))
                     if bits is not None:
                         there = _passed(keys, bits.value)
-                        keys, owner = keys[there], owner[there]
-                    yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(keys)], [name, "key"])
+                        keys, owner, bag = keys[there], owner[there], bag[there]
+                    yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(keys), pa.array(bag)], [f"{name}_id", "key", f"{name}_bag"])
 
-    return df.select("id", "s").mapInArrow(run, f"{name} bigint, key bigint")
+    return df.select("id", "s").mapInArrow(run, f"{name}_id bigint, key bigint, {name}_bag bigint")
 
 
 def _filter(keys: DataFrame, n: int) -> Broadcast:
@@ -121,11 +140,11 @@ def edit_join(cut: DataFrame, other: DataFrame, k: int = 5, scratch: Scratch | N
     """
     scratch = scratch or Scratch(cut.sparkSession, "edit")
     a, b = cut.select("id", "s").dropna(), other.select("id", "s").dropna()
-    keys = scratch.write(_keyed(a, "cut_id", k, segment_windows))
+    keys = scratch.write(_keyed(a, "cut", k, segment_windows))
     n = keys.count()
     bits = _filter(keys, n) if n * BITS_EACH <= most_bits else None
     # The segments are a small part of what they meet, so each partition's are hashed instead of sorting both sides.
-    candidates = keys.hint("shuffle_hash").join(_keyed(b, "other_id", k, substring_windows, bits), "key").select("cut_id", "other_id").distinct()
+    candidates = keys.hint("shuffle_hash").join(_keyed(b, "other", k, substring_windows, bits), "key").filter(_bags_apart("cut_bag", "other_bag") <= 2 * k).select("cut_id", "other_id").distinct()
     near = candidates.join(a.toDF("cut_id", "_a"), "cut_id").join(b.toDF("other_id", "_b"), "other_id")
     return near.select("cut_id", "other_id", F.levenshtein("_a", "_b", k).alias("distance")).filter("distance >= 0")
 
