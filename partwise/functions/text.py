@@ -36,6 +36,19 @@ def is_missing(c: Column | str) -> Column:
     return F.coalesce(F.lower(strip(_col(c).cast("string"))).isin(*MISSING), F.lit(True))
 
 
+#: Names of the four partitions after lower-casing and joining words by ``_``. Fixed values.
+PARTITION_NAMES = {"train": ("train", "training"), "validation": ("validation", "valid", "val"), "calibration": ("calibration", "calib", "cal"), "final_test": ("final_test", "finaltest", "test", "testing")}
+
+
+def plain_partition(c: Column | str) -> Column:
+    """One of the four partitions; null for null and for unknown names."""
+    t = plain_words(c)
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for name, ways in PARTITION_NAMES.items():
+        out = out.when(t.isin(*ways), name)
+    return out
+
+
 # The same rules as text for DuckDB.
 SQL_BLANKS = " || ".join(f"chr({ord(x)})" for x in BLANKS)
 
@@ -55,3 +68,7 @@ def sql_plain_words(c: str) -> str:
 
 def sql_is_missing(c: str) -> str:
     return f"coalesce(lower({sql_strip(c)}) IN ({', '.join(repr(x) for x in MISSING)}), true)"
+
+
+def sql_plain_partition(c: str) -> str:
+    return "CASE " + " ".join(f"WHEN {sql_plain_words(c)} IN ({', '.join(map(repr, ways))}) THEN '{name}'" for name, ways in PARTITION_NAMES.items()) + " END"

@@ -12,8 +12,10 @@ from partwise.plans.ranking import running_totals
 
 
 def quantile_bins(df: DataFrame, scope: Sequence[str], value: str, bins: int = 10, out: str = "bin") -> DataFrame:
-    """``df`` with the 1-based bin of ``value`` between exact quantiles of its scope; bins are closed on the right, the least value is in the first."""
-    edges = exact_quantiles(df, scope, value, [i / bins for i in range(1, bins)], "_edges")
+    """``df`` with the 1-based bin of ``value`` between exact quantiles of its scope; bins are closed on the right, the least value is in the first. Repeated edges, ends included, are an error."""
+    edges = exact_quantiles(df, scope, value, [i / bins for i in range(bins + 1)], "_all")
+    differ = F.size(F.array_distinct("_all")) == F.size("_all")
+    edges = edges.select(*scope, F.when(differ, F.slice("_all", 2, bins - 1)).otherwise(F.raise_error(F.lit(f"quantile edges of {value} repeat"))).alias("_edges"))
     return df.join(edges, list(scope)).withColumn(out, F.size(F.filter("_edges", lambda e: e < F.col(value))) + 1).drop("_edges")
 
 

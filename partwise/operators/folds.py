@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from partwise.functions.hashing import frame_hash, id_set_hash
@@ -14,26 +16,31 @@ from partwise.plans.contracts import Violation, require_empty, require_finite, r
 from partwise.plans.ranking import running_totals
 
 
-def _greedy(groups: Column, folds: int) -> Column:
-    """Folds (1-based) of an array of (-size, id) in order: each goes to the fold of least total, ties to the first."""
-    start = F.struct(F.array_repeat(F.lit(0).cast("long"), folds).alias("t"), F.array().cast("array<int>").alias("f"))
-
-    def step(acc: Column, x: Column) -> Column:
-        at = F.array_position(acc["t"], F.array_min(acc["t"])).cast("int")
-        return F.struct(F.transform(acc["t"], lambda v, i: F.when(i == at - 1, v - x["s"]).otherwise(v)).alias("t"), F.concat(acc["f"], F.array(at)).alias("f"))
-
-    return F.aggregate(groups, start, step, lambda acc: acc["f"])
-
-
 def greedy_folds(sizes: DataFrame, scope: Sequence[str], group: str, size: str, folds: int) -> DataFrame:
-    """(scope, group, size, fold): groups by size downwards, then id, each to the smallest fold so far.
+    """(scope, group, size, fold): groups by size downwards, then id, each to the smallest fold so far (1-based; ties to the first).
 
-    The rule is sequential, so a scope's groups (not its rows) meet in one task: meant
-    for up to some ten thousand groups per scope.
+    The rule is sequential, so a scope's groups (not its rows) pass one task in their
+    order, in batches; a heap holds the totals, so each group costs the logarithm of
+    the number of folds.
     """
-    g = sizes.groupBy(*scope).agg(F.array_sort(F.collect_list(F.struct((-F.col(size)).cast("long").alias("s"), F.col(group).alias("g")))).alias("a"))
-    placed = g.withColumn("f", _greedy(F.col("a"), folds)).select(*scope, F.explode(F.arrays_zip("a", "f")).alias("x"))
-    return placed.select(*scope, F.col("x.a.g").alias(group), (-F.col("x.a.s")).alias(size), F.col("x.f").alias("fold"))
+    out = T.StructType([*[sizes.schema[c] for c in scope], sizes.schema[group], sizes.schema[size], T.StructField("fold", T.IntegerType())])
+    names = [*scope, group, size, "fold"]
+
+    def place(batches):
+        heap, last = [], None
+        for b in batches:
+            at = []
+            for *where, _, n in b[[*scope, group, size]].itertuples(index=False, name=None):
+                if where != last:
+                    heap, last = [(0, f) for f in range(1, folds + 1)], where
+                total, f = heap[0]
+                heapq.heapreplace(heap, (total + int(n), f))
+                at.append(f)
+            yield b.assign(fold=np.array(at, np.int32))[names]
+
+    rows = sizes.select(*scope, group, size)
+    ordered = (rows.repartition(*scope) if scope else rows.coalesce(1)).sortWithinPartitions(*scope, F.desc(size), F.asc(group))
+    return ordered.mapInPandas(place, out)
 
 
 def outer_folds(records: DataFrame, block: str) -> DataFrame:
@@ -72,36 +79,41 @@ def group_fold(records: DataFrame, record: str, group: str, folds: int = 5) -> D
 
 def hash_balanced_folds(records: DataFrame, record: str, sizes: DataFrame, fold: str, size: str, salt: str) -> DataFrame:
     """(record, fold) of the given exact sizes, in the order of a salted hash: a matched-size control that needs no generator state."""
-    w = Window.orderBy(fold)
-    bounds = sizes.select(fold, (F.sum(size).over(w) - F.col(size)).alias("lo"), F.sum(size).over(w).alias("hi"))  # one row per fold
+    upto, ends = 0, []
+    for f, n in sizes.select(fold, size).orderBy(fold).collect():  # one row per fold
+        upto += n
+        ends.append(F.struct(F.lit(upto).alias("hi"), F.lit(f).alias(fold)))
     ranked = records.select(record).distinct().withColumn("_h", F.sha2(F.concat(F.lit(salt), F.col(record)), 256))
     placed = running_totals(ranked, [], [F.asc("_h"), F.asc(record)], position="_p")
-    return placed.join(F.broadcast(bounds), (F.col("_p") > F.col("lo")) & (F.col("_p") <= F.col("hi"))).select(record, fold)
+    at = F.try_element_at(F.filter(F.array(*ends), lambda x: x["hi"] >= F.col("_p")), F.lit(1))[fold] if ends else F.lit(None).cast(sizes.schema[fold].dataType)
+    return placed.select(record, at.alias(fold)).dropna(subset=[fold])
 
 
-def matched_size_assignment(groups: list[tuple[str, int]], capacities: list[int], seed: int) -> dict[str, int]:
-    """Whole groups to folds (from 1) of exact capacities, at random: large groups with a chance in proportion to the room left, single records fill up.
+def matched_size_assignment(groups: Sequence[tuple[str, int]], capacities: Sequence[int], seed: int) -> dict[str, int]:
+    """Whole groups (id, size) to folds (from 1) of exact capacities, at random: a matched-size control by NumPy's PCG64 draws.
 
-    Driver-side, with NumPy's PCG64 generator; groups are given as (id, size).
+    Groups are shuffled from the order of their ids. Larger ones take, in that order, a
+    fold with room, with a chance in proportion to the room left; single records then
+    meet the remaining places, both shuffled once more. The order of draws is part of
+    the definition, so this runs on the driver, over one entry per group.
     """
-    rng, left, out = np.random.Generator(np.random.PCG64(seed)), np.array(capacities, float), {}
     if sum(n for _, n in groups) != sum(capacities):
         raise ValueError("sizes and capacities must have one sum")
-    order = [groups[i] for i in rng.permutation(len(groups))]
-    for g, n in sorted((x for x in order if x[1] > 1), key=lambda x: -x[1]):
-        room = np.where(left >= n, left, 0)
-        if room.sum() == 0:
-            raise ValueError("a group fits no fold any more")
-        out[g] = int(rng.choice(len(left), p=room / room.sum())) + 1
-        left[out[g] - 1] -= n
-    at = 0
-    for g, n in order:
-        if n == 1:
-            while left[at] == 0:
-                at += 1
+    rng, left, out = np.random.Generator(np.random.PCG64(seed)), np.array(capacities, int), {}
+    by_id = sorted(groups)
+    shuffled = [by_id[i] for i in rng.permutation(len(by_id))]
+    for g, n in shuffled:
+        if n > 1:
+            fits = np.flatnonzero(left >= n)
+            if not len(fits):
+                raise ValueError("a group fits no fold any more")
+            at = int(rng.choice(fits, p=left[fits] / left[fits].sum()))
+            left[at] -= n
             out[g] = at + 1
-            left[at] -= 1
-    return out
+    single = [g for g, n in shuffled if n == 1]
+    single = [single[i] for i in rng.permutation(len(single))]
+    places = np.repeat(np.arange(1, len(left) + 1), left)
+    return out | dict(zip(single, places[rng.permutation(len(places))].tolist()))
 
 
 def contract_roles(assigned: DataFrame, baskets: DataFrame) -> DataFrame:
@@ -140,6 +152,31 @@ def gate_counts(records: DataFrame, partition: str, minimum_components: int) ->
     ).withColumn("has_enough", F.col("n_components") >= minimum_components)
 
 
+#: The partitions in order and the least numbers that a release needs, by their names in the gate. Fixed names; numbers are the caller's.
+PARTITIONS = ("train", "validation", "calibration", "final_test")
+
+
+def gate_summary(records: DataFrame, minima: Mapping[str, int], partition: str = "partition") -> DataFrame:
+    """(rule, n, passed) for one release of partitions: components per partition against their minima, sources outside
+    train and in the final test against theirs, values in several partitions (none allowed) and, last, ``admissible``.
+
+    ``minima``: train, validation, calibration, final_test, sources_outside_train, final_test_sources. Rows without a partition don't count.
+    """
+    r = records.filter(F.col(partition).isNotNull())
+    part = F.col(partition)
+    counts = [F.count_distinct(F.when(part == p, F.col("analogue_component_id"))).alias(f"{p}_analogue_components") for p in PARTITIONS]
+    counts += [F.count_distinct(F.when(part != "train", F.col("source"))).alias("sources_outside_train"), F.count_distinct(F.when(part == "final_test", F.col("source"))).alias("final_test_sources")]
+    one = r.agg(*counts)
+    need = [minima[p] for p in PARTITIONS] + [minima["sources_outside_train"], minima["final_test_sources"]]
+    found = F.array(*[F.struct(F.lit(c).alias("rule"), F.col(c).alias("n"), (F.col(c) >= n).alias("passed")) for c, n in zip(one.columns, need)])
+    names = {"source": "sources", "analogue_component_id": "components", "sealed_block_id": "blocks"}
+    kind = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    several = overlap_counts(r, partition, list(names)).select(F.concat(kind[F.col("group_kind")], F.lit("_in_multiple_partitions")).alias("rule"), F.col("n_in_several").alias("n"), (F.col("n_in_several") == 0).alias("passed"))
+    every = one.select(F.explode(found).alias("x")).select("x.*").unionByName(several)
+    whole = every.agg(F.count_if(~F.col("passed")).alias("n"), F.min("passed").alias("passed"))
+    return every.unionByName(whole.select(F.lit("admissible").alias("rule"), "n", "passed"))
+
+
 def fold_targets(assigned: DataFrame, labels: DataFrame, fold: str, record: str, value: str) -> DataFrame:
     """(outer_fold, record, value): the training targets of each fold; held-out targets never appear. Meant for a sink partitioned by fold."""
     folds = assigned.select(F.col(fold).alias("outer_fold")).distinct()
@@ -176,6 +213,21 @@ def weight_sidecar(weights: DataFrame, record: str, weight: str) -> DataFrame:
     return frame_hash(weights.select(record, weight)).withColumnRenamed("content_hash", "weights_sha256")
 
 
+def contract_problems(roles: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(outer_fold, inner_basket, role, problem): where a manifest's numbers or id-set hashes don't follow from the roles.
+
+    Counts and hashes are derived anew per role, not through ``contract_manifest``; a
+    contract that only one side has is a problem of every role.
+    """
+    ids = roles.select("outer_fold", "inner_basket", "role", "record").distinct()
+    again = ids.groupBy("outer_fold", "inner_basket", "role").agg(F.count("record").alias("n"), id_set_hash("record").alias("h"))
+    stated = F.array(*[F.struct(F.lit(r).alias("role"), F.col(f"n_{r}").alias("_n"), F.col(f"{r}_sha256").alias("_h")) for r in ("fit", "validation", "test")])
+    said = manifest.select("outer_fold", "inner_basket", F.explode(stated).alias("x")).select("outer_fold", "inner_basket", "x.*").filter("_n > 0")
+    both = again.join(said, ["outer_fold", "inner_basket", "role"], "full")
+    problem = F.when(F.col("_n").isNull(), "not_in_manifest").when(F.col("n").isNull(), "not_in_roles").when(F.col("n") != F.col("_n"), "count").when(F.col("h") != F.col("_h"), "hash")
+    return both.withColumn("problem", problem).filter("problem IS NOT NULL").select("outer_fold", "inner_basket", "role", "problem")
+
+
 def residual_gaps(residuals: DataFrame, assigned: DataFrame, record: str = "record") -> DataFrame:
     """(outer_fold, n_residuals, n_repeated, n_missing): whether each fold has one residual for every record outside it."""
     n = assigned.select(record).distinct().count()

@@ -53,13 +53,22 @@ def similar_sets(items: DataFrame, threshold: float, low: float = 0.0, high: flo
 def one_edit_pairs(items: DataFrame) -> DataFrame:
     """(a, b) with a < b that differ in exactly one token; ``items``: id, tokens, topology.
 
-    Sequences meet in the buckets of their masks (one token replaced by ``*``), per
-    topology and length, and every meeting is verified.
+    Equal sequences are one class, by their least id; classes meet in the buckets of
+    their masks (one token replaced by ``*``), per topology and length, as ids alone,
+    and every meeting is verified. Members of a class are then paired with those of
+    the other, and equal sequences with each other where a rotation is one edit away.
     """
+    scratch = Scratch(items.sparkSession, "edits")
+    given = scratch.write(items.select("id", "tokens", "topology").dropna())
+    classes = scratch.write(given.groupBy("tokens", "topology").agg(F.min("id").alias("c")))
     cyc = F.col("topology").startswith("circle_head_to_tail")
-    m = items.select("id", "tokens", "topology").dropna().withColumn("mask", F.explode(masks("tokens", cyc))).withColumn("bucket", F.xxhash64("topology", F.to_json("mask"))).drop("mask")
-    j = m.toDF("a", "ta", "pa", "bucket").join(m.toDF("b", "tb", "pb", "bucket"), "bucket").filter("a < b")
-    return j.filter(one_token_edit("ta", "tb", "pa", "pb")).select("a", "b").distinct()
+    m = scratch.write(classes.withColumn("mask", F.explode(masks("tokens", cyc))).select("c", F.xxhash64("topology", F.to_json("mask")).alias("bucket")).distinct())
+    meet = m.toDF("a", "bucket").join(m.toDF("b", "bucket"), "bucket").filter("a <= b").select("a", "b").distinct()
+    full = meet.join(classes.toDF("ta", "pa", "a"), "a").join(classes.toDF("tb", "pb", "b"), "b")
+    near = scratch.write(full.filter(one_token_edit("ta", "tb", "pa", "pb")).select("a", "b"))
+    of = given.join(classes, ["tokens", "topology"]).select("id", "c")
+    pairs = near.join(of.toDF("x", "a"), "a").join(of.toDF("y", "b"), "b").filter("x <> y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def typed_edges(similar: DataFrame, edits: DataFrame, similar_type: str = "ecfp4", edit_type: str = "exact_one_token_edit") -> DataFrame:
@@ -121,14 +130,35 @@ def joint_blocks(records: DataFrame, source: str, component: str) -> DataFrame:
 
 
 def threshold_sweep(edges: DataFrame, vertices: DataFrame, thresholds: Sequence[float]) -> DataFrame:
-    """(threshold, n_edges, n_components) when edges with a similarity below the threshold are left out; edges without one always count."""
-    out = None
-    for t in thresholds:
-        kept = edges.filter(F.col("similarity").isNull() | (F.col("similarity") >= t))
-        n = connected_components(vertices, kept).agg(F.count_distinct("root").alias("n_components"))
-        row = n.withColumn("threshold", F.lit(float(t))).withColumn("n_edges", kept.agg(F.count(F.lit(1))).scalar())
-        out = row if out is None else out.unionByName(row)
-    return out.select("threshold", "n_edges", "n_components")
+    """(threshold, n_edges, n_components) when edges with a similarity below the threshold are left out; edges without one always count.
+
+    Thresholds go from high to low: a lower one only adds edges, so its components are
+    formed between those of the one before, over the added edges alone.
+    """
+    spark, scratch = vertices.sparkSession, Scratch(vertices.sparkSession, "sweep")
+    e = scratch.write(edges.select("a", "b", "similarity"))
+    of, above, out = None, None, []
+    for t in sorted(thresholds, reverse=True):
+        kept = F.col("similarity").isNull() | (F.col("similarity") >= t)
+        added = e.filter(kept if above is None else kept & ~above)
+        if of is None:
+            of = scratch.write(connected_components(vertices, added))
+        else:
+            new = added.join(of.toDF("a", "_a"), "a").join(of.toDF("b", "_b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+            up = connected_components(of.select(F.col("root").alias("id")), new).toDF("root", "_up")
+            of = scratch.write(of.join(up, "root").select("id", F.col("_up").alias("root")))
+        above = F.col("similarity").isNull() | (F.col("similarity") >= t)
+        out.append((float(t), e.filter(kept).count(), of.select("root").distinct().count()))
+    return spark.createDataFrame(out, "threshold double, n_edges long, n_components long")
+
+
+def sweep_reproduces(sweep: DataFrame, edges: DataFrame, vertices: DataFrame, threshold: float) -> DataFrame:
+    """(threshold, n_edges, n_components, reproduces): whether a sweep gives at one threshold what forming the components from nothing gives there."""
+    kept = edges.filter(F.col("similarity").isNull() | (F.col("similarity") >= threshold))
+    own = connected_components(vertices, kept).agg(F.count_distinct("root").alias("_c"))
+    n = kept.agg(F.count(F.lit(1)).alias("_e"))
+    at = sweep.filter(F.abs(F.col("threshold") - threshold) < 1e-9).join(own).join(n)  # one row each
+    return at.select("threshold", "n_edges", "n_components", ((F.col("n_edges") == F.col("_e")) & (F.col("n_components") == F.col("_c"))).alias("reproduces"))
 
 
 def nearest_training(items: DataFrame, split: str, threshold: float) -> DataFrame:

@@ -140,21 +140,38 @@ def jackknife(effects: DataFrame, alpha: float = 0.05) -> DataFrame:
     return _with_interval(out.withColumn("critical_value", _critical(alpha)(F.col("g")))).withColumn("degrees_of_freedom", F.col("g") - 1).drop("g")
 
 
-def sign_flip(contributions: DataFrame, tolerance: float = 1e-12, most: int = 26) -> DataFrame:
+def _half_sums(values: list[float]) -> np.ndarray:
+    sums = np.zeros(1)
+    for x in values:
+        sums = np.concatenate([sums - x, sums + x])
+    return np.sort(sums)
+
+
+def sign_flip(contributions: DataFrame, tolerance: float = 1e-14, direct: int = 24, most: int = 50) -> DataFrame:
     """Exhaustive two-sided sign-flip test over block contributions: (observed, n_blocks, n_assignments, n_exceedances, p_value).
 
-    The 2^G assignments are a range that tasks split; contributions (one per block) are
-    folded into the expression.
+    Up to ``direct`` blocks the 2^G assignments are a range that tasks split, with the
+    contributions (one per block) folded into the expression. Beyond that all sums of
+    each half of the blocks are sorted, and each sum of the first half counts those of
+    the second that carry it far enough: exact too, in 2^(G/2) numbers on the driver.
     """
     c = [r[0] for r in contributions.select("contribution").orderBy("block").collect()]  # one number per block
     if len(c) > most:
         raise ValueError(f"2^{len(c)} assignments are too many")
     total, observed = 1 << len(c), math.fsum(c)
+    least = abs(observed) - tolerance
+    spark = contributions.sparkSession
+    if len(c) > direct:
+        a, b = _half_sums(c[: len(c) // 2]), _half_sums(c[len(c) // 2 :])
+        above = len(b) - np.searchsorted(b, least - a, "left")
+        below = np.searchsorted(b, -least - a, "right")
+        n = total if least <= 0 else int(above.sum() + below.sum())
+        return spark.createDataFrame([(observed, len(c), total, n, n / total)], "observed double, n_blocks int, n_assignments long, n_exceedances long, p_value double")
     stat = F.lit(0.0)
     for i, x in enumerate(c):
         stat = stat + F.when(F.shiftright("id", i).bitwiseAND(F.lit(1)) == 1, F.lit(x)).otherwise(F.lit(-x))
-    hits = contributions.sparkSession.range(total).agg(F.count_if(F.abs(stat) >= abs(observed) - tolerance).alias("n_exceedances"))
-    return hits.select(F.lit(observed).alias("observed"), F.lit(len(c)).alias("n_blocks"), F.lit(total).alias("n_assignments"), "n_exceedances", (F.col("n_exceedances") / total).alias("p_value"))
+    hits = spark.range(total).agg(F.count_if(F.abs(stat) >= least).alias("n_exceedances"))
+    return hits.select(F.lit(observed).alias("observed"), F.lit(len(c)).alias("n_blocks"), F.lit(total).cast("long").alias("n_assignments"), "n_exceedances", (F.col("n_exceedances") / total).alias("p_value"))
 
 
 def source_spearman(rows: DataFrame, least: int = 10) -> DataFrame:

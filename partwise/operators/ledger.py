@@ -39,6 +39,19 @@ def plan_problems(stages: DataFrame) -> DataFrame:
     return repeated("identity", "repeated_identity").unionByName(repeated("namespace", "repeated_namespace")).unionByName(unknown).unionByName(unsafe).distinct()
 
 
+def locked_problems(plan: Mapping[str, object], locked: DataFrame, files: DataFrame) -> DataFrame:
+    """(problem, path): a plan whose own hash (``plan_sha256``, over all its other fields) is wrong, and locked files that are absent or whose bytes changed.
+
+    ``locked``: path, size, sha256; ``files``: an inventory of what is there now.
+    """
+    spark = locked.sparkSession
+    own = canonical_json_hash({k: v for k, v in plan.items() if k != "plan_sha256"})
+    head = spark.createDataFrame([] if plan.get("plan_sha256") == own else [("plan_hash", "")], "problem string, path string")
+    now = locked.join(files.select("path", F.col("size").alias("_s"), F.col("sha256").alias("_h")), "path", "left")
+    problem = F.when(F.col("_h").isNull(), "locked_absent").when((F.col("_s") != F.col("size")) | (F.col("_h") != F.col("sha256")), "locked_changed")
+    return head.unionByName(now.select(problem.alias("problem"), "path").filter("problem IS NOT NULL"))
+
+
 def ready_stages(stages: DataFrame, done: DataFrame) -> DataFrame:
     """Stages not done whose dependencies all are, in plan order (``position``); the first is next. ``done``: identity, receipts of other plans included."""
     d = done.select("identity").distinct()

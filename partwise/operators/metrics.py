@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from partwise.plans.quantiles import exact_quantiles
+
 CELL = ("arm", "seed", "block", "fold", "source")
 
 
@@ -126,7 +128,8 @@ def concentration(sizes: DataFrame, scope: Sequence[str], size: str) -> DataFram
     """Per scope the number of groups, the largest and the three largest shares, the effective number of groups and the median size."""
     rank = F.row_number().over(Window.partitionBy(*scope).orderBy(F.desc(size)))
     top = sizes.select(*scope, size).withColumn("_r", rank).filter("_r <= 3").groupBy(*scope).agg(F.max(size).alias("_one"), F.sum(size).alias("_three"))
-    all_ = sizes.groupBy(*scope).agg(F.count(F.lit(1)).alias("n_groups"), F.sum(size).alias("_s"), F.sum(F.col(size).cast("double") * F.col(size)).alias("_q"), F.median(size).alias("median_size"))
+    all_ = sizes.groupBy(*scope).agg(F.count(F.lit(1)).alias("n_groups"), F.sum(size).alias("_s"), F.sum(F.col(size).cast("double") * F.col(size)).alias("_q"))
+    all_ = all_.join(exact_quantiles(sizes, scope, size, [0.5]).select(*scope, F.col("q")[0].alias("median_size")), list(scope))
     return all_.join(top, list(scope)).select(*scope, "n_groups", (F.col("_one") / F.col("_s")).alias("largest_share"), (F.col("_three") / F.col("_s")).alias("top_three_share"), (F.col("_s") * F.col("_s") / F.col("_q")).alias("effective_groups"), "median_size")
 
 

@@ -21,6 +21,14 @@ def balanced_weights(rows: DataFrame, record: str, source: str, component: str)
     return r.join(w, [source, component]).select(record, source, component, "weight")
 
 
+def weight_checks(weighted: DataFrame, source: str, weight: str, tolerance: float = 1e-9) -> DataFrame:
+    """(has_mean_one, n_sources_off): whether weights average 1, and how many sources' totals differ from an even share; relative to the tolerance."""
+    per = weighted.groupBy(source).agg(F.sum(weight).alias("_t"), F.count(F.lit(1)).alias("_n"))
+    whole = per.agg(F.sum("_t").alias("_all"), F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_s"))
+    share = F.col("_all") / F.col("_s")
+    return per.join(whole).agg((F.abs(F.max("_all") / F.max("_rows") - 1) <= tolerance).alias("has_mean_one"), F.count_if(F.abs(F.col("_t") - share) > share * tolerance).alias("n_sources_off"))
+
+
 def fit_scaler(train: DataFrame, columns: Sequence[str], infinite_is_missing: bool = True, most_missing: float = 0.5) -> DataFrame:
     """(column, n, missing_share, median, mean, sd, active): statistics of the training rows after median imputation.
 

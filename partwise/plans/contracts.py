@@ -7,7 +7,7 @@ check that Catalyst could prune away is never used.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,6 +62,18 @@ def require_outcome_blind(df: DataFrame) -> DataFrame:
     return df
 
 
+def column_families(names: DataFrame, families: Mapping[str, str], name: str = "column") -> DataFrame:
+    """(family, n_columns, n_tables, columns): which column names match the pattern of each family, whatever their case.
+
+    ``names`` has table and column, one row each. Families without a match come out with 0.
+    """
+    spark = names.sparkSession
+    every = spark.createDataFrame(sorted(families.items()), "family string, _p string")  # one row per family
+    tags = F.array_compact(F.array(*[F.when(F.lower(name).rlike(p), F.lit(f)) for f, p in sorted(families.items())]))
+    hits = names.select("table", F.lower(name).alias("_c"), F.explode(tags).alias("family")).groupBy("family").agg(F.count(F.lit(1)).alias("n_columns"), F.count_distinct("table").alias("n_tables"), F.array_join(F.array_sort(F.collect_set("_c")), "|").alias("columns"))
+    return every.select("family").join(hits, "family", "left").fillna({"n_columns": 0, "n_tables": 0, "columns": ""})
+
+
 def require_predictors(df: DataFrame, features: Sequence[str], target: str) -> list[str]:
     """The feature names, if they are there, differ, and neither name nor reveal target, groups or identities."""
     if not features or len(set(features)) != len(features):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from partwise.functions import cleaning as c
 from partwise.functions import sequences as seq
 from partwise.functions.hashing import frame_hash, id_set_hash, ordered_ids_hash, seed_of_index, stable_id
+from partwise.functions.text import plain_id, plain_words, sql_plain_id, sql_plain_words
 from partwise.operators import curate
 from partwise.plans import contracts
 from partwise.queries.common import rounded, table
@@ -18,7 +19,7 @@ _N = "CAST(regexp_extract(raw_id, '([0-9]+)$', 1) AS BIGINT)"
 
 def raw_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Raw measurement rows: each raw id once, with an endpoint derived from its number (missing for every 29th)."""
-    m = table(spark, sf, "curation_manifest").select("raw_id", "source", "canonical_smiles", "year", "version", "topology_signature", "canonical_sequence", "is_censored").filter("raw_id IS NOT NULL")
+    m = table(spark, sf, "curation_manifest").select("raw_id", plain_words("source").alias("source"), "canonical_smiles", "year", "version", "topology_signature", "canonical_sequence", "is_censored").filter("raw_id IS NOT NULL")
     one = m.groupBy("raw_id").agg(F.min(F.struct(*m.columns[1:])).alias("x")).select("raw_id", "x.*")
     n = F.regexp_extract("raw_id", "([0-9]+)$", 1).cast("long")
     return one.select(
@@ -62,7 +63,8 @@ def curate_note_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def curate_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "split_manifest_public").select("curated_id", "sealed_block_id", "molecule_id", "analogue_component_id", "source", "ring_size").distinct()
+    ids = [plain_id(c).alias(c) for c in ("sealed_block_id", "molecule_id", "analogue_component_id")]
+    s = table(spark, sf, "split_manifest_public").select("curated_id", *ids, plain_words("source").alias("source"), "ring_size").distinct()
     return curate.rollup(s.filter("sealed_block_id IS NOT NULL"), "sealed_block_id")
 
 
@@ -116,7 +118,7 @@ def hash_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 def hash_id_sets(spark: SparkSession, sf: str) -> DataFrame:
     """Hashes of the id set of each source, and of its ordered ids."""
-    s = table(spark, sf, "split_manifest_public").filter("source IS NOT NULL").groupBy("source")
+    s = table(spark, sf, "split_manifest_public").select(plain_words("source").alias("source"), "curated_id", plain_id("molecule_id").alias("molecule_id")).filter("source IS NOT NULL").groupBy("source")
     return s.agg(id_set_hash("curated_id").alias("set_sha256"), ordered_ids_hash(F.array_sort(F.collect_list("molecule_id"))).alias("ordered_sha256"))
 
 
@@ -130,19 +132,20 @@ def hash_seeds(spark: SparkSession, sf: str) -> DataFrame:
 
 def contract_mapping(spark: SparkSession, sf: str) -> DataFrame:
     """Where components of the split manifest and of the component table differ per molecule."""
-    key = ["molecule_id"]
-    a = table(spark, sf, "split_manifest_public").select("molecule_id", "analogue_component_id").filter("molecule_id IS NOT NULL").groupBy("molecule_id").agg(F.min("analogue_component_id").alias("c"))
-    b = table(spark, sf, "analogue_components").filter("molecule_id IS NOT NULL").groupBy("molecule_id").agg(F.min("analogue_component_id").alias("c"))
-    return contracts.compare_mappings(a, b, key, "c")
+    of = lambda name: table(spark, sf, name).select(plain_id("molecule_id").alias("molecule_id"), plain_id("analogue_component_id").alias("c")).filter("molecule_id IS NOT NULL").groupBy("molecule_id").agg(F.min("c").alias("c"))
+    return contracts.compare_mappings(of("split_manifest_public"), of("analogue_components"), ["molecule_id"], "c")
 
 
 def contract_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    """Curated ids that the split manifest lacks or has beyond the curated records."""
-    return contracts.coverage_gaps(table(spark, sf, "curated_records_public").dropna(subset=["curated_id"]), table(spark, sf, "split_manifest_public").dropna(subset=["curated_id"]), ["curated_id"])
+    """Curated ids that the split manifest lacks or has beyond the curated records, when some are taken from it and some renamed."""
+    observed = table(spark, sf, "split_manifest_public").dropna(subset=["curated_id"]).withColumn("curated_id", F.when(F.col("curated_id").endswith("7"), F.concat("curated_id", F.lit("-x"))).otherwise(F.col("curated_id"))).filter(~F.col("curated_id").endswith("3"))
+    return contracts.coverage_gaps(table(spark, sf, "curated_records_public").dropna(subset=["curated_id"]), observed, ["curated_id"])
 
 
 def contract_group_constant(spark: SparkSession, sf: str) -> DataFrame:
-    return contracts.group_constant(table(spark, sf, "split_manifest_public").filter("analogue_component_id IS NOT NULL"), "analogue_component_id", "sealed_block_id")
+    """Components whose records come from several sources."""
+    s = table(spark, sf, "split_manifest_public").select(plain_id("analogue_component_id").alias("analogue_component_id"), plain_words("source").alias("source"))
+    return contracts.group_constant(s.filter("analogue_component_id IS NOT NULL"), "analogue_component_id", "source")
 
 
 QUERIES = {
@@ -153,7 +156,7 @@ QUERIES = {
     )
 }
 
-_RAW = f"""m AS (SELECT DISTINCT ON (raw_id) raw_id, source, canonical_smiles, year, version, topology_signature, canonical_sequence, is_censored FROM curation_manifest WHERE raw_id IS NOT NULL
+_RAW = f"""m AS (SELECT DISTINCT ON (raw_id) raw_id, source, canonical_smiles, year, version, topology_signature, canonical_sequence, is_censored FROM (SELECT * REPLACE ({sql_plain_words('source')} AS source) FROM curation_manifest) WHERE raw_id IS NOT NULL
   ORDER BY raw_id, source NULLS FIRST, canonical_smiles NULLS FIRST, year NULLS FIRST, version NULLS FIRST, topology_signature NULLS FIRST, canonical_sequence NULLS FIRST, is_censored NULLS FIRST),
 raw AS (SELECT raw_id, {_N} AS sort_id, source, canonical_smiles AS structure, year, version, topology_signature AS topology, canonical_sequence AS sequence, coalesce(is_censored, false) AS censored,
   CASE WHEN {_N} % 29 <> 0 THEN ({_N} % 997) / 100.0 END AS endpoint FROM m)"""
@@ -192,7 +195,7 @@ k AS (SELECT *, CASE WHEN x = '' THEN 'not_censored' WHEN contains(x, 'solubilit
   WHEN contains(x, 'not detected') OR contains(x, 'undetected') OR contains(x, 'below lod') OR contains(x, 'blod') THEN 'not_detected_or_below_lod' WHEN regexp_matches(x, '(^|\\s)<\\s*[-+]?\\d') THEN 'explicit_upper_limit'
   WHEN contains(x, 'set to') OR contains(x, 'value described') THEN 'database_assigned_or_reported_floor' ELSE 'other_detection_limit_note' END AS note_class FROM t)
 SELECT note_class, count(*) AS n_rows, count(DISTINCT source) AS n_sources, count(*) FILTER (trim(coalesce(a, '')) <> '' OR trim(coalesce(b, '')) <> '') AS n_by_text, count(*) FILTER (a IS NOT NULL OR b IS NOT NULL) AS n_by_presence FROM k GROUP BY 1""",
-    "curate_rollup": """WITH s AS (SELECT DISTINCT curated_id, sealed_block_id, molecule_id, analogue_component_id, source, ring_size FROM split_manifest_public WHERE sealed_block_id IS NOT NULL)
+    "curate_rollup": f"""WITH s AS (SELECT DISTINCT curated_id, {sql_plain_id('sealed_block_id')} AS sealed_block_id, {sql_plain_id('molecule_id')} AS molecule_id, {sql_plain_id('analogue_component_id')} AS analogue_component_id, {sql_plain_words('source')} AS source, ring_size FROM split_manifest_public WHERE sealed_block_id IS NOT NULL)
 SELECT sealed_block_id, count(*) AS n_rows, count(DISTINCT molecule_id) AS n_molecules, count(DISTINCT analogue_component_id) AS n_components, count(DISTINCT source) AS n_sources, coalesce(string_agg(DISTINCT source, '|' ORDER BY source), '') AS sources,
 array_to_string(list_transform(list_sort(list_distinct(list(ring_size) FILTER (ring_size IS NOT NULL))), lambda x: x::VARCHAR), '|') AS ring_sizes FROM s GROUP BY 1""",
     "curate_reconcile": f"""WITH {_RAW}, r AS (SELECT raw_id, source, coalesce(structure, '') AS structure FROM raw), l AS (SELECT DISTINCT coalesce(source, '') AS split, trim(string_split(raw_ids_used, '|')[1]) AS id, coalesce(canonical_smiles, '') AS structure FROM curated_records_public),
@@ -201,8 +204,9 @@ SELECT split, id, l.structure, coalesce(r.structure = l.structure AND l.structur
 CASE WHEN r.raw_id IS NULL THEN 'id_absent_from_raw_namespace' WHEN NOT coalesce(r.structure = l.structure AND l.structure <> '', false) THEN 'id_maps_to_another_structure' WHEN n > 1 THEN 'row_stands_for_several_raw_records' ELSE 'direct_single_record_match' END AS reason
 FROM l LEFT JOIN r ON r.raw_id = l.id LEFT JOIN x ON x.structure = l.structure""",
     "hash_ids": f"SELECT DISTINCT curated_id, {_ID('REC', 'source', 'year', 'version')} AS record_hash, {_ID('MOL', 'canonical_smiles')} AS molecule_hash FROM curated_records_public",
-    "hash_id_sets": """SELECT source, sha256(coalesce(string_agg(DISTINCT curated_id || chr(10), '' ORDER BY curated_id || chr(10)), '')) AS set_sha256, sha256(coalesce(string_agg(molecule_id, chr(10) ORDER BY molecule_id), '')) AS ordered_sha256
-FROM split_manifest_public WHERE source IS NOT NULL GROUP BY source""",
+    "hash_id_sets": f"""WITH s AS (SELECT {sql_plain_words('source')} AS source, curated_id, {sql_plain_id('molecule_id')} AS molecule_id FROM split_manifest_public)
+SELECT source, sha256(coalesce(string_agg(DISTINCT curated_id || chr(10), '' ORDER BY curated_id || chr(10)), '')) AS set_sha256, sha256(coalesce(string_agg(molecule_id, chr(10) ORDER BY molecule_id), '')) AS ordered_sha256
+FROM s WHERE source IS NOT NULL GROUP BY source""",
     "hash_seeds": "SELECT n_nationkey, CAST(123 * n_nationkey * n_nationkey AS BIGINT) AS seed FROM nation",
     "scalar_rules": f"""WITH {_RAW}, t AS (SELECT *, CASE WHEN regexp_matches(trim(sequence), '^\\[.*\\]$') THEN CAST(sequence AS JSON)::VARCHAR[] END AS tk FROM raw)
 SELECT raw_id, trim(coalesce(year, '')) AS year, try_cast(version AS DOUBLE) AS version, string_split(topology, '|')[1] AS topology, coalesce(CAST(string_split(topology, '|')[1] = 'lariat' AS INTEGER), 0) AS is_lariat,
@@ -215,10 +219,16 @@ coalesce(CASE WHEN regexp_matches(trim(canonical_sequence), '^\\[.*\\]$') THEN l
     "scalar_canonical_cycles": """WITH r AS (SELECT DISTINCT canonical_sequence, topology_signature FROM curated_records_public WHERE canonical_sequence IS NOT NULL AND topology_signature IS NOT NULL AND regexp_matches(trim(canonical_sequence), '^\\[.*\\]$')),
 t AS (SELECT *, CAST(canonical_sequence AS JSON)::VARCHAR[] AS a FROM r)
 SELECT canonical_sequence, topology_signature, array_to_string(CASE WHEN starts_with(topology_signature, 'circle_head_to_tail') AND len(a) > 0 THEN list_min(list_transform(range(len(a)), lambda i: list_concat(a[i + 1:], a[1:i]))) ELSE a END, ',') AS canonical FROM t""",
-    "contract_mapping": """WITH a AS (SELECT molecule_id, min(analogue_component_id) AS c FROM split_manifest_public WHERE molecule_id IS NOT NULL GROUP BY 1), b AS (SELECT molecule_id, min(analogue_component_id) AS c FROM analogue_components WHERE molecule_id IS NOT NULL GROUP BY 1)
+    "contract_mapping": f"""WITH a AS (SELECT {sql_plain_id('molecule_id')} AS molecule_id, min({sql_plain_id('analogue_component_id')}) AS c FROM split_manifest_public WHERE molecule_id IS NOT NULL GROUP BY 1),
+b AS (SELECT {sql_plain_id('molecule_id')} AS molecule_id, min({sql_plain_id('analogue_component_id')}) AS c FROM analogue_components WHERE molecule_id IS NOT NULL GROUP BY 1)
 SELECT molecule_id, CASE WHEN b.molecule_id IS NULL THEN 'left_only' WHEN a.molecule_id IS NULL THEN 'right_only' ELSE 'value' END AS provenance FROM a FULL JOIN b USING (molecule_id)
 WHERE a.molecule_id IS NULL OR b.molecule_id IS NULL OR a.c IS DISTINCT FROM b.c""",
-    "contract_coverage": """WITH e AS (SELECT DISTINCT curated_id FROM curated_records_public WHERE curated_id IS NOT NULL), o AS (SELECT DISTINCT curated_id FROM split_manifest_public WHERE curated_id IS NOT NULL)
+    "contract_coverage": """WITH e AS (SELECT DISTINCT curated_id FROM curated_records_public WHERE curated_id IS NOT NULL), o AS (SELECT DISTINCT CASE WHEN ends_with(curated_id, '7') THEN curated_id || '-x' ELSE curated_id END AS curated_id FROM split_manifest_public WHERE curated_id IS NOT NULL AND NOT ends_with(curated_id, '3'))
 SELECT curated_id, 'missing' AS gap FROM e ANTI JOIN o USING (curated_id) UNION ALL SELECT curated_id, 'extra' FROM o ANTI JOIN e USING (curated_id)""",
-    "contract_group_constant": "SELECT analogue_component_id, count(DISTINCT sealed_block_id) AS n_values FROM split_manifest_public WHERE analogue_component_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT sealed_block_id) > 1",
+    "contract_group_constant": f"SELECT {sql_plain_id('analogue_component_id')} AS analogue_component_id, count(DISTINCT {sql_plain_words('source')}) AS n_values FROM split_manifest_public WHERE analogue_component_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT {sql_plain_words('source')}) > 1",
+    "curate_reconcile_all": f"""WITH {_RAW}, r AS (SELECT raw_id, source, coalesce(structure, '') AS structure FROM raw), l AS (SELECT DISTINCT * FROM (SELECT coalesce(source, '') AS split, trim(unnest(string_split(raw_ids_used, '|'))) AS id, coalesce(canonical_smiles, '') AS structure FROM curated_records_public) WHERE id <> ''),
+x AS (SELECT structure, count(*) AS n, string_agg(DISTINCT raw_id, '|' ORDER BY raw_id) AS raw_ids, string_agg(DISTINCT source, '|' ORDER BY source) AS raw_sources FROM r WHERE structure <> '' GROUP BY 1)
+SELECT split, id, l.structure, coalesce(r.structure = l.structure AND l.structure <> '', false) AS direct_match, coalesce(raw_ids, '') AS raw_ids, coalesce(raw_sources, '') AS raw_sources,
+CASE WHEN r.raw_id IS NULL THEN 'id_absent_from_raw_namespace' WHEN NOT coalesce(r.structure = l.structure AND l.structure <> '', false) THEN 'id_maps_to_another_structure' WHEN n > 1 THEN 'row_stands_for_several_raw_records' ELSE 'direct_single_record_match' END AS reason
+FROM l LEFT JOIN r ON r.raw_id = l.id LEFT JOIN x ON x.structure = l.structure""",
 }

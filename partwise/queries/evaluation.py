@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from partwise.functions.hashing import array_hash, double_hex, hex_double
+from partwise.functions.text import plain_id, plain_words, sql_plain_id, sql_plain_words
 from partwise.operators import calibration as cal
 from partwise.operators import inference as inf
 from partwise.operators import metrics as m
@@ -178,12 +179,39 @@ def inference_holm(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(inf.holm(p, "p", "block"))
 
 
+def inference_sign_flip_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over all sources as blocks: 2^25 assignments, by sums of halves."""
+    e = m.paired_effects(predictions(spark, sf), ARMS).select(F.col("source").alias("block"), "source", "gap")
+    return rounded(inf.sign_flip(m.block_contributions(e)))
+
+
+def inference_paired_models(spark: SparkSession, sf: str) -> DataFrame:
+    """The paired gap of the two models in the other direction, with its interval over 10,000 draws."""
+    return rounded(inf.percentile_interval(inf.bootstrap(m.source_cube(predictions(spark, sf)), ARMS[::-1], 10_000)))
+
+
+def inference_bootstrap_pcg(spark: SparkSession, sf: str) -> DataFrame:
+    """The interval over 10,000 replicates drawn by NumPy's PCG64 from a hashed seed; no other engine has its draws."""
+    got = inf.bootstrap_pcg(m.source_cube(predictions(spark, sf)), ARMS, 10_000, {"analysis": "block_seed_bootstrap", "replicates": 10_000})
+    return rounded(inf.percentile_interval(spark.createDataFrame(got)))
+
+
+def _sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Different records of the split manifest with a source and a component, in plain form."""
+    s = table(spark, sf, "split_manifest_public").select("curated_id", plain_words("source").alias("source"), plain_id("analogue_component_id").alias("component"))
+    return s.dropna().groupBy("curated_id").agg(F.min(F.struct("source", "component")).alias("x")).select("curated_id", "x.*")
+
+
 def weights_balanced(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "split_manifest_public").select("curated_id", "source", "analogue_component_id").dropna().distinct()
-    w = weights.balanced_weights(s, "curated_id", "source", "analogue_component_id")
+    w = weights.balanced_weights(_sources(spark, sf), "curated_id", "source", "component")
     return rounded(w.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("total"), F.min("weight").alias("least"), F.max("weight").alias("most")))
 
 
+def weights_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the weights' mean is 1 and every source has the same total."""
+    return weights.weight_checks(weights.balanced_weights(_sources(spark, sf), "curated_id", "source", "component"), "source", "weight")
+
+
 def _features(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "lineitem").withColumn("empty", F.when(F.col("l_linenumber") == 1, F.col("l_tax")))
     return d.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "empty", F.lit(1.0).alias("flat"))
@@ -232,6 +260,28 @@ def selection_oof(spark: SparkSession, sf: str) -> DataFrame:
     return models.assemble_oof(w, p).groupBy("outer_fold", "family", "config_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("l_quantity").alias("quantity"))
 
 
+def selection_family_cost(spark: SparkSession, sf: str) -> DataFrame:
+    """The winning family of each fold by error, second error, cost rank, family and id."""
+    c = selection_config(spark, sf).filter("selected").drop("selected")
+    return m.best(c, ["outer_fold"], [F.asc(x) for x in ("source_macro_mae", "row_micro_mae", "cost", "family", "config_id")])
+
+
+def selection_oof_problems(spark: SparkSession, sf: str) -> DataFrame:
+    """Checks of an assembly with planted faults: sizes absent, repeated, with another brand or another price, and one unknown part."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("record"), F.col("p_brand").alias("brand"), F.col("p_retailprice").cast("double").alias("observed"), "p_size")
+    o = p.filter("p_size <> 7").withColumn("brand", F.when(F.col("p_size") == 4, "other").otherwise(F.col("brand"))).withColumn("observed", F.when(F.col("p_size") == 5, F.col("observed") + 1).otherwise(F.col("observed")))
+    o = o.unionByName(o.filter("p_size = 3")).unionByName(o.limit(1).withColumn("record", F.lit(-1).cast("long")))  # one planted row
+    return models.oof_problems(o, p, "record", ["brand"], "observed")
+
+
+def model_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Validation errors of every configuration of the three families, and which one wins."""
+    f = _features(spark, sf).select("l_linenumber", "l_quantity", "l_discount", "l_extendedprice")
+    got = models.grid_errors(f.filter("l_linenumber > 2"), f.filter("l_linenumber <= 2"), ["l_quantity", "l_discount"], "l_extendedprice")
+    won = m.best(got.withColumn("all", F.lit(1)), ["all"], [F.asc(x) for x in ("mae", "rmse", "cost_rank", "family", "config_id")]).drop("all")
+    return rounded(won, 2)
+
+
 def selection_cost_ranks(spark: SparkSession, sf: str) -> DataFrame:
     """Ordinal ranks and dense tiers of costs."""
     p = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
@@ -281,6 +331,7 @@ QUERIES = {
         metrics_estimand_ladder, metrics_source_cube, metrics_by_seed, metrics_per_source, metrics_per_block, metrics_stratified_arms, metrics_seed_stability, metrics_paired_effects, metrics_block_contributions, metrics_seed_means,
         metrics_leave_one_out, metrics_omit_largest, metrics_concentration, metrics_partition_agreement, metrics_duplicate_slots, metrics_top_sources, metrics_variant_deltas, metrics_replicated_seeds, metrics_spearman, metrics_risk_coverage, calibration_curve, calibration_summary,
         coverage_half_widths, coverage_overall, coverage_by_fold, coverage_sensitivity, inference_bootstrap, inference_interval, inference_bootstrap_full, inference_interval_full, inference_cluster_robust, inference_jackknife, inference_sign_flip, inference_holm, weights_balanced,
+        inference_sign_flip_sources, inference_paired_models, inference_bootstrap_pcg, weights_checked, selection_family_cost, selection_oof_problems, model_grid,
         scaler_fit, scaler_keep, scaler_drop, selection_config, selection_family, selection_oof, selection_cost_ranks, selection_best_epoch, model_training_mean, model_ridge, model_forest, sealed_round_trip,
     )
 }
@@ -373,15 +424,30 @@ round(any_value(weighted_absolute_bias), 6) AS weighted_absolute_bias FROM r JOI
     "inference_interval": f"{_W}, {_BOOT} SELECT round(quantile_cont(gap, 0.025), 6) AS low, round(quantile_cont(gap, 0.975), 6) AS high, round(avg(gap), 6) AS mean, avg(gap) >= 0.10 AS reaches_threshold, quantile_cont(gap, 0.025) > 0 AS is_above_zero FROM boot",
     "inference_sign_flip": f"""{_W}, {EFFECTS}, c AS (SELECT row_number() OVER (ORDER BY block) - 1 AS i, sum(gap) / (SELECT count(*) FROM eff) AS x FROM eff GROUP BY block),
 a AS (SELECT unnest(range(1 << (SELECT count(*) FROM c)::INTEGER)) AS id), s AS (SELECT id, sum(CASE WHEN (id >> i::INTEGER) & 1 = 1 THEN x ELSE -x END) AS v FROM a, c GROUP BY id)
-SELECT round((SELECT sum(x) FROM c), 6) AS observed, (SELECT count(*) FROM c)::INTEGER AS n_blocks, count(*) AS n_assignments, count(*) FILTER (abs(v) >= abs((SELECT sum(x) FROM c)) - 1e-12) AS n_exceedances,
-round(count(*) FILTER (abs(v) >= abs((SELECT sum(x) FROM c)) - 1e-12) / count(*), 6) AS p_value FROM s""",
+SELECT round((SELECT sum(x) FROM c), 6) AS observed, (SELECT count(*) FROM c)::INTEGER AS n_blocks, count(*) AS n_assignments, count(*) FILTER (abs(v) >= abs((SELECT sum(x) FROM c)) - 1e-14) AS n_exceedances,
+round(count(*) FILTER (abs(v) >= abs((SELECT sum(x) FROM c)) - 1e-14) / count(*), 6) AS p_value FROM s""",
     "inference_holm": f"""{_W}, t AS (SELECT block, source, round(avg(CASE WHEN observed > prediction THEN 1.0 ELSE 0.0 END) / 20, 6) AS p FROM p GROUP BY ALL),
 a AS (SELECT *, least(1.0, (count(*) OVER (PARTITION BY block) - row_number() OVER (PARTITION BY block ORDER BY p) + 1) * p) AS x FROM t)
 SELECT block, source, p, round(max(x) OVER (PARTITION BY block ORDER BY p ROWS UNBOUNDED PRECEDING), 6) AS p_holm FROM a""",
-    "weights_balanced": """WITH s AS (SELECT DISTINCT curated_id, source, analogue_component_id FROM split_manifest_public WHERE curated_id IS NOT NULL AND source IS NOT NULL AND analogue_component_id IS NOT NULL),
-c AS (SELECT source, analogue_component_id, count(*) AS n FROM s GROUP BY ALL), g AS (SELECT source, count(*) AS k FROM c GROUP BY source),
-w AS (SELECT source, (SELECT count(*) FROM s) / ((SELECT count(*) FROM g) * k * n) AS weight FROM s JOIN c USING (source, analogue_component_id) JOIN g USING (source))
+    "weights_balanced": f"""WITH s AS (SELECT curated_id, min(row(source, component)) AS x FROM (SELECT curated_id, {sql_plain_words('source')} AS source, {sql_plain_id('analogue_component_id')} AS component FROM split_manifest_public)
+  WHERE curated_id IS NOT NULL AND source IS NOT NULL AND component IS NOT NULL GROUP BY 1), t AS (SELECT curated_id, x[1] AS source, x[2] AS component FROM s),
+c AS (SELECT source, component, count(*) AS n FROM t GROUP BY ALL), g AS (SELECT source, count(*) AS k FROM c GROUP BY source),
+w AS (SELECT source, (SELECT count(*) FROM t) / ((SELECT count(*) FROM g) * k * n) AS weight FROM t JOIN c USING (source, component) JOIN g USING (source))
 SELECT source, count(*) AS n, round(sum(weight), 6) AS total, round(min(weight), 6) AS least, round(max(weight), 6) AS most FROM w GROUP BY source""",
+    "weights_checked": "SELECT true AS has_mean_one, 0 AS n_sources_off",
+    "inference_sign_flip_sources": f"""{_W}, {EFFECTS}, c AS (SELECT row_number() OVER (ORDER BY source) - 1 AS i, sum(gap) / (SELECT count(*) FROM eff) AS x FROM eff GROUP BY source),
+n AS (SELECT count(*)::INTEGER AS n FROM c), h1 AS (SELECT id, sum(CASE WHEN (id >> i::INTEGER) & 1 = 1 THEN x ELSE -x END) AS v FROM (SELECT unnest(range(1 << (SELECT n // 2 FROM n)::INTEGER)) AS id), c WHERE i < (SELECT n // 2 FROM n) GROUP BY id),
+h2 AS (SELECT id, sum(CASE WHEN (id >> (i - (SELECT n // 2 FROM n))::INTEGER) & 1 = 1 THEN x ELSE -x END) AS v FROM (SELECT unnest(range(1 << (SELECT n - n // 2 FROM n)::INTEGER)) AS id), c WHERE i >= (SELECT n // 2 FROM n) GROUP BY id),
+k AS (SELECT count(*) AS k FROM h1, h2 WHERE abs(h1.v + h2.v) >= abs((SELECT sum(x) FROM c)) - 1e-14)
+SELECT round((SELECT sum(x) FROM c), 6) AS observed, n AS n_blocks, 1::BIGINT << n AS n_assignments, k AS n_exceedances, round(k / (1::BIGINT << n), 6) AS p_value FROM n, k""",
+    "inference_paired_models": f"{_W}, {_BOOT.replace('range(2000)', 'range(10000)')} SELECT round(quantile_cont(-gap, 0.025), 6) AS low, round(quantile_cont(-gap, 0.975), 6) AS high, round(avg(-gap), 6) AS mean, avg(-gap) >= 0.10 AS reaches_threshold, quantile_cont(-gap, 0.025) > 0 AS is_above_zero FROM boot",
+    "inference_bootstrap_full": f"{_W}, {_BOOT.replace('range(2000)', 'range(10000)')} SELECT * {sql_round(['joint_mae', 'random_mae', 'gap'])} FROM boot",
+    "inference_interval_full": f"{_W}, {_BOOT.replace('range(2000)', 'range(10000)')} SELECT round(quantile_cont(gap, 0.025), 6) AS low, round(quantile_cont(gap, 0.975), 6) AS high, round(avg(gap), 6) AS mean, avg(gap) >= 0.10 AS reaches_threshold, quantile_cont(gap, 0.025) > 0 AS is_above_zero FROM boot",
+    "selection_family_cost": f"""WITH {_CONFIGS}, k AS (SELECT *, dense_rank() OVER (PARTITION BY outer_fold, family ORDER BY config_id % 7) AS cost FROM c),
+w AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY outer_fold, family ORDER BY source_macro_mae, row_micro_mae, cost, config_id) = 1)
+SELECT *, row_number() OVER (PARTITION BY outer_fold ORDER BY source_macro_mae, row_micro_mae, cost, family, config_id) = 1 AS selected FROM w""",
+    "selection_oof_problems": """WITH o AS (SELECT p_partkey FROM part WHERE p_size <> 7) SELECT 'missing' AS problem, (SELECT count(*) FROM part WHERE p_size = 7) AS n UNION ALL SELECT 'unknown', 1
+UNION ALL SELECT 'repeated', (SELECT count(*) FROM part WHERE p_size = 3) UNION ALL SELECT 'metadata', (SELECT count(*) FROM part WHERE p_size = 4) UNION ALL SELECT 'observed', (SELECT count(*) FROM part WHERE p_size = 5)""",
     "scaler_fit": f"""WITH {_STATS} SELECT "column", n, round(missing_share, 6) AS missing_share, round(median, 6) AS median, round(mean, 6) AS mean, round(CASE WHEN sd < 1e-9 THEN 0 ELSE sd END, 6) AS sd, missing_share <= 0.5 AND sd > 1e-9 AS active FROM st""",
     "scaler_keep": f"WITH {_STATS} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 0.0 AS empty, 0.0 AS flat, {_ZS} FROM (SELECT * EXCLUDE (empty, flat) FROM f)",
     "scaler_drop": f"WITH {_STATS} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, flat, {_ZS} FROM (SELECT * EXCLUDE (empty) FROM f)",

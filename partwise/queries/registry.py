@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from partwise.queries import concentration, curation, evaluation, streams, structure
+from partwise.queries import concentration, curation, evaluation, release, streams, structure
 
-MODULES = (concentration, curation, evaluation, structure, streams)
+MODULES = (concentration, curation, evaluation, structure, release, streams)
 
 
 def queries() -> dict:

@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 from partwise.functions.hashing import stable_id
 from partwise.functions.sequences import canonical_tokens, parse_tokens, tokens_text
-from partwise.functions.text import plain_id, plain_words, sql_plain_id
-from partwise.operators import folds, graph, ledger
+from partwise.functions.text import plain_id, plain_partition, plain_words, sql_plain_id, sql_plain_partition, sql_plain_words
+from partwise.operators import allocation, folds, graph, ledger
 from partwise.plans import contracts
 from partwise.plans.lineage import Scratch
 from partwise.queries.common import rounded, table
@@ -25,24 +25,6 @@ def graph_similar_sets(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(graph.similar_sets(m, 0.4, 0.8, 1.25))
 
 
-def _sequences(spark: SparkSession, sf: str) -> DataFrame:
-    """Users' first five event types as tokens, every other user's as a closed ring."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf, "events").withColumn("k", F.row_number().over(w)).filter("k <= 5")  # the sequences are five tokens long
-    s = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "event_type"))), lambda x: x["event_type"]).alias("tokens"))
-    return s.select(F.col("user_id").cast("string").alias("id"), "tokens", F.when(F.col("user_id") % 2 == 0, "circle_head_to_tail|5").otherwise("lariat|5").alias("topology"))
-
-
-def graph_one_edit(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.one_edit_pairs(_sequences(spark, sf))
-
-
-def graph_typed_edges(spark: SparkSession, sf: str) -> DataFrame:
-    m = _sequences(spark, sf)
-    sets = m.select("id", F.col("tokens").alias("bits"), F.size("tokens").cast("double").alias("weight"))
-    return rounded(graph.typed_edges(graph.similar_sets(sets, 0.8), graph.one_edit_pairs(m)))
-
-
 def _record_sequences(spark: SparkSession, sf: str) -> DataFrame:
     """(curated_id, id, tokens, topology) for every curated record whose sequence parses; rotations of one ring are one sequence with one id."""
     r = table(spark, sf, "curated_records_public").select("curated_id", F.col("topology_signature").alias("topology"), parse_tokens("canonical_sequence").alias("t")).dropna()
@@ -55,14 +37,22 @@ def graph_sequence_members(spark: SparkSession, sf: str) -> DataFrame:
     return _record_sequences(spark, sf).select(F.col("id").alias("sequence_id"), "curated_id")
 
 
-def graph_one_edit_records(spark: SparkSession, sf: str) -> DataFrame:
-    """One-edit edges between the different whole sequences of all curated records."""
-    return graph.one_edit_pairs(_record_sequences(spark, sf).select("id", "tokens", "topology").distinct())
+def _sequence_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Every different sequence of the curated records, and each with its last token exchanged: the table itself has few neighbours."""
+    m = Scratch(spark, "sequences").write(_record_sequences(spark, sf).select("tokens", "topology").distinct())
+    other = F.concat(F.slice("tokens", 1, F.greatest(F.size("tokens") - 1, F.lit(0))), F.array(F.lit("Gly")))
+    both = m.unionByName(m.filter("size(tokens) > 0").select(canonical_tokens(other, "topology").alias("tokens"), "topology")).distinct()
+    return both.withColumn("id", stable_id("SEQ", "topology", tokens_text("tokens")))
+
+
+def graph_one_edit(spark: SparkSession, sf: str) -> DataFrame:
+    """One-edit edges between the different whole sequences."""
+    return graph.one_edit_pairs(_sequence_variants(spark, sf))
 
 
-def graph_typed_edges_records(spark: SparkSession, sf: str) -> DataFrame:
-    """Both kinds of edges between the different whole sequences of all curated records."""
-    m = Scratch(spark, "sequences").write(_record_sequences(spark, sf).select("id", "tokens", "topology").distinct())
+def graph_typed_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Both kinds of edges between the different whole sequences."""
+    m = Scratch(spark, "sequences").write(_sequence_variants(spark, sf))
     sets = m.select("id", F.col("tokens").alias("bits"), F.size("tokens").cast("double").alias("weight"))
     return rounded(graph.typed_edges(graph.similar_sets(sets, 0.8, short=True), graph.one_edit_pairs(m)))
 
@@ -80,27 +70,10 @@ def _split_users(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def graph_nearest_training(spark: SparkSession, sf: str) -> DataFrame:
-    """The most similar training user of every fifth, held-out user, if its similarity is at least 0.4."""
-    return rounded(graph.nearest_training(_split_users(spark, sf), "split", 0.4)).fillna({"nearest": "", "similarity": 0.0})
-
-
-def graph_nearest_training_exact(spark: SparkSession, sf: str) -> DataFrame:
     """The most similar training user of every fifth, held-out user, however low its similarity."""
     return rounded(graph.nearest_training_exact(_split_users(spark, sf), "split", 0.4)).fillna({"nearest": "", "similarity": 0.0})
 
 
-def graph_components(spark: SparkSession, sf: str) -> DataFrame:
-    """Components of listed molecules, with ids hashed from their members."""
-    v, e = _edges(spark, sf)
-    inside = e.join(v.withColumnRenamed("id", "a"), "a", "left_semi").join(v.withColumnRenamed("id", "b"), "b", "left_semi")
-    return graph.component_ids(graph.connected_components(v, inside), "AC")
-
-
-def graph_threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    v, e = _edges(spark, sf)
-    return graph.threshold_sweep(e.join(v.withColumnRenamed("id", "a"), "a", "left_semi").join(v.withColumnRenamed("id", "b"), "b", "left_semi").dropna(subset=["a", "b"]), v, (0.70, 0.80, 0.90))
-
-
 def _linked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Vertices are the listed molecules and both ends of every edge; edges are all that have two ends."""
     v, e = _edges(spark, sf)
@@ -108,24 +81,24 @@ def _linked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return ends.filter("id IS NOT NULL").distinct(), e.dropna(subset=["a", "b"])
 
 
-def graph_components_linked(spark: SparkSession, sf: str) -> DataFrame:
-    """Components over all edges, of listed molecules and of those that only edges name."""
+def graph_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Components over all edges, of listed molecules and of those that only edges name, with ids hashed from their members."""
     return graph.component_ids(graph.connected_components(*_linked(spark, sf)), "AC")
 
 
-def graph_threshold_sweep_linked(spark: SparkSession, sf: str) -> DataFrame:
-    """The sweep over all edges and the same molecules."""
+def graph_threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges and components at three thresholds, over all edges and the same molecules."""
     v, e = _linked(spark, sf)
     return graph.threshold_sweep(e, v, (0.70, 0.80, 0.90))
 
 
-def graph_joint_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """Blocks of suppliers and parts closed over heavily discounted full lines."""
-    li = table(spark, sf, "lineitem").filter("l_quantity >= 50 AND l_discount >= 0.09").select(F.col("l_suppkey").cast("string").alias("source"), F.col("l_partkey").cast("string").alias("component"))
-    return graph.joint_blocks(li, "source", "component")
+def graph_sweep_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the sweep gives at 0.80 what components formed from nothing give there."""
+    v, e = _linked(spark, sf)
+    return graph.sweep_reproduces(graph.threshold_sweep(e, v, (0.70, 0.80, 0.90)), e, v, 0.80)
 
 
-def graph_joint_blocks_manifest(spark: SparkSession, sf: str) -> DataFrame:
+def graph_joint_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Blocks of sources and components closed over all rows of the split manifest that name both."""
     m = table(spark, sf, "split_manifest_public").select(plain_words("source").alias("source"), plain_id("analogue_component_id").alias("component"))
     return graph.joint_blocks(m, "source", "component")
@@ -137,7 +110,7 @@ def graph_joint_blocks_manifest(spark: SparkSession, sf: str) -> DataFrame:
 def _records(spark: SparkSession, sf: str) -> DataFrame:
     """Records with a block, source and component of the fixed nations and regions."""
     c = table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # fixed table
-    return c.select(F.col("c_custkey").cast("string").alias("curated_id"), F.col("n_name").alias("sealed_block_id"), F.col("c_mktsegment").alias("source"), (F.col("c_custkey") % 40).cast("string").alias("analogue_component_id"), F.col("c_acctbal").alias("value"))
+    return c.select(F.col("c_custkey").cast("string").alias("curated_id"), F.col("n_name").alias("sealed_block_id"), F.col("c_mktsegment").alias("source"), (F.col("c_custkey") % 40).cast("string").alias("analogue_component_id"), F.col("c_acctbal").alias("value"), F.when(F.col("c_custkey") % 9 > 0, (F.col("c_custkey") % 60).cast("string")).alias("scaffold_raw"))
 
 
 def folds_roles(spark: SparkSession, sf: str) -> DataFrame:
@@ -155,6 +128,15 @@ def folds_comparison(spark: SparkSession, sf: str) -> DataFrame:
     return folds.group_fold(r, "curated_id", "analogue_component_id").join(folds.group_fold(r, "curated_id", "sealed_block_id"), "curated_id")
 
 
+def folds_four_groupings(spark: SparkSession, sf: str) -> DataFrame:
+    """Group folds by component, block, source and scaffold key."""
+    r = _records(spark, sf).withColumn("scaffold", folds.scaffold_or_singleton("scaffold_raw", "curated_id"))
+    out = r.select("curated_id")
+    for g in ("analogue_component_id", "sealed_block_id", "source", "scaffold"):
+        out = out.join(folds.group_fold(r, "curated_id", g).drop(g), "curated_id")
+    return out
+
+
 def folds_ordinal_baskets(spark: SparkSession, sf: str) -> DataFrame:
     return folds.ordinal_baskets(table(spark, sf, "region"), "r_regionkey")
 
@@ -179,12 +161,52 @@ def folds_contract_proof(spark: SparkSession, sf: str) -> DataFrame:
     return contracts.role_proof(_contracts(spark, sf), table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("record")), "record", ["outer_fold", "inner_basket"], "role")
 
 
+def _split_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The split manifest with ids, sources and partitions in plain form."""
+    ids = [plain_id(c).alias(c) for c in ("molecule_id", "analogue_component_id", "sealed_block_id")]
+    return table(spark, sf, "split_manifest_public").select("curated_id", plain_words("source").alias("source"), *ids, plain_partition("partition").alias("partition"))
+
+
 def folds_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    return folds.overlap_counts(table(spark, sf, "split_manifest_public"), "partition", ["source", "analogue_component_id", "sealed_block_id", "molecule_id"])
+    return folds.overlap_counts(_split_rows(spark, sf), "partition", ["source", "analogue_component_id", "sealed_block_id", "molecule_id"])
 
 
 def folds_gate(spark: SparkSession, sf: str) -> DataFrame:
-    return folds.gate_counts(table(spark, sf, "split_manifest_public"), "partition", 20)
+    return folds.gate_counts(_split_rows(spark, sf), "partition", 20)
+
+
+MINIMA = {"train": 60, "validation": 20, "calibration": 20, "final_test": 20, "sources_outside_train": 15, "final_test_sources": 5}
+
+
+def folds_gate_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Every check of a release of partitions: minima, values in several partitions, admissibility."""
+    return folds.gate_summary(_split_rows(spark, sf), MINIMA)
+
+
+def folds_allocation(spark: SparkSession, sf: str) -> DataFrame:
+    """Regions as blocks, allocated to the partitions at least deviation."""
+    n = table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # fixed table
+    blocks = n.groupBy(F.col("n_regionkey").cast("string").alias("sealed_block_id")).agg(F.count(F.lit(1)).alias("n_curated_rows"), F.count_distinct(F.col("c_custkey") % 97).alias("n_analogue_components"), F.count_distinct("n_name").alias("n_sources"))
+    got = allocation.allocate([r.asDict() for r in blocks.collect()], {"train": 0.55, "validation": 0.2, "calibration": 0.15, "final_test": 0.1}, {p: 20 for p in folds.PARTITIONS} | {"sources_outside_train": 4, "final_test_sources": 1})
+    return spark.createDataFrame([(b, p, round(got.objective, 6), got.is_proven) for b, p in sorted(got.partition.items())], "sealed_block_id string, partition string, objective double, is_proven boolean")
+
+
+def folds_matched_draws(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers' nations as groups and single parts drawn into folds of given sizes: places filled and groups kept whole."""
+    groups = [(r.g, r.n) for r in table(spark, sf, "supplier").groupBy(F.col("s_nationkey").cast("string").alias("g")).agg(F.count(F.lit(1)).alias("n")).collect()]  # one row per nation
+    n = sum(x for _, x in groups)
+    groups += [(f"part-{i}", 1) for i in range(n)]
+    sizes = [n, n // 2, n - n // 2]
+    made = spark.createDataFrame([(f, x) for (g, x), f in ((y, folds.matched_size_assignment(groups, sizes, 20260603)[y[0]]) for y in groups)], "fold int, n long")
+    return made.groupBy("fold").agg(F.sum("n").alias("n_records"))
+
+
+def contract_ladder(spark: SparkSession, sf: str) -> DataFrame:
+    """Groupings that must each lie in one value of the next coarser one, and how many of their values don't."""
+    r = _split_rows(spark, sf).dropna()
+    pairs = (("curated_id", "molecule_id"), ("molecule_id", "analogue_component_id"), ("analogue_component_id", "sealed_block_id"), ("source", "sealed_block_id"), ("sealed_block_id", "partition"))
+    out = [contracts.group_constant(r, g, v).agg(F.count(F.lit(1)).alias("n_broken")).select(F.lit(g).alias("group"), F.lit(v).alias("value"), "n_broken") for g, v in pairs]
+    return contracts.union_all(out)
 
 
 def folds_training_targets(spark: SparkSession, sf: str) -> DataFrame:
@@ -299,22 +321,28 @@ def files_csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        graph_similar_sets, graph_one_edit, graph_typed_edges, graph_nearest_training, graph_components, graph_threshold_sweep, graph_joint_blocks, graph_sequence_members, graph_one_edit_records, graph_typed_edges_records, graph_joint_blocks_manifest, graph_components_linked, graph_threshold_sweep_linked, graph_nearest_training_exact, folds_roles, folds_inner_baskets, folds_comparison, folds_ordinal_baskets, folds_matched_size,
-        folds_contract_manifest, folds_contract_proof, folds_overlap, folds_gate, folds_training_targets, folds_authoritative, folds_singletons, folds_residual_gaps, ledger_chain_problems, ledger_attempt_states, ledger_status, ledger_accepted,
+        graph_similar_sets, graph_one_edit, graph_typed_edges, graph_nearest_training, graph_components, graph_threshold_sweep, graph_joint_blocks, graph_sequence_members, graph_sweep_check, folds_roles, folds_inner_baskets, folds_comparison, folds_ordinal_baskets, folds_matched_size,
+        folds_contract_manifest, folds_contract_proof, folds_overlap, folds_gate, folds_gate_summary, folds_allocation, folds_matched_draws, folds_four_groupings, contract_ladder, folds_training_targets, folds_authoritative, folds_singletons, folds_residual_gaps, ledger_chain_problems, ledger_attempt_states, ledger_status, ledger_accepted,
         ledger_runtime, ledger_ready, ledger_plan_problems, ledger_accounting, ledger_projection, files_inventory, files_csv_round_trip,
     )
 }
 
 _SIM = """sim AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.bits, b.bits)) / (len(a.bits) + len(b.bits) - len(list_intersect(a.bits, b.bits))) AS similarity, a.w / b.w AS ratio
   FROM (SELECT id, list_distinct(tokens) AS bits, len(tokens) AS w FROM m) a JOIN (SELECT id, list_distinct(tokens) AS bits, len(tokens) AS w FROM m) b ON a.id < b.id AND len(a.bits) > 0 AND len(b.bits) > 0)"""
-_SEQ = """q AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
-m AS (SELECT user_id::VARCHAR AS id, CASE WHEN user_id % 2 = 0 THEN 'circle_head_to_tail|5' ELSE 'lariat|5' END AS topology, list(event_type ORDER BY k) AS tokens FROM q WHERE k <= 5 GROUP BY user_id)"""
+_SEQ = """q AS (SELECT DISTINCT topology_signature AS topology, CAST(canonical_sequence AS JSON)::VARCHAR[] AS a FROM curated_records_public
+  WHERE curated_id IS NOT NULL AND topology_signature IS NOT NULL AND regexp_matches(trim(canonical_sequence), '^\\[.*\\]$')),
+k0 AS (SELECT DISTINCT topology, CASE WHEN starts_with(topology, 'circle_head_to_tail') AND len(a) > 0 THEN list_min(list_transform(range(len(a)), lambda i: list_concat(a[i + 1:], a[1:i]))) ELSE a END AS tokens FROM q),
+k1 AS (SELECT topology, list_concat(tokens[1:len(tokens) - 1], ['Gly']) AS a FROM k0 WHERE len(tokens) > 0),
+k AS (SELECT topology, tokens FROM k0 UNION SELECT topology, CASE WHEN starts_with(topology, 'circle_head_to_tail') THEN list_min(list_transform(range(len(a)), lambda i: list_concat(a[i + 1:], a[1:i]))) ELSE a END FROM k1),
+m AS (SELECT 'SEQ-' || substr(sha256(topology || chr(31) || to_json(tokens)), 1, 16) AS id, topology, tokens FROM k)"""
 _EDIT = """rot AS (SELECT id, topology, unnest(CASE WHEN starts_with(topology, 'circle_head_to_tail') THEN list_transform(range(len(tokens)), lambda i: list_concat(tokens[i + 1:], tokens[1:i])) ELSE [tokens] END) AS t FROM m WHERE len(tokens) > 0),
 pos AS (SELECT id, topology, t, unnest(range(1, len(t) + 1)) AS i FROM rot), mk AS (SELECT DISTINCT id, topology, t[i] AS tok, array_to_string(list_concat(t[1:i - 1], ['*'], t[i + 1:]), chr(1)) AS mask FROM pos),
 bp AS (SELECT id, topology, tokens, unnest(range(1, len(tokens) + 1)) AS i FROM m), base AS (SELECT id, topology, tokens[i] AS tok, array_to_string(list_concat(tokens[1:i - 1], ['*'], tokens[i + 1:]), chr(1)) AS mask FROM bp),
 ed AS (SELECT DISTINCT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b FROM base x JOIN mk y ON x.mask = y.mask AND x.topology = y.topology AND x.id <> y.id AND x.tok <> y.tok)"""
 _CC = f"""RECURSIVE e0 AS (SELECT {sql_plain_id('molecule_id_a')} AS a, {sql_plain_id('molecule_id_b')} AS b, ecfp4_tanimoto AS similarity FROM analogue_edges),
-v AS (SELECT DISTINCT {sql_plain_id('molecule_id')} AS id FROM analogue_components WHERE molecule_id IS NOT NULL), e AS (SELECT * FROM e0 WHERE a IN (SELECT id FROM v) AND b IN (SELECT id FROM v))"""
+e AS (SELECT * FROM e0 WHERE a IS NOT NULL AND b IS NOT NULL), v AS (SELECT {sql_plain_id('molecule_id')} AS id FROM analogue_components WHERE molecule_id IS NOT NULL UNION SELECT a FROM e0 WHERE a IS NOT NULL UNION SELECT b FROM e0 WHERE b IS NOT NULL)"""
+_SPLIT = f"""sp AS (SELECT curated_id, {sql_plain_words('source')} AS source, {sql_plain_id('molecule_id')} AS molecule_id, {sql_plain_id('analogue_component_id')} AS analogue_component_id, {sql_plain_id('sealed_block_id')} AS sealed_block_id, {sql_plain_partition('partition')} AS partition
+  FROM split_manifest_public)"""
 _REGION = "own AS (SELECT c_custkey::VARCHAR AS record, n_regionkey AS fold FROM customer JOIN nation ON c_nationkey = n_nationkey), bk AS (SELECT a.r_regionkey AS outer_fold, b.r_regionkey AS fold, row_number() OVER (PARTITION BY a.r_regionkey ORDER BY b.r_regionkey) AS inner_basket FROM region a JOIN region b ON a.r_regionkey <> b.r_regionkey)"
 _ROLES = f"""{_REGION}, k AS (SELECT DISTINCT outer_fold, inner_basket FROM bk), ro AS (SELECT k.outer_fold, k.inner_basket, record, CASE WHEN own.fold = k.outer_fold THEN 'test' WHEN bk.inner_basket = k.inner_basket THEN 'validation' ELSE 'fit' END AS role
   FROM k CROSS JOIN own LEFT JOIN bk ON bk.outer_fold = k.outer_fold AND bk.fold = own.fold)"""
@@ -323,7 +351,7 @@ _ST = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in ledger.STATUS_OF.items())
 _LEDGER = f"""l0 AS (SELECT user_id AS identity, event_id, ts AS "at", row_number() OVER w AS event_index, CASE event_type {_KINDS} END AS event_type, CAST(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS attempt FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 l AS (SELECT *, CASE event_type {_ST} END AS status FROM l0), st AS (SELECT identity, attempt, arg_max(event_type, event_index) AS last_event, arg_max(status, event_index) AS status, arg_max("at", event_index) AS "at" FROM l GROUP BY ALL)"""
 _PLACED = "p AS (SELECT *, lag(attempt) OVER (PARTITION BY identity ORDER BY event_index) AS pa FROM l)"
-_CUST = "rec AS (SELECT c_custkey::VARCHAR AS curated_id, n_name AS sealed_block_id, n_regionkey AS f, c_mktsegment AS source, (c_custkey % 40)::VARCHAR AS analogue_component_id, c_acctbal AS value FROM customer JOIN nation ON c_nationkey = n_nationkey)"
+_CUST = "rec AS (SELECT c_custkey::VARCHAR AS curated_id, n_name AS sealed_block_id, n_regionkey AS f, c_mktsegment AS source, (c_custkey % 40)::VARCHAR AS analogue_component_id, c_acctbal AS value, CASE WHEN c_custkey % 9 > 0 THEN (c_custkey % 60)::VARCHAR ELSE 'NO_SCAFFOLD:' || c_custkey END AS scaffold FROM customer JOIN nation ON c_nationkey = n_nationkey)"
 
 
 def _greedy_sql(groups: str, scope: str, group: str, folds: int) -> str:
@@ -347,9 +375,9 @@ SELECT id, 'AC-' || substr(sha256(string_agg(o, chr(31) ORDER BY o)), 1, 16) AS
     "graph_threshold_sweep": f"""WITH {_CC}, t AS (SELECT unnest([0.7::DOUBLE, 0.8::DOUBLE, 0.9::DOUBLE]) AS threshold), k AS (SELECT threshold, a, b FROM t, e WHERE similarity IS NULL OR similarity >= threshold),
 s AS (SELECT * FROM k UNION SELECT threshold, b, a FROM k), r AS (SELECT threshold, id, id AS o FROM t, v UNION SELECT r.threshold, r.id, s.b FROM r JOIN s ON s.threshold = r.threshold AND s.a = r.o), g AS (SELECT threshold, id, min(o) AS root FROM r GROUP BY ALL)
 SELECT threshold, (SELECT count(*) FROM k WHERE k.threshold = g.threshold) AS n_edges, count(DISTINCT root) AS n_components FROM g GROUP BY threshold""",
-    "graph_joint_blocks": """WITH RECURSIVE l AS (SELECT DISTINCT l_suppkey::VARCHAR AS source, l_partkey::VARCHAR AS component FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.09),
-r AS (SELECT DISTINCT source AS root, source FROM l UNION SELECT r.root, b.source FROM r JOIN l a ON a.source = r.source JOIN l b ON b.component = a.component),
-g AS (SELECT root, list(source ORDER BY source) AS ss FROM r GROUP BY root), c AS (SELECT root, list(DISTINCT component ORDER BY component) AS cs FROM r JOIN l USING (source) GROUP BY root)
+    "graph_joint_blocks": f"""WITH RECURSIVE {_SPLIT}, l AS (SELECT DISTINCT source, analogue_component_id AS component FROM sp WHERE source IS NOT NULL AND analogue_component_id IS NOT NULL),
+n AS MATERIALIZED (SELECT DISTINCT a.source AS a, b.source AS b FROM l a JOIN l b USING (component)), r AS (SELECT a AS root, a AS source FROM n UNION SELECT r.root, n.b FROM r JOIN n ON n.a = r.source),
+g AS (SELECT root, list(source ORDER BY source) AS ss FROM r GROUP BY root), w AS (SELECT DISTINCT root, component FROM r JOIN l USING (source)), c AS (SELECT root, list(component ORDER BY component) AS cs FROM w GROUP BY root)
 SELECT l.source, component, 'BLOCK-' || substr(sha256(array_to_string(list_concat(ss, cs), chr(31))), 1, 16) AS block_id FROM l JOIN g ON g.root = l.source JOIN c ON c.root = l.source""",
     "folds_roles": f"""WITH {_CUST}, s AS (SELECT sealed_block_id, count(*) AS n_rows, count(DISTINCT source) AS n_sources, count(DISTINCT analogue_component_id) AS n_components FROM rec GROUP BY 1), n AS (SELECT *, dense_rank() OVER (ORDER BY sealed_block_id) AS k FROM s)
 SELECT t.k AS outer_fold, t.sealed_block_id AS test_block, n.sealed_block_id, CASE WHEN t.k = n.k THEN 'test' ELSE 'train' END AS role, n.n_rows, n.n_sources, n.n_components FROM n t CROSS JOIN n""",
@@ -363,14 +391,31 @@ SELECT curated_id, analogue_component_id, c.fold AS analogue_component_id_fold,
 k AS (SELECT curated_id, row_number() OVER (ORDER BY sha256('matched|' || curated_id), curated_id) AS p FROM rec) SELECT curated_id, fold FROM k JOIN b ON p > lo AND p <= hi""",
     "folds_contract_manifest": f"""WITH {_ROLES} SELECT outer_fold, inner_basket, """ + ", ".join(f"count(DISTINCT record) FILTER (role = '{x}') AS n_{x}, sha256(coalesce(string_agg(record || chr(10), '' ORDER BY record || chr(10)) FILTER (role = '{x}'), '')) AS {x}_sha256" for x in ("fit", "validation", "test")) + " FROM ro GROUP BY ALL",
     "folds_contract_proof": f"WITH {_ROLES} SELECT outer_fold, inner_basket, count(DISTINCT record) AS n_known, 0 AS n_several, 0 AS n_unknown, (SELECT count(*) FROM own) - count(DISTINCT record) AS n_missing, true AS is_partition FROM ro GROUP BY ALL",
-    "folds_overlap": " UNION ALL ".join(f"SELECT '{g}' AS group_kind, count(*) AS n_groups, count(*) FILTER (k > 1) AS n_in_several FROM (SELECT {g}, count(DISTINCT partition) AS k FROM split_manifest_public WHERE {g} IS NOT NULL AND partition IS NOT NULL GROUP BY 1)" for g in ("source", "analogue_component_id", "sealed_block_id", "molecule_id")),
-    "folds_gate": "SELECT partition, count(*) AS n_rows, count(DISTINCT molecule_id) AS n_molecules, count(DISTINCT analogue_component_id) AS n_components, count(DISTINCT source) AS n_sources, count(DISTINCT analogue_component_id) >= 20 AS has_enough FROM split_manifest_public WHERE partition IS NOT NULL GROUP BY 1",
+    "folds_overlap": f"WITH {_SPLIT} " + " UNION ALL ".join(f"SELECT '{g}' AS group_kind, count(*) AS n_groups, count(*) FILTER (k > 1) AS n_in_several FROM (SELECT {g}, count(DISTINCT partition) AS k FROM sp WHERE {g} IS NOT NULL AND partition IS NOT NULL GROUP BY 1)" for g in ("source", "analogue_component_id", "sealed_block_id", "molecule_id")),
+    "folds_gate": f"WITH {_SPLIT} SELECT partition, count(*) AS n_rows, count(DISTINCT molecule_id) AS n_molecules, count(DISTINCT analogue_component_id) AS n_components, count(DISTINCT source) AS n_sources, count(DISTINCT analogue_component_id) >= 20 AS has_enough FROM sp WHERE partition IS NOT NULL GROUP BY 1",
+    "folds_gate_summary": f"""WITH {_SPLIT}, q AS (SELECT * FROM sp WHERE partition IS NOT NULL), """ + "k AS (" + " UNION ALL ".join([f"SELECT '{p}_analogue_components' AS rule, count(DISTINCT analogue_component_id) AS n, {MINIMA[p]} AS least FROM q WHERE partition = '{p}'" for p in folds.PARTITIONS] + [f"SELECT 'sources_outside_train', count(DISTINCT source), {MINIMA['sources_outside_train']} FROM q WHERE partition <> 'train'", f"SELECT 'final_test_sources', count(DISTINCT source), {MINIMA['final_test_sources']} FROM q WHERE partition = 'final_test'"])
+    + "), l AS (" + " UNION ALL ".join(f"SELECT '{name}_in_multiple_partitions' AS rule, count(*) AS n FROM (SELECT {c} FROM q WHERE {c} IS NOT NULL GROUP BY 1 HAVING count(DISTINCT partition) > 1)" for c, name in (("source", "sources"), ("analogue_component_id", "components"), ("sealed_block_id", "blocks")))
+    + "), r AS (SELECT rule, n, n >= least AS passed FROM k UNION ALL SELECT rule, n, n = 0 FROM l) SELECT * FROM r UNION ALL SELECT 'admissible', count(*) FILTER (NOT passed), bool_and(passed) FROM r",
+    "folds_allocation": """WITH RECURSIVE b AS (SELECT n_regionkey::VARCHAR AS id, row_number() OVER (ORDER BY n_regionkey::VARCHAR) AS i, count(*)::DOUBLE AS r, count(DISTINCT c_custkey % 97)::DOUBLE AS c, count(DISTINCT n_name)::DOUBLE AS s FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey),
+t AS (SELECT sum(r) AS r, sum(c) AS c, sum(s) AS s FROM b), w AS (SELECT 0::BIGINT AS i, []::INTEGER[] AS a, [0, 0, 0, 0]::DOUBLE[] AS r, [0, 0, 0, 0]::DOUBLE[] AS c, [0, 0, 0, 0]::DOUBLE[] AS s, 0::DOUBLE AS tie
+  UNION ALL SELECT b.i, list_append(w.a, p), list_transform(w.r, lambda x, j: CASE WHEN j = p THEN x + b.r ELSE x END), list_transform(w.c, lambda x, j: CASE WHEN j = p THEN x + b.c ELSE x END), list_transform(w.s, lambda x, j: CASE WHEN j = p THEN x + b.s ELSE x END), w.tie + 1e-9 * b.i * p
+  FROM w JOIN b ON b.i = w.i + 1, (SELECT unnest([1, 2, 3, 4]) AS p)),
+f AS (SELECT a, tie + """ + " + ".join(f"{wt} / t.{k} * (" + " + ".join(f"abs(w.{k}[{p}] - {x} * t.{k})" for p, x in enumerate((0.55, 0.2, 0.15, 0.1), 1)) + ")" for k, wt in (("r", 1.0), ("c", 0.25), ("s", 0.1))) + """ AS o FROM w, t
+  WHERE len(a) = (SELECT count(*) FROM b) AND list_min(w.c) >= 20 AND w.s[2] + w.s[3] + w.s[4] >= 4 AND w.s[4] >= 1),
+z AS (SELECT * FROM f ORDER BY o LIMIT 1) SELECT id AS sealed_block_id, ['train', 'validation', 'calibration', 'final_test'][a[i]] AS partition, round(o, 6) AS objective, true AS is_proven FROM b, z""",
+    "folds_matched_draws": "WITH n AS (SELECT count(*) AS n FROM supplier) SELECT 1::INTEGER AS fold, n AS n_records FROM n UNION ALL SELECT 2, n // 2 FROM n UNION ALL SELECT 3, n - n // 2 FROM n",
+    "folds_four_groupings": f"""WITH RECURSIVE {_CUST}, gr AS (SELECT k || '' AS scope, g, count(*) AS n FROM (SELECT 'c' AS k, analogue_component_id AS g FROM rec UNION ALL SELECT 'b', sealed_block_id FROM rec UNION ALL SELECT 's', source FROM rec UNION ALL SELECT 'f', scaffold FROM rec) GROUP BY ALL), {_greedy_sql('gr', 'scope', 'g', 5)}
+SELECT curated_id, c.fold AS analogue_component_id_fold, b.fold AS sealed_block_id_fold, s.fold AS source_fold, f.fold AS scaffold_fold FROM rec JOIN placed c ON c.scope = 'c' AND c.g = analogue_component_id JOIN placed b ON b.scope = 'b' AND b.g = sealed_block_id
+JOIN placed s ON s.scope = 's' AND s.g = source JOIN placed f ON f.scope = 'f' AND f.g = scaffold""",
+    "contract_ladder": f"WITH {_SPLIT}, q AS (SELECT * FROM sp WHERE curated_id IS NOT NULL AND source IS NOT NULL AND molecule_id IS NOT NULL AND analogue_component_id IS NOT NULL AND sealed_block_id IS NOT NULL AND partition IS NOT NULL) " + " UNION ALL ".join(f"SELECT '{g}' AS \"group\", '{v}' AS value, count(*) AS n_broken FROM (SELECT {g} FROM q GROUP BY 1 HAVING count(DISTINCT {v}) > 1)" for g, v in (("curated_id", "molecule_id"), ("molecule_id", "analogue_component_id"), ("analogue_component_id", "sealed_block_id"), ("source", "sealed_block_id"), ("sealed_block_id", "partition"))),
+    "graph_sweep_check": f"""WITH {_CC}, k AS (SELECT a, b FROM e WHERE similarity IS NULL OR similarity >= 0.8), s AS (SELECT * FROM k UNION SELECT b, a FROM k), r AS (SELECT id, id AS o FROM v UNION SELECT r.id, s.b FROM r JOIN s ON s.a = r.o)
+SELECT 0.8::DOUBLE AS threshold, (SELECT count(*) FROM k) AS n_edges, count(DISTINCT root) AS n_components, true AS reproduces FROM (SELECT id, min(o) AS root FROM r GROUP BY id)""",
     "folds_training_targets": f"WITH {_CUST} SELECT r_regionkey AS outer_fold, count(*) AS n, round(sum(value), 2) AS total FROM region JOIN rec ON f <> r_regionkey WHERE r_regionkey IN (SELECT f FROM rec) GROUP BY 1",
     "folds_authoritative": "SELECT c_custkey, c_mktsegment, CASE WHEN c_mktsegment = 'BUILDING' THEN -1e9 ELSE c_acctbal END AS c_acctbal FROM customer",
     "folds_singletons": "SELECT DISTINCT curated_id, CASE WHEN trim(coalesce(analogue_component_id, '')) = '' THEN 'NO_SCAFFOLD:' || curated_id ELSE analogue_component_id END AS scaffold FROM split_manifest_public",
     "graph_nearest_training": """WITH m AS (SELECT user_id, list_distinct(list(event_type || '-' || hour(ts))) AS bits FROM events GROUP BY 1),
 s AS (SELECT a.user_id::VARCHAR AS id, b.user_id::VARCHAR AS o, len(list_intersect(a.bits, b.bits)) AS k, len(a.bits) AS na, len(b.bits) AS nb FROM m a JOIN m b ON a.user_id % 5 = 0 AND b.user_id % 5 <> 0),
-t AS (SELECT id, o, k / (na + nb - k) AS similarity FROM s WHERE k / (na + nb - k) >= 0.4 QUALIFY row_number() OVER (PARTITION BY id ORDER BY k / (na + nb - k) DESC, o) = 1)
+t AS (SELECT id, o, k / (na + nb - k) AS similarity FROM s WHERE k > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY k / (na + nb - k) DESC, o) = 1)
 SELECT user_id::VARCHAR AS id, coalesce(o, '') AS nearest, round(coalesce(similarity, 0), 6) AS similarity FROM m LEFT JOIN t ON t.id = user_id::VARCHAR WHERE user_id % 5 = 0""",
     "folds_residual_gaps": """WITH own AS (SELECT c_custkey AS record, n_regionkey AS fold FROM customer JOIN nation ON c_nationkey = n_nationkey), f AS (SELECT DISTINCT fold AS outer_fold FROM own),
 r AS (SELECT outer_fold, record FROM f JOIN own ON fold <> outer_fold WHERE record NOT IN (3, 4))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import shutil
 import uuid
 from collections.abc import Mapping, Sequence
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from partwise.plans.contracts import Violation, require_columns
+from partwise.plans.lineage import Scratch
 
 # Scans
 
@@ -66,19 +68,35 @@ def write_once(df: DataFrame, path: str, kind: str = "parquet", partition_by: Se
 def write_csv(df: DataFrame, path: str, order: Sequence[Column | str], decimals: int | None = 12) -> str:
     """One CSV file in a fixed order and number format with bare line ends, written once; returns the SHA-256 of its bytes.
 
-    For release tables of driver size: the rows pass through one task and the driver.
+    Tasks write the sorted lines as text parts to the shared folder; the driver then
+    joins the bytes of the parts in order, a buffer at a time, and hashes them as they
+    pass. Nulls are empty; fields with a comma, quote or line end are quoted.
     """
-    if os.path.exists(path):
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(conf)
+    if fs.exists(target):
         raise FileExistsError(path)
-    shown = [F.when(F.col(c).isNotNull(), F.format_string(f"%.{decimals}f", c)).alias(c) if decimals is not None and isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else F.col(c).cast("string").alias(c) for c in df.columns]
-    rows = df.orderBy(*order).select(*shown).collect()
-    quote = lambda x: "" if x is None else '"' + x.replace('"', '""') + '"' if any(c in x for c in ',"\n\r') else x
-    body = "".join(",".join(map(quote, r)) + "\n" for r in [df.columns, *rows]).encode()
-    with open(path, "xb") as f:
-        f.write(body)
-        f.flush()
-        os.fsync(f.fileno())
-    return hashlib.sha256(body).hexdigest()
+    shown = [F.format_string(f"%.{decimals}f", c) if decimals is not None and isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else F.col(c).cast("string") for c in df.columns]
+    quoted = [F.when(F.col(c).isNull(), "").when(x.rlike('[,"\n\r]'), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(x) for c, x in zip(df.columns, shown)]
+    scratch = Scratch(spark, "csv")
+    df.orderBy(*order).select(F.concat_ws(",", *quoted).alias("line")).write.text(f"{scratch.base}/lines")
+    head = ",".join('"' + c.replace('"', '""') + '"' if any(x in c for x in ',"\n\r') else c for c in df.columns) + "\n"
+    digest = jvm.java.security.MessageDigest.getInstance("SHA-256")
+    out = jvm.java.security.DigestOutputStream(fs.create(target, False), digest)
+    try:
+        out.write(bytearray(head.encode()))
+        folder = jvm.org.apache.hadoop.fs.Path(f"{scratch.base}/lines")
+        source = folder.getFileSystem(conf)
+        for name in sorted(f.getPath().toString() for f in source.listStatus(folder) if f.getPath().getName().startswith("part-")):
+            part = source.open(jvm.org.apache.hadoop.fs.Path(name))
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 16, False)
+            part.close()
+    finally:
+        out.close()
+        scratch.drop_all()
+    return bytes(digest.digest()).hex()
 
 
 def publish(files: Mapping[str, bytes], target: str) -> dict[str, str]:
@@ -102,6 +120,33 @@ def publish(files: Mapping[str, bytes], target: str) -> dict[str, str]:
         shutil.rmtree(stage, ignore_errors=True)
 
 
+def publish_generation(files: Mapping[str, bytes], root: str) -> int:
+    """Publish a bundle as the next generation below ``root`` and point readers to it; returns its number.
+
+    A pointer file is replaced in one step once the bundle is complete, so a reader sees
+    all files of one generation, never a mix. Older generations stay.
+    """
+    os.makedirs(root, exist_ok=True)
+    number = 1 + max((int(n[4:]) for n in os.listdir(root) if re.fullmatch(r"gen-\d+", n)), default=0)
+    found = publish(files, os.path.join(root, f"gen-{number}"))
+    stage = os.path.join(root, f"pointer.{uuid.uuid4().hex}")
+    with open(stage, "x", encoding="utf-8") as f:
+        json.dump({"generation": number, "files": found}, f, sort_keys=True)
+        f.flush()
+        os.fsync(f.fileno())
+    os.replace(stage, os.path.join(root, "CURRENT"))
+    return number
+
+
+def read_generation(root: str) -> tuple[int, dict[str, bytes]]:
+    """Number and files of the current generation; an error if a file isn't what the pointer says."""
+    told = json.loads(Path(root, "CURRENT").read_text(encoding="utf-8"))
+    files = {n: Path(root, f"gen-{told['generation']}", n).read_bytes() for n in told["files"]}
+    if {n: hashlib.sha256(b).hexdigest() for n, b in files.items()} != told["files"]:
+        raise Violation("the current generation differs from its pointer")
+    return told["generation"], files
+
+
 # Manifests
 
 #: Kinds of files by their name, the first that fits. Fixed values.

@@ -295,3 +295,80 @@ def test_nearest_training_and_variants(spark):
     df = spark.createDataFrame([(1, "a", 1.0), (1, "b", 3.0), (2, "a", 1.0)], "f int, v string, x double")
     assert [tuple(r) for r in metrics.variant_deltas(df, ["f"], "v", "x", "a", ["a", "b"]).collect()] == [(1, 1.0, 3.0, 2.0)]
     assert metrics.replicate_seeds(df, [0, 7]).groupBy("seed").count().collect()[0]["count"] == 3
+
+
+def test_sign_flip_by_halves_equals_all_assignments(spark):
+    r = random.Random(3)
+    c = spark.createDataFrame([(f"b{i:02}", r.gauss(0.1, 1)) for i in range(13)], "block string, contribution double")
+    whole, halves = inference.sign_flip(c).first(), inference.sign_flip(c, direct=5).first()
+    assert whole.n_exceedances == halves.n_exceedances and whole.p_value == halves.p_value and halves.n_assignments == 1 << 13
+    wide = spark.createDataFrame([(f"b{i:02}", 1.0) for i in range(30)], "block string, contribution double")
+    assert inference.sign_flip(wide).first().n_exceedances == 2
+
+
+def test_repeated_quantile_edges_are_refused(spark):
+    df = spark.createDataFrame([("a", 1.0)] * 9 + [("a", 2.0)], "s string, v double")
+    with pytest.raises(Exception, match="repeat"):
+        calibration.quantile_bins(df, ["s"], "v", 4).collect()
+
+
+def test_allocation_is_the_best_of_all():
+    from partwise.operators.allocation import TIE, WEIGHTS, allocate
+
+    r = random.Random(7)
+    shares = {"train": 0.6, "validation": 0.15, "calibration": 0.15, "final_test": 0.1}
+    for case in range(12):
+        blocks = [{"sealed_block_id": f"B{i}", "n_curated_rows": r.randrange(1, 60), "n_analogue_components": r.randrange(1, 9), "n_sources": r.randrange(1, 4)} for i in range(6)]
+        minima = {"train": 5, "validation": 2, "calibration": 2, "final_test": 2, "sources_outside_train": 3, "final_test_sources": 1} if case % 2 else None
+        total = {c: sum(b[c] for b in blocks) for c in WEIGHTS}
+        best = None
+        for where in itertools.product(range(4), repeat=6):
+            part = lambda p, c: sum(b[c] for b, w in zip(blocks, where) if w == p)  # noqa: B023, E731
+            if minima and (any(part(p, "n_analogue_components") < minima[n] for p, n in enumerate(shares)) or sum(part(p, "n_sources") for p in (1, 2, 3)) < 3 or part(3, "n_sources") < 1):
+                continue
+            value = sum(w / total[c] * abs(part(p, c) - x * total[c]) for c, w in WEIGHTS.items() for p, x in enumerate(shares.values())) + sum(TIE * (i + 1) * (p + 1) for i, p in enumerate(where))
+            best = min(best, value) if best is not None else value
+        got = allocate(blocks, shares, minima)
+        assert (got is None and best is None) or (got.is_proven and got.objective == pytest.approx(best, abs=1e-12))
+    assert allocate(blocks, shares, {**minima, "train": 1000}) is None
+
+
+def test_matched_draws_fill_exactly_and_repeat():
+    groups = [("m", 5), ("k", 3)] + [(f"s{i}", 1) for i in range(12)]
+    out = folds.matched_size_assignment(groups, [9, 6, 5], 11)
+    assert out == folds.matched_size_assignment(groups[::-1], [9, 6, 5], 11)
+    assert [sum(n for g, n in groups if out[g] == f) for f in (1, 2, 3)] == [9, 6, 5]
+
+
+def test_equal_sequences_are_one_class_in_one_edit_pairs(spark):
+    rows = [(f"x{i}", ["A", "B", "C"], "lariat|3") for i in range(5)] + [("y", ["A", "B", "D"], "lariat|3"), ("z", ["A", "B", "D"], "other|3")]
+    got = sorted(map(tuple, graph.one_edit_pairs(spark.createDataFrame(rows, "id string, tokens array<string>, topology string")).collect()))
+    assert got == [(f"x{i}", "y") for i in range(5)]
+
+
+def test_generations_and_streamed_csv(spark, tmp_path):
+    import hashlib
+
+    from partwise.sources import files
+
+    assert files.publish_generation({"a": b"1"}, str(tmp_path / "g")) == 1 and files.publish_generation({"b": b"2"}, str(tmp_path / "g")) == 2
+    assert files.read_generation(str(tmp_path / "g")) == (2, {"b": b"2"})
+    (tmp_path / "g" / "gen-2" / "b").write_bytes(b"3")
+    with pytest.raises(Violation):
+        files.read_generation(str(tmp_path / "g"))
+    df = spark.createDataFrame([(2, 'a,"b"', 1.5), (1, None, None)], "k int, t string, x double")
+    digest = files.write_csv(df, str(tmp_path / "f.csv"), ["k"], 3)
+    body = (tmp_path / "f.csv").read_bytes()
+    assert body == b'k,t,x\n1,,\n2,"a,""b""",1.500\n' and digest == hashlib.sha256(body).hexdigest()
+
+
+def test_scratch_scope_removes_tables(spark):
+    from partwise.plans.lineage import Scratch, scratch_scope
+
+    with scratch_scope():
+        df = Scratch(spark, "scope").write(spark.range(3))
+        files = df.inputFiles()
+        assert df.count() == 3
+    import os
+
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in files)
