@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partwise.functions.text import plain_id, plain_words, sql_is_missing, sql_plain_id, sql_plain_words, sql_strip, strip
+from partwise.functions.text import plain_id, plain_partition, plain_words, sql_is_missing, sql_plain_id, sql_plain_partition, sql_plain_words, sql_strip, strip
 from partwise.llm.contraction import contract_ids
 from partwise.llm.editjoin import cross_split_pairs
 from partwise.llm.fusion import LEAD, fuse
@@ -38,6 +38,11 @@ def p2_fused(spark: SparkSession, sf: str) -> DataFrame:
     return _fused(spark, sf, 0.0).withColumn("posterior", F.round("posterior", 6)).drop("several")
 
 
+def p2_undisputed(spark: SparkSession, sf: str) -> DataFrame:
+    """The fused fields on which a group has one value: that value and the best row that has it."""
+    return p2_fused(spark, sf).filter("n_values = 1").select("raw_group_id", "field_name", "value", "raw_id")
+
+
 # Problem 3
 
 
@@ -60,19 +65,6 @@ def p3_group_sizes(spark: SparkSession, sf: str) -> DataFrame:
 
 # Problems 4 and 5
 
-#: Names of the four partitions after lower-casing and joining words by ``_``. Fixed values.
-PARTITION_NAMES = {"train": ("train", "training"), "validation": ("validation", "valid", "val"), "calibration": ("calibration", "calib", "cal"), "final_test": ("final_test", "finaltest", "test", "testing")}
-
-
-def plain_partition(c: str) -> Column:
-    """One of the four partitions; null for null and for unknown names."""
-    t = plain_words(c)
-    out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for name, ways in PARTITION_NAMES.items():
-        out = out.when(t.isin(*ways), name)
-    return out
-
-
 def records(spark: SparkSession, sf: str) -> DataFrame:
     s = _table(spark, sf, "split_manifest_public")
     return s.select(
@@ -122,10 +114,9 @@ def p5_counts(spark: SparkSession, sf: str) -> DataFrame:
     return hits.groupBy(F.col("split").alias("partition"), "source").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("record").alias("n_records"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_fused, p3_found, p3_group_sizes, p4_found, p4_conflicts, p4_split, p4_audit, p5_found, p5_counts)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_fused, p2_undisputed, p3_found, p3_group_sizes, p4_found, p4_conflicts, p4_split, p4_audit, p5_found, p5_counts)}
 
-_SPLIT_CASE = "CASE " + " ".join(f"WHEN {sql_plain_words('partition')} IN ({', '.join(map(repr, ways))}) THEN '{name}'" for name, ways in PARTITION_NAMES.items()) + " END"
-_RECORDS = f"""r AS (SELECT DISTINCT curated_id AS record, {sql_plain_id('molecule_id')} AS molecule, {sql_strip('canonical_smiles')} AS structure, {_SPLIT_CASE} AS split,
+_RECORDS = f"""r AS (SELECT DISTINCT curated_id AS record, {sql_plain_id('molecule_id')} AS molecule, {sql_strip('canonical_smiles')} AS structure, {sql_plain_partition('partition')} AS split,
     {sql_plain_words('source')} AS source, lower({sql_strip('analogue_component_id')}) AS analogue_component_id, lower({sql_strip('sealed_block_id')}) AS sealed_block_id
     FROM split_manifest_public)"""
 #: Five edits leave one of six disjoint pieces as it is.
@@ -145,13 +136,16 @@ g AS (SELECT m AS molecule_id, min(o) AS group_molecule_id FROM reach GROUP BY m
 _FOUND2 = " UNION ALL ".join(
     f"(SELECT raw_group_id, '{f}' AS field_name, arg_min(raw_id, k) AS raw_id FROM m WHERE NOT {sql_is_missing(f)} GROUP BY raw_group_id HAVING count(*) > 0)" for f in FIELDS
 )
-SQL = {
-    "p2_found": f"""WITH u AS (SELECT DISTINCT {sql_plain_id('curated_id')} AS c, upper({sql_strip('x')}) AS r FROM (SELECT curated_id, unnest(string_split(raw_ids_used, '|')) AS x FROM curated_records_public)),
+_RANKED2 = f"""u AS (SELECT DISTINCT {sql_plain_id('curated_id')} AS c, upper({sql_strip('x')}) AS r FROM (SELECT curated_id, unnest(string_split(raw_ids_used, '|')) AS x FROM curated_records_public)),
 m AS (SELECT raw_group_id, {sql_strip('raw_id')} AS raw_id, year, version, topology_signature, canonical_sequence,
       row(NOT coalesce(lower({sql_strip('curation_status')}) = 'included' AND NOT coalesce(is_censored, false) AND u.c IS NOT NULL, false), recorded_at IS NULL, -epoch_us(coalesce(recorded_at, TIMESTAMP '1970-01-01')),
           CAST(regexp_extract(raw_id, '([0-9]+)[^0-9]*$', 1) AS BIGINT), raw_id) AS k
-      FROM curation_manifest LEFT JOIN u ON u.c = {sql_plain_id('curation_manifest.curated_id')} AND u.r = upper({sql_strip('raw_id')}) WHERE raw_group_id IS NOT NULL AND raw_id IS NOT NULL),
+      FROM curation_manifest LEFT JOIN u ON u.c = {sql_plain_id('curation_manifest.curated_id')} AND u.r = upper({sql_strip('raw_id')}) WHERE raw_group_id IS NOT NULL AND raw_id IS NOT NULL)"""
+_NORMAL2 = {"year": f"regexp_replace({sql_strip('year')}, '\\.0+$', '')", "version": f"regexp_replace(lower({sql_strip('version')}), '^v', '')"}
+SQL = {
+    "p2_found": f"""WITH {_RANKED2},
 f AS ({_FOUND2}) SELECT f.* FROM f JOIN (SELECT raw_group_id FROM m GROUP BY 1 HAVING count(DISTINCT raw_id) > 1) USING (raw_group_id)""",
+    "p2_undisputed": f"WITH {_RANKED2}, " + "f AS (" + " UNION ALL ".join(f"SELECT raw_group_id, '{x}' AS field_name, min({_NORMAL2.get(x, sql_strip(x))}) AS value, arg_min(raw_id, k) AS raw_id FROM m WHERE NOT {sql_is_missing(x)} GROUP BY raw_group_id HAVING count(DISTINCT {_NORMAL2.get(x, sql_strip(x))}) = 1" for x in FIELDS) + ") SELECT * FROM f",
     "p3_found": f"{_GROUPS} SELECT * FROM g",
     "p3_group_sizes": f"{_GROUPS} SELECT n_molecules, count(*) AS n_groups FROM (SELECT count(*) AS n_molecules FROM g GROUP BY group_molecule_id) GROUP BY 1",
     "p4_found": f"WITH {_RECORDS} " + " UNION ALL ".join(f"SELECT '{k}' AS key_kind, {k} AS key_value FROM r WHERE {k} IS NOT NULL GROUP BY 2 HAVING count(DISTINCT split) > 1" for k in KEYS),

@@ -2,10 +2,10 @@
 
 Texts become words as a reader reads them, words become 64-bit hashes, and of
 every W consecutive K-word hashes the least is a fingerprint on both sides. Any
-run of K + W - 1 equal words shares one. Fingerprints of the held-out items are
-sent to the tasks in blocks of bounded size; each block meets all documents in one
-scan, and hits are extended to both sides right there, over at most one changed,
-missing or added word. Nothing about the documents is shuffled but the result.
+run of K + W - 1 equal words shares one. Fingerprints of both sides are joined and
+hits extended to both sides, over at most one changed, missing or added word.
+A held-out set of bounded size is sent to the tasks as an index, so that nothing
+about the documents is shuffled but the result; a larger one is joined by shuffling.
 """
 
 from __future__ import annotations
@@ -16,13 +16,18 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from partwise.plans.lineage import Scratch
 
 #: A case is a stretch of MIN_WORDS words with one edit, so one of its two exact runs has at least (MIN_WORDS - 1 + 1) // 2 words.
 MIN_WORDS, K = 22, 8
 W = MIN_WORDS // 2 - K + 1
-#: Words of held-out items in one block; larger sets take several scans.
+#: Words of held-out items that go to the tasks as an index; larger sets are joined.
 BLOCK_WORDS = 2_000_000
 CHUNK = 1 << 20
 
@@ -174,16 +179,67 @@ class Items:
                     yield text, self.ids[i]
 
 
-def _blocks(items: DataFrame, words: int) -> Iterator[list[tuple[int, str]]]:
-    block, size = [], 0
-    for r in items.toLocalIterator():
-        block.append((r[0], r[1]))
-        size += len(r[1]) // 2
-        if size >= words:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def _word_batches(texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Indexes of texts, their words and the text of each word (by its place among the indexes), some CHUNK bytes at a time."""
+    at, waiting, size = [], [], 0
+    for i, t in enumerate(texts):
+        at.append(i)
+        waiting.append(plain(t))
+        size += len(waiting[-1])
+        if size >= CHUNK or i == len(texts) - 1:
+            offsets = np.cumsum([0, *[len(t) + 1 for t in waiting]])
+            words, starts = word_hashes(b" ".join(waiting))
+            yield at, words, np.searchsorted(offsets, starts, "right") - 1
+            at, waiting, size = [], [], 0
+
+
+def _marks(df: DataFrame, name: str) -> DataFrame:
+    """(name_id, key, name_at) for every fingerprint of the texts of (name_id, text); ``name_at`` is the word where it starts."""
+
+    def run(batches):
+        for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            for at, words, owner in _word_batches(b.column(1).to_pylist()):
+                place, keys = fingerprints(words, owner)
+                first = np.searchsorted(owner, owner[place])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[np.array(at, int)[owner[place]]], pa.int64()), pa.array(keys.view(np.int64)), pa.array((place - first).astype(np.int32))], [f"{name}_id", "key", f"{name}_at"])
+
+    return df.mapInArrow(run, f"{name}_id bigint, key bigint, {name}_at int")
+
+
+def _around(df: DataFrame, name: str) -> DataFrame:
+    """(name_id, name_at, name_left, name_words): the words around each place of (name_id, text, places), and how many come before it; enough for ``stretch`` to say whether there are MIN_WORDS."""
+
+    def run(batches):
+        for b in batches:
+            ids, places, out = b.column(0).to_pylist(), b.column(2).to_pylist(), ([], [], [], [])
+            for i, text in enumerate(b.column(1).to_pylist()):
+                words = word_hashes(plain(text))[0]
+                for p in places[i]:
+                    lo = max(0, p - 2 * MIN_WORDS - 2)
+                    for column, x in zip(out, (ids[i], p, p - lo, words[lo : p + 2 * MIN_WORDS + 2].tobytes())):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], [f"{name}_id", f"{name}_at", f"{name}_left", f"{name}_words"])
+
+    return df.mapInArrow(run, f"{name}_id bigint, {name}_at int, {name}_left int, {name}_words binary")
+
+
+@F.pandas_udf(T.BooleanType())
+def _holds(doc: pd.Series, p: pd.Series, item: pd.Series, q: pd.Series) -> pd.Series:
+    return pd.Series([stretch(np.frombuffer(d, np.uint64), int(i), np.frombuffer(t, np.uint64), int(j)) >= MIN_WORDS for d, i, t, j in zip(doc, p, item, q)], dtype=bool)
+
+
+def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The cases by a join of fingerprints, for held-out sets of any size: equal items are one, and only words around hits travel."""
+    scratch = Scratch(docs.sparkSession, "leaks")
+    given = scratch.write(items.groupBy("text").agg(F.min("item_id").alias("class_id")))
+    classes = given.select("class_id", "text")
+    marks = _marks(docs, "doc").join(_marks(classes, "class"), "key").select("doc_id", "doc_at", "class_id", "class_at").distinct()
+    hits = scratch.write(marks)
+    of = lambda name, texts: _around(texts.join(hits.groupBy(f"{name}_id").agg(F.collect_set(f"{name}_at").alias("places")), f"{name}_id").select(f"{name}_id", "text", "places"), name)
+    full = hits.join(of("doc", docs), ["doc_id", "doc_at"]).join(of("class", classes), ["class_id", "class_at"])
+    found = full.filter(_holds("doc_words", "doc_left", "class_words", "class_left")).select("doc_id", "class_id").distinct()
+    return found.join(given, "class_id").join(items, "text").select("doc_id", "item_id").distinct()
 
 
 def leaks(documents: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -191,32 +247,32 @@ def leaks(documents: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS
 
     ``documents`` has doc_id and text, ``items`` item_id and item_text; further
     columns are ignored. Null ids and null or short texts have no cases. Ids may
-    repeat. Items go to the tasks in blocks of about ``block_words`` words, one scan
-    of the documents each, so what is sent at once stays bounded. Without items or
-    documents there are no rows.
+    repeat. Held-out sets of up to about ``block_words`` words go to the tasks as an
+    index, which meets the documents in one scan; for larger ones the fingerprints of
+    both sides are shuffled and joined, and the words around each hit decide. Both
+    ways give the same rows. Without items or documents there are none.
     """
     spark = documents.sparkSession
     docs = documents.selectExpr("cast(doc_id as bigint) AS doc_id", "text").dropna()
-    schema = "doc_id bigint, item_id bigint"
-    out = spark.createDataFrame([], schema)
-    for block in _blocks(items.selectExpr("cast(item_id as bigint) AS item_id", "item_text").dropna(), block_words):
-        index = spark.sparkContext.broadcast(Items(block))
-
-        def scan(batches, index=index):
-            for batch in batches:
-                ids, found, waiting, size = [], [], [], 0
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    waiting.append((doc, plain(text.as_py())))
-                    size += len(waiting[-1][1])
-                    if size >= CHUNK:
-                        for at, item in index.value.leaks([t for _, t in waiting]):
-                            ids.append(waiting[at][0])
-                            found.append(item)
-                        waiting, size = [], 0
-                for at, item in index.value.leaks([t for _, t in waiting]):
-                    ids.append(waiting[at][0])
-                    found.append(item)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.int64())], ["doc_id", "item_id"])
-
-        out = out.unionByName(docs.mapInArrow(scan, schema))
-    return out.distinct()
+    held = items.selectExpr("cast(item_id as bigint) AS item_id", "item_text AS text").dropna()
+    if (held.agg(F.sum(F.length("text"))).first()[0] or 0) > 2 * block_words:
+        return _joined(docs, held)
+    index = spark.sparkContext.broadcast(Items([(r[0], r[1]) for r in held.collect()]))  # at most block_words words
+
+    def scan(batches):
+        for batch in batches:
+            ids, found, waiting, size = [], [], [], 0
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                waiting.append((doc, plain(text.as_py())))
+                size += len(waiting[-1][1])
+                if size >= CHUNK:
+                    for at, item in index.value.leaks([t for _, t in waiting]):
+                        ids.append(waiting[at][0])
+                        found.append(item)
+                    waiting, size = [], 0
+            for at, item in index.value.leaks([t for _, t in waiting]):
+                ids.append(waiting[at][0])
+                found.append(item)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.int64())], ["doc_id", "item_id"])
+
+    return docs.mapInArrow(scan, "doc_id bigint, item_id bigint").distinct()

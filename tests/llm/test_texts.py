@@ -155,7 +155,9 @@ def test_leaks_equal_brute_force(spark):
         docs.append((d, passage(r, r.randrange(0, 9)) + part + passage(r, r.randrange(0, 9))))
     want = {(d, i) for d, dw in docs for i, iw in items if edits_within(dw, iw)}
     frame = lambda rows, a, b: spark.createDataFrame([(x, " ".join(w), 1) for x, w in rows] + [(None, "x", 1), (500, None, 1), (501, "", 1)], f"{a} long, {b} string, words int")
-    for block in (2_000_000, 40):  # one block and many
+    items.append((99, items[0][1]))  # the same item under another id
+    want |= {(d, 99) for d, i in want if i == 0}
+    for block in (2_000_000, 40):  # by an index and by a join
         got = leaks(frame(docs + docs[:5], "doc_id", "text"), frame(items, "item_id", "item_text"), block).collect()
         assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
     assert want and len(want) < 90
