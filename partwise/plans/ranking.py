@@ -22,11 +22,15 @@ from pyspark.sql.window import Window
 
 from partwise.plans.lineage import Scratch
 
-#: Bytes of written (compressed) rows in one part.
-PART_BYTES = 16 << 20
+#: Bytes of written (compressed) rows in one part at most, and at least while there are idle cores.
+PART_BYTES, LEAST_BYTES = 16 << 20, 1 << 19
 _INDEX_BITS = 33  # of monotonically_increasing_id, below the part's number
 
 
+def _parts(size: int, cores: int) -> int:
+    return max(1, -(-size // PART_BYTES), min(cores, -(-size // LEAST_BYTES)))
+
+
 def _sums(df: DataFrame, values: Sequence[str]) -> DataFrame:
     """``df`` with ``_r{i}``: the running sum of each value over the rows of a partition, in their order."""
     whole = {v: isinstance(df.schema[v].dataType, T.IntegralType) for v in values}
@@ -56,7 +60,7 @@ def running_totals(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     """
     scratch = scratch or Scratch(df.sparkSession, "rank")
     rows = scratch.write(df)
-    n = partitions or max(1, -(-scratch.last_bytes() // PART_BYTES))
+    n = partitions or _parts(scratch.last_bytes(), df.sparkSession.sparkContext.defaultParallelism)
     key = [*[F.col(c) for c in group], *order]
     sorted_ = rows.repartitionByRange(n, *key).sortWithinPartitions(*key)
     summed = _sums(sorted_, values) if values else sorted_

@@ -13,6 +13,7 @@ from partwise.operators import inference as inf
 from partwise.operators import metrics as m
 from partwise.operators import models, weights
 from partwise.plans import contracts
+from partwise.plans.lineage import Scratch
 from partwise.queries.common import ARMS, PREDICTIONS, predictions, rounded, sql_gap, sql_round, table
 
 LEVELS = (0.5, 0.8, 0.9)
@@ -118,7 +119,8 @@ def calibration_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _per_record(spark: SparkSession, sf: str) -> DataFrame:
-    return predictions(spark, sf).groupBy("arm", "record_id").agg(F.avg("prediction").alias("prediction"), F.min("observed").alias("observed"))
+    """Written once, since quantiles and curves read it several times."""
+    return Scratch(spark, "records").write(predictions(spark, sf).groupBy("arm", "record_id").agg(F.avg("prediction").alias("prediction"), F.min("observed").alias("observed")))
 
 
 def _intervals(spark: SparkSession, sf: str) -> DataFrame:
