@@ -11,7 +11,7 @@ whatever the shape of the graph (long chains and hubs included).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from partwise.llm.ids import hex_number, hex_text
@@ -73,12 +73,16 @@ def contract_ids(edges: DataFrame, vertices: DataFrame, prefix: str) -> DataFram
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, "contract")
+    odd = lambda c, n: F.count_if(F.col(c).isNotNull() & (F.col(n).isNull() | ~F.col(c).startswith(prefix))).alias(n)
+    seen = Observation(), Observation()  # other forms are counted as the numbers are written
+    numbers = edges.select("a", "b", hex_number("a").alias("na"), hex_number("b").alias("nb")).observe(seen[0], odd("a", "na"), odd("b", "nb"))
+    lone = vertices.select("vertex", hex_number("vertex").alias("n")).observe(seen[1], odd("vertex", "n"))
+    plain_edges, plain_vertices = scratch.write(numbers.select(F.col("na").alias("a"), F.col("nb").alias("b"))), scratch.write(lone.select(F.col("n").alias("vertex")))
+    if not any(n for s in seen for n in s.get.values()):
+        found = contract(plain_edges, plain_vertices, scratch=scratch)
+        return found.select(hex_text("vertex", prefix).alias("vertex"), hex_text("group", prefix).alias("group"))
     ends = scratch.write(edges.select("a", "b"))
     ids = ends.select(F.col("a").alias("vertex")).unionAll(ends.select(F.col("b").alias("vertex"))).unionAll(vertices.select("vertex")).dropna()
-    plain = F.col("vertex").startswith(prefix) & hex_number("vertex").isNotNull()
-    if ids.filter(~plain).isEmpty():
-        found = contract(ends.select(hex_number("a").alias("a"), hex_number("b").alias("b")), vertices.select(hex_number("vertex").alias("vertex")), scratch=scratch)
-        return found.select(hex_text("vertex", prefix).alias("vertex"), hex_text("group", prefix).alias("group"))
     names = scratch.write(running_totals(ids.distinct(), [], [F.asc("vertex")], position="n", scratch=scratch))
     na, nb = names.toDF("a", "na"), names.toDF("b", "nb")
     numbered = ends.join(na, "a", "left").join(nb, "b", "left").select(F.col("na").alias("a"), F.col("nb").alias("b"))
