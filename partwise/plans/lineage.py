@@ -14,7 +14,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _OPEN: list["Scratch"] = []
 
@@ -50,6 +51,12 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def write_some(self, df: DataFrame) -> DataFrame | None:
+        """The same, but None when there were no rows; they are counted as they are written."""
+        seen = Observation()
+        out = self.write(df.observe(seen, F.count(F.lit(1)).alias("n")))
+        return out if seen.get["n"] else None
+
     def last_bytes(self) -> int:
         """Bytes of the table written last."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{self.made:04d}")
