@@ -367,6 +367,8 @@ SQL = {
     "graph_similar_sets": """WITH m AS (SELECT user_id::VARCHAR AS id, list_distinct(list(event_type || '-' || hour(ts))) AS bits, count(*)::DOUBLE AS w FROM events GROUP BY 1),
 s AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.bits, b.bits)) AS k, len(a.bits) AS na, len(b.bits) AS nb, a.w / b.w AS ratio FROM m a JOIN m b ON a.id < b.id)
 SELECT a, b, round(k / (na + nb - k), 6) AS similarity FROM s WHERE k / (na + nb - k) >= 0.4 AND ratio BETWEEN 0.8 AND 1.25""",
+    "graph_sequence_members": """WITH r AS (SELECT DISTINCT curated_id, topology_signature AS topology, CAST(canonical_sequence AS JSON)::VARCHAR[] AS a FROM curated_records_public WHERE curated_id IS NOT NULL AND topology_signature IS NOT NULL AND regexp_matches(trim(canonical_sequence), '^\\[.*\\]$'))
+SELECT DISTINCT 'SEQ-' || substr(sha256(topology || chr(31) || to_json(CASE WHEN starts_with(topology, 'circle_head_to_tail') AND len(a) > 0 THEN list_min(list_transform(range(len(a)), lambda i: list_concat(a[i + 1:], a[1:i]))) ELSE a END)), 1, 16) AS sequence_id, curated_id FROM r""",
     "graph_one_edit": f"WITH {_SEQ}, {_EDIT} SELECT a, b FROM ed",
     "graph_typed_edges": f"""WITH {_SEQ}, {_SIM}, {_EDIT}, u AS (SELECT a, b, 'ecfp4' AS t, similarity FROM sim WHERE similarity >= 0.8 UNION ALL SELECT a, b, 'exact_one_token_edit', NULL FROM ed)
 SELECT a, b, string_agg(DISTINCT t, '|' ORDER BY t) AS edge_types, round(max(similarity), 6) AS similarity FROM u GROUP BY a, b""",

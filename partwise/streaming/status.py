@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,13 +29,10 @@ def chain_gaps(events: DataFrame) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values("event_index", kind="stable")
-        out = []
-        for i in rows["event_index"]:
-            if i != last + 1:
-                out.append((key[0], int(i), int(last + 1)))
-            last = int(i)
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["identity", "event_index", "expected"])
+        at = np.sort(np.concatenate([b["event_index"].to_numpy(np.int64) for b in batches]))
+        expected = np.concatenate([[last], at[:-1]]) + 1
+        state.update((int(at[-1]),))
+        off = at != expected
+        yield pd.DataFrame({"identity": np.repeat(key[0], off.sum()), "event_index": at[off], "expected": expected[off]})
 
     return events.groupBy("identity").applyInPandasWithState(step, "identity string, event_index long, expected long", "last long", "append", GroupStateTimeout.NoTimeout)
