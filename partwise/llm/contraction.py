@@ -31,9 +31,9 @@ def contract(edges: DataFrame, vertices: DataFrame | None = None, max_rounds: in
     scratch = scratch or Scratch(spark, "contract")
     ends = edges.select("a", "b")
     linked = ends.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    e = scratch.write(linked.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct())
+    e = scratch.write_some(linked.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct())
     maps: list[DataFrame] = []
-    while not e.isEmpty():
+    while e is not None:
         if len(maps) == max_rounds:
             raise RuntimeError("contraction did not end")  # needs a broken source of hashes
         i = len(maps)
@@ -42,7 +42,7 @@ def contract(edges: DataFrame, vertices: DataFrame | None = None, max_rounds: in
         m = scratch.write(both.groupBy("x").agg(F.min("hy").alias("hy")).select("x", F.least(h("x"), "hy").alias("r")))
         maps.append(m)
         nxt = e.join(m.withColumnRenamed("r", "rx"), "x").select("rx", F.col("y").alias("x")).join(m, "x").filter("rx <> r")
-        nxt = scratch.write(nxt.select(F.least("rx", "r").alias("x"), F.greatest("rx", "r").alias("y")).distinct())
+        nxt = scratch.write_some(nxt.select(F.least("rx", "r").alias("x"), F.greatest("rx", "r").alias("y")).distinct())
         scratch.drop(e)
         e = nxt
     all_vertices = ends.select(F.col("a").alias("vertex")).unionAll(ends.select(F.col("b").alias("vertex")))

@@ -33,21 +33,21 @@ def hook_and_shortcut(edges: DataFrame, scratch: Scratch, jumps: int = 2, max_ro
     e = scratch.write(ends.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct())
     lone = e.filter("x = y").select("x", F.col("x").alias("p"))
     parents: list[DataFrame] = []
-    live = e.filter("x <> y")
-    while not live.isEmpty():
+    live = scratch.write_some(e.filter("x <> y"))
+    while live is not None:
         if len(parents) == max_rounds:
             raise RuntimeError("hooking did not end")
         both = live.select("x", "y").unionAll(live.select(F.col("y").alias("x"), F.col("x").alias("y")))
         p = scratch.write(both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("p")))
         for _ in range(jumps):  # every parent is itself a vertex with a parent
             hubs = scratch.write(p.select("p").distinct())
-            up = scratch.write(p.select(F.col("x").alias("p"), F.col("p").alias("_p")).join(hubs, "p").filter("p <> _p"))
-            if up.isEmpty():
+            up = scratch.write_some(p.select(F.col("x").alias("p"), F.col("p").alias("_p")).join(hubs, "p").filter("p <> _p"))
+            if up is None:
                 break
             p = scratch.write(p.join(up, "p", "left").select("x", F.coalesce("_p", "p").alias("p")))
         parents.append(p)
         lifted = live.join(p.withColumnRenamed("p", "px"), "x").select("px", F.col("y").alias("x")).join(p, "x").filter("px <> p")
-        live = scratch.write(lifted.select(F.least("px", "p").alias("x"), F.greatest("px", "p").alias("y")).distinct())
+        live = scratch.write_some(lifted.select(F.least("px", "p").alias("x"), F.greatest("px", "p").alias("y")).distinct())
     if not parents:
         return lone.toDF("vertex", "root").distinct()
     down = parents[-1]
