@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 #: There are this many heavy keys at least before a key counts as light, and twice as many as shuffle partitions.
 LEAST_HEAVY = 256
 SAMPLE_FRACTION = 0.05
+#: A key that is sampled less often is light: with so few rows it can't lengthen a task.
+LEAST_SAMPLED = 20
 
 
 def heavy_share(spark: SparkSession) -> float:
@@ -26,7 +28,7 @@ def heavy_share(spark: SparkSession) -> float:
 
 
 def heavy_keys(df: DataFrame, keys: Sequence[str], share: float | None = None, fraction: float = SAMPLE_FRACTION, seed: int = 17) -> DataFrame:
-    """The keys that hold at least ``share`` (default ``heavy_share``) of a sample, each with an int ``_slot``: at most 1 / share rows.
+    """The keys that hold at least ``share`` (default ``heavy_share``) of a sample and LEAST_SAMPLED of its rows, each with an int ``_slot``: at most 1 / share rows.
 
     Only that bounded list is gathered. Rows with a null key are left out.
     """
@@ -35,7 +37,7 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], share: float | None = None, f
     seen = Observation()
     counts = df.select(*keys).dropna().sample(False, fraction, seed).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).observe(seen, F.sum("_n").alias("all"))
     top = counts.orderBy(F.desc("_n"), *keys).limit(max(1, int(1 / share))).collect()
-    found = [r[:-1] for r in top if r["_n"] >= share * seen.get["all"]]
+    found = [r[:-1] for r in top if r["_n"] >= max(LEAST_SAMPLED, share * seen.get["all"])]
     schema = df.select(*keys).schema
     for f in schema.fields:
         f.nullable = True
