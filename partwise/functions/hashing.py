@@ -5,9 +5,12 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +35,75 @@ def id_set_hash(c: Column | str) -> Column:
     return F.sha2(F.when(F.size(ids) > 0, F.concat(F.array_join(ids, "\n"), F.lit("\n"))).otherwise(F.lit("")), 256)
 
 
+def _changes(b: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
+    """For each row but the first whether it differs from the row before in any of the columns; nulls are equal."""
+    out = np.zeros(max(0, b.num_rows - 1), bool)
+    for name in names:
+        c = b.column(name)
+        x, y = c.slice(1), c.slice(0, len(out))
+        same = pc.fill_null(pc.equal(x, y), False).to_numpy(zero_copy_only=False) | (x.is_null().to_numpy(zero_copy_only=False) & y.is_null().to_numpy(zero_copy_only=False))
+        out |= ~same
+    return out
+
+
+def _pieces(b: pa.RecordBatch, keys: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """The stretches of a sorted batch that have equal keys."""
+    at = [0, *(np.flatnonzero(_changes(b, keys)) + 1).tolist(), b.num_rows]
+    for i, j in zip(at, at[1:]):
+        if j > i:
+            yield b.slice(i, j - i)
+
+
+def id_set_hashes(df: DataFrame, keys: Sequence[str], ids: str, n: str = "n", h: str = "h") -> DataFrame:
+    """(keys, n, h): for each group the number of different non-null ids and their ``id_set_hash``. The ids must be text.
+
+    A group's set is never held in one place: rows are range-partitioned by keys and id
+    and sorted there, equal ones lie side by side, and each batch leaves its ids as a
+    piece of the text that is hashed. One task per group then reads the pieces in order.
+    """
+    ks, fields = [f"_k{i}" for i in range(len(keys))], [T.StructField(f"_k{i}", df.schema[k].dataType) for i, k in enumerate(keys)]
+    rows = df.select(*[F.col(k).alias(x) for k, x in zip(keys, ks)], F.col(ids).alias("_id"))
+    rows = rows.repartitionByRange(*ks, "_id").sortWithinPartitions(*ks, "_id")
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for b in batches:
+            for p in _pieces(b, ks):
+                c = p.column("_id").drop_null()
+                key = [p.column(k)[0].as_py() for k in ks]
+                if len(c):
+                    new = np.append(last != (key, c[0].as_py()), pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False))
+                    last = (key, c[-1].as_py())
+                    c = c.filter(pa.array(new.astype(bool)))
+                text = ("\n".join(c.to_pylist()) + "\n").encode() if len(c) else b""
+                yield pa.RecordBatch.from_arrays([*[p.column(k).slice(0, 1) for k in ks], pa.array([len(c)], pa.int64()), pa.array([text], pa.binary())], [*ks, "_n", "_text"])
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = key = None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*key, pa.array([count], pa.int64()), pa.array([whole.hexdigest()])], [*ks, n, h])
+
+        for b in batches:
+            for p in _pieces(b, ks):
+                now = [p.column(k)[0].as_py() for k in ks]
+                if now != last:
+                    if key:
+                        yield done()
+                    last, key, count, whole = now, [p.column(k).slice(0, 1) for k in ks], 0, hashlib.sha256()
+                count += pc.sum(p.column("_n")).as_py()
+                for t in p.column("_text"):
+                    whole.update(t.as_buffer())
+        if key:
+            yield done()
+
+    kept = T.StructType([*fields, T.StructField("_n", T.LongType()), T.StructField("_text", T.BinaryType())])
+    pieces = rows.mapInArrow(texts, kept).withColumn("_at", F.monotonically_increasing_id())  # range partitions are in order
+    whole = pieces.repartition(*ks).sortWithinPartitions(*ks, "_at").select(*ks, "_n", "_text")
+    out = whole.mapInArrow(hashes, T.StructType([*fields, T.StructField(n, T.LongType()), T.StructField(h, T.StringType())]))
+    return out.select(*[F.col(x).alias(k) for k, x in zip(keys, ks)], n, h)
+
+
 def ordered_ids_hash(ids: Column | str) -> Column:
     """SHA-256 of an array of ids in its own order, joined by line ends, repeats kept."""
     return F.sha2(F.array_join(ids, "\n"), 256)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from partwise.functions.hashing import frame_hash, id_set_hash
+from partwise.functions.hashing import frame_hash, id_set_hashes
 from partwise.plans.contracts import Violation, require_empty, require_finite, require_unique
 from partwise.plans.ranking import running_totals
 
@@ -120,8 +120,10 @@ def contract_roles(assigned: DataFrame, baskets: DataFrame) -> DataFrame:
     """(outer_fold, inner_basket, record, role) from records with their own fold (``fold``) and baskets per outer fold.
 
     ``baskets``: outer_fold, fold, inner_basket. In the contract of a basket its records
-    validate, those of other baskets fit, those of the outer fold test.
+    validate, those of other baskets fit, those of the outer fold test. A record becomes
+    a row of every contract, so records are spread over the tasks before that.
     """
+    assigned = assigned.repartition(int(assigned.sparkSession.conf.get("spark.sql.shuffle.partitions")), "record")
     b = baskets.select("outer_fold", "fold", "inner_basket")
     per = b.select("outer_fold", "inner_basket").distinct().withColumnRenamed("inner_basket", "contract_basket")
     train = assigned.join(b, "fold").join(per, "outer_fold").select("outer_fold", F.col("contract_basket").alias("inner_basket"), "record", F.when(F.col("inner_basket") == F.col("contract_basket"), "validation").otherwise("fit").alias("role"))
@@ -131,11 +133,14 @@ def contract_roles(assigned: DataFrame, baskets: DataFrame) -> DataFrame:
 
 def contract_manifest(roles: DataFrame) -> DataFrame:
     """Counts and id-set hashes of every role in each (outer_fold, inner_basket)."""
+    at = ["outer_fold", "inner_basket"]
+    per = id_set_hashes(roles, [*at, "role"], "record")
+    of = lambda role, c: F.max(F.when(F.col("role") == role, F.col(c)))
+    nothing = F.sha2(F.lit(""), 256)
     out = []
     for role in ("fit", "validation", "test"):
-        ids = F.when(F.col("role") == role, F.col("record"))
-        out += [F.count_distinct(ids).alias(f"n_{role}"), id_set_hash(ids).alias(f"{role}_sha256")]
-    return roles.groupBy("outer_fold", "inner_basket").agg(*out)
+        out += [F.coalesce(of(role, "n"), F.lit(0)).alias(f"n_{role}"), F.coalesce(of(role, "h"), nothing).alias(f"{role}_sha256")]
+    return per.groupBy(*at).agg(*out)
 
 
 def overlap_counts(records: DataFrame, fold: str, groups: Sequence[str]) -> DataFrame:
@@ -219,8 +224,7 @@ def contract_problems(roles: DataFrame, manifest: DataFrame) -> DataFrame:
     Counts and hashes are derived anew per role, not through ``contract_manifest``; a
     contract that only one side has is a problem of every role.
     """
-    ids = roles.select("outer_fold", "inner_basket", "role", "record").distinct()
-    again = ids.groupBy("outer_fold", "inner_basket", "role").agg(F.count("record").alias("n"), id_set_hash("record").alias("h"))
+    again = id_set_hashes(roles, ["outer_fold", "inner_basket", "role"], "record")
     stated = F.array(*[F.struct(F.lit(r).alias("role"), F.col(f"n_{r}").alias("_n"), F.col(f"{r}_sha256").alias("_h")) for r in ("fit", "validation", "test")])
     said = manifest.select("outer_fold", "inner_basket", F.explode(stated).alias("x")).select("outer_fold", "inner_basket", "x.*").filter("_n > 0")
     both = again.join(said, ["outer_fold", "inner_basket", "role"], "full")

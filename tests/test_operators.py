@@ -1,5 +1,6 @@
 """Operators on hand-checkable inputs."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -148,6 +149,24 @@ def test_contracts(spark):
     assert not bad.is_partition and bad.n_missing == 1 and bad.n_several == 1
 
 
+def test_contract_hashes_hold_no_set(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # sets, and equal ids, run over several batches
+    try:
+        rows = [(i % 3, i % 2, ("fit", "validation", "test")[i % 5 % 3], f"r{i * 7 % 90}\u00e9") for i in range(400)] * 2 + [(0, 0, "fit", None), (7, 1, "test", None)]
+        roles = spark.createDataFrame(rows, "outer_fold int, inner_basket int, role string, record string").repartition(5)
+        m = folds.contract_manifest(roles)
+        want = {}
+        for f, b, r, x in rows:
+            want.setdefault((f, b), {k: set() for k in ("fit", "validation", "test")})[r] |= {x} - {None}
+        text = lambda ids: hashlib.sha256("".join(f"{i}\n" for i in sorted(ids)).encode()).hexdigest()
+        assert {(x.outer_fold, x.inner_basket): [(x[f"n_{r}"], x[f"{r}_sha256"]) for r in ("fit", "validation", "test")] for x in m.collect()} == {k: [(len(s), text(s)) for s in v.values()] for k, v in want.items()}
+        bad = folds.contract_problems(roles, m.withColumn("n_fit", F.when(F.col("outer_fold") == 1, 0).otherwise(F.col("n_fit"))))
+        assert {(x.outer_fold, x.role, x.problem) for x in bad.collect()} == {(1, "fit", "not_in_manifest"), (7, "test", "not_in_manifest")}
+        assert "collect_set" not in bad._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_violations(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", float("inf"))], "k string, v double")
     for call in (
