@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,19 @@ from partwise.plans.lineage import Scratch
 from partwise.plans.ranking import running_totals
 
 
+#: Sets of one block at most, held out and for training, and codes of one block at most: a block lies in one task's memory.
+HELD_BLOCK, TRAIN_BLOCK, BLOCK_CODES = 4096, 16384, 1 << 22
+#: Counts of shared codes that are held at once, and columns of the bit matrices they are multiplied from.
+_COUNTS, _COLUMNS = 1 << 22, 2048
+
+
+def _coded(items: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, codes) for every item with bits: its bits as numbers in the order of frequency, ascending. Comparing and intersecting them is cheap, and a set's first ones are its rarest."""
+    bits = items.select("id", F.explode(F.array_distinct("bits")).alias("bit")).filter("bit IS NOT NULL")
+    codes = running_totals(bits.groupBy("bit").agg(F.count(F.lit(1)).alias("f")), [], [F.asc("f"), F.asc("bit")], position="code", scratch=scratch).select("bit", F.col("code").cast("int").alias("code"))
+    return bits.join(codes, "bit").groupBy("id").agg(F.array_sort(F.collect_list("code")).alias("codes"))
+
+
 def similar_sets(items: DataFrame, threshold: float, low: float = 0.0, high: float = float("inf"), short: bool = False) -> DataFrame:
     """(a, b, similarity) with a < b for sets of Tanimoto similarity at least ``threshold`` and weight ratio w(a) / w(b) within [low, high].
 
@@ -27,11 +43,7 @@ def similar_sets(items: DataFrame, threshold: float, low: float = 0.0, high: flo
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be above 0 and at most 1")
     scratch = Scratch(items.sparkSession, "similar")
-    bits = items.select("id", F.explode(F.array_distinct("bits")).alias("bit")).filter("bit IS NOT NULL")
-    # Numbers in the order of frequency: comparing and intersecting them is cheap, and a set's first ones are its rarest.
-    codes = running_totals(bits.groupBy("bit").agg(F.count(F.lit(1)).alias("f")), [], [F.asc("f"), F.asc("bit")], position="code", scratch=scratch).select("bit", F.col("code").cast("int").alias("code"))
-    sets = bits.join(codes, "bit").groupBy("id").agg(F.array_sort(F.collect_list("code")).alias("codes"))
-    sets = scratch.write(sets.join(items.select("id", F.col("weight").cast("double").alias("weight")), "id").withColumn("n", F.size("codes")))
+    sets = scratch.write(_coded(items, scratch).join(items.select("id", F.col("weight").cast("double").alias("weight")), "id").withColumn("n", F.size("codes")))
     first = sets.select("id", "n", F.explode(F.slice("codes", 1, F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1)).alias("code"))
     a, b = first.toDF("a", "na", "code"), first.toDF("b", "nb", "code")
     sizes = (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9) & (F.col("a") < F.col("b"))
@@ -174,17 +186,109 @@ def nearest_training(items: DataFrame, split: str, threshold: float) -> DataFram
     return held.join(best, "id", "left").select("id", F.col("m.other").alias("nearest"), (-F.col("m.s")).alias("similarity"))
 
 
+def _shared(h: Sequence[np.ndarray], t: Sequence[np.ndarray], n_held: int, n_train: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first column, counts): how many codes each held-out and each training set share, for some training sets at a time.
+
+    ``h``, ``t``: row and code of every code of the sets. Frequent codes are multiplied
+    as matrices, pairs that rare ones make are counted, whichever is less work.
+    """
+    common, at = np.unique(h[1]), np.unique(t[1])
+    common = np.intersect1d(common, at, assume_unique=True)
+    (hr, hc), (tr, tc) = ((r[k], np.searchsorted(common, c[k])) for r, c, k in ((*x, np.isin(x[1], common)) for x in (h, t)))
+    fh, ft = (np.bincount(c, minlength=len(common)).astype(float) for c in (hc, tc))
+    dense = 30 * (fh * ft) > n_held * n_train  # a multiplication takes a fraction of the time of a scattered addition
+    step = max(1, _COUNTS // n_held)
+    kind = np.float32 if len(common) < 1 << 24 else np.float64  # exact for whole numbers up to there
+    number = np.cumsum(dense) - 1
+    hd, td = dense[hc], dense[tc]
+    rows = hr[np.argsort(hc, kind="stable")]  # held-out sets by code
+    start, many = np.cumsum(fh).astype(int) - fh.astype(int), fh.astype(int)
+    for first in range(0, n_train, step):
+        width = min(step, n_train - first)
+        out = np.zeros((n_held, width), kind)
+        here = td & (tr >= first) & (tr < first + width)
+        for c in range(0, int(dense.sum()), _COLUMNS):
+            wide = min(_COLUMNS, int(dense.sum()) - c)
+            x, y = np.zeros((n_held, wide), kind), np.zeros((width, wide), kind)
+            k, j = number[hc] - c, number[tc] - c
+            k, j = hd & (k >= 0) & (k < wide), here & (j >= 0) & (j < wide)
+            x[hr[k], number[hc[k]] - c] = 1
+            y[tr[j] - first, number[tc[j]] - c] = 1
+            out += x @ y.T
+        col, code = tr[rare := ~td & (tr >= first) & (tr < first + width)] - first, tc[rare]
+        upto = np.cumsum(many[code])
+        for c in range(0, int(upto[-1]) if len(upto) else 0, _COUNTS):  # pairs of a held-out and a training set with a rare code, in lots of that many
+            pair = np.arange(c, min(c + _COUNTS, int(upto[-1])))
+            entry = np.searchsorted(upto, pair, side="right")
+            row = rows[start[code[entry]] + pair - (upto[entry] - many[code[entry]])]
+            out += np.bincount(row * width + col[entry], minlength=out.size).reshape(out.shape).astype(kind)
+        yield first, out
+
+
+def _block_nearest(held: pa.Table, train: pa.Table) -> pa.Table:
+    """(id, other, similarity): the most similar training set of each held-out set of two blocks, the smaller id of equals, if they share a code."""
+    train = train.sort_by("other")
+    h, t = (x.column("codes").combine_chunks() for x in (held, train))
+    (n, m), pairs = (np.asarray(x.value_lengths()) for x in (h, t)), [(np.repeat(np.arange(len(x)), np.asarray(x.value_lengths())), np.asarray(x.flatten())) for x in (h, t)]
+    best, at = np.zeros(len(n)), np.zeros(len(n), int)
+    for first, k in _shared(*pairs, len(n), len(m)) if len(n) and len(m) else ():
+        k = k.astype(float)
+        k /= (n[:, None] + m[None, first : first + k.shape[1]]) - k
+        top = k.argmax(1)
+        value = k[np.arange(len(n)), top]
+        better = value > best
+        best[better], at[better] = value[better], top[better] + first
+    found = best > 0
+    return pa.table({"id": held.column("id").filter(pa.array(found)), "other": train.column("other").take(pa.array(at[found])), "similarity": pa.array(best[found])})
+
+
+def _nearest_of(held: DataFrame, train: DataFrame, sizes: dict, near: bool) -> DataFrame:
+    """Best pairs of blocks whose bands of sizes lie within one of each other (``near``) or farther apart; every such pair of blocks is compared once.
+
+    ``sizes``: for held (False) and training sets (True) the number of blocks of each band.
+    """
+    blocks = lambda x: F.create_map(*[F.lit(v).cast("int") for kv in sizes[x].items() for v in kv])
+    own = lambda df, x: df.withColumn("b", F.pmod(F.xxhash64("id"), F.element_at(blocks(x), F.col("band"))).cast("int"))
+
+    def meet(df: DataFrame, x: bool) -> DataFrame:
+        apart = F.abs(F.col("_band") - F.col("band"))
+        out = own(df, x).withColumn("_band", F.explode(F.array(*[F.lit(k).cast("int") for k in sizes[not x]]))).filter(apart <= 1 if near else apart > 1)
+        return out.withColumn("_b", F.explode(F.sequence(F.lit(0), F.element_at(blocks(not x), F.col("_band")) - 1)))
+
+    h = meet(held, False).select("id", "codes", F.col("band").alias("hx"), F.col("b").alias("hb"), F.col("_band").alias("tx"), F.col("_b").alias("tb"))
+    t = meet(train, True).select(F.col("id").alias("other"), "codes", F.col("_band").alias("hx"), F.col("_b").alias("hb"), F.col("band").alias("tx"), F.col("b").alias("tb"))
+    keys = ["hx", "hb", "tx", "tb"]
+    kind = held.schema["id"].dataType.simpleString()
+    each = h.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInArrow(_block_nearest, f"id {kind}, other {kind}, similarity double")
+    return each.groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "other")).alias("m"))
+
+
 def nearest_training_exact(items: DataFrame, split: str, threshold: float) -> DataFrame:
     """The same without a least similarity; ``threshold`` only says what the fast pass covers. Null only for items that share no bit with any training item.
 
-    Items that the threshold pass leaves open meet every training item with which
-    they share a bit, and shared bits are counted pair by pair.
+    Only held-out sets meet training sets, equal sets as one, block by block; each pair
+    of blocks is a task of its own. Sets whose sizes rule the threshold out meet in a
+    second pass, for the items that the first leaves below it.
     """
-    near = Scratch(items.sparkSession, "nearest").write(nearest_training(items, split, threshold))
-    bits = items.select("id", split, F.explode(F.array_distinct("bits")).alias("bit")).filter("bit IS NOT NULL")
-    n = bits.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    held = bits.join(near.filter("nearest IS NULL"), "id", "left_semi").select("id", "bit")
-    train = bits.filter(F.col(split) == "train").select(F.col("id").alias("other"), "bit")
-    k = held.join(train, "bit").groupBy("id", "other").agg(F.count(F.lit(1)).alias("k")).join(n, "id").join(n.toDF("other", "m"), "other")
-    best = k.groupBy("id").agg(F.min(F.struct((-F.col("k") / (F.col("n") + F.col("m") - F.col("k"))).alias("s"), "other")).alias("x"))
-    return near.join(best, "id", "left").select("id", F.coalesce("nearest", "x.other").alias("nearest"), F.coalesce("similarity", -F.col("x.s")).alias("similarity"))
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold must be above 0 and at most 1")
+    scratch = Scratch(items.sparkSession, "nearest")
+    given = scratch.write(items.select("id", (F.col(split) == "train").alias("train"), "bits").filter("train IS NOT NULL"))
+    sets = scratch.write(_coded(given, scratch).join(given.select("id", "train"), "id"))
+    wide = max(0.1, -math.log(threshold) * (1 + 1e-9))  # sizes within the threshold lie in one band or in neighbouring ones
+    classes = scratch.write(sets.groupBy("train", "codes").agg(F.min("id").alias("id")).withColumn("band", F.floor(F.log(F.size("codes")) / wide).cast("int")))
+    sizes = {False: {}, True: {}}
+    for r in classes.groupBy("train", "band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("codes")).alias("codes")).orderBy("train", "band").collect():  # a row per band
+        sizes[r.train][r.band] = max(-(-r.n // (TRAIN_BLOCK if r.train else HELD_BLOCK)), -(-r.codes // BLOCK_CODES))
+    ids = given.filter("NOT train").select("id")
+    if not sizes[False] or not sizes[True]:
+        return ids.select("id", F.lit(None).cast(ids.schema["id"].dataType).alias("nearest"), F.lit(None).cast("double").alias("similarity"))
+    held, train = (classes.filter(x).select("id", "codes", "band") for x in ("NOT train", "train"))
+    best = scratch.write(held.join(_nearest_of(held, train, sizes, True), "id", "left").select("id", "m"))
+    if any(abs(a - b) > 1 for a in sizes[False] for b in sizes[True]):
+        low = best.filter(F.col("m").isNull() | (-F.col("m.s") < threshold))
+        more = scratch.write(_nearest_of(scratch.write(held.join(low, "id", "left_semi")), train, sizes, False)).withColumnRenamed("m", "_m")
+        best = best.join(more, "id", "left").select("id", F.least("m", "_m").alias("m"))
+    of = sets.filter("NOT train").select(F.col("id").alias("item"), "codes").join(held.drop("band"), "codes").select("item", "id")
+    found = of.join(best, "id").select(F.col("item").alias("id"), "m")
+    return ids.join(found, "id", "left").select("id", F.col("m.other").alias("nearest"), (-F.col("m.s")).alias("similarity"))

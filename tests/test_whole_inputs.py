@@ -100,6 +100,25 @@ def test_nearest_training_below_the_threshold(spark):
     assert got == want and any(s and s < 0.4 for _, s in want.values())
 
 
+def test_nearest_training_meets_training_items_alone(spark, monkeypatch):
+    monkeypatch.setattr(graph, "similar_sets", lambda *_, **__: (_ for _ in ()).throw(AssertionError("all pairs of items")))
+    for name, n in (("HELD_BLOCK", 9), ("TRAIN_BLOCK", 13), ("BLOCK_CODES", 200)):
+        monkeypatch.setattr(graph, name, n)
+    r = random.Random(3)
+    bits = [r.sample(range(30), r.randrange(15, 25)) for _ in range(30)] + [r.sample(range(60), r.randrange(1, 5)) for _ in range(30)] + [[70], [71, 72], []]
+    rows = [(f"i{i:02}", b + b[:1], 1.0, "test" if i % 3 == 0 else None if i % 20 == 1 else "train") for i, b in enumerate(bits + bits[::2])]  # a bit twice, sets twice
+    items = spark.createDataFrame(rows, "id string, bits array<int>, weight double, split string")
+    want = {}
+    for i, b, _, s in rows:
+        if s == "test":
+            best = min((-len({*b} & {*o}) / max(1, len({*b} | {*o})), j) for j, o, _, k in rows if k == "train")
+            want[i] = (best[1], -best[0]) if best[0] else (None, None)
+    for t in (0.3, 0.9, 1.0):
+        assert {x.id: (x.nearest, x.similarity) for x in graph.nearest_training_exact(items, "split", t).collect()} == want
+    alone = graph.nearest_training_exact(items.filter("split = 'test'"), "split", 0.4).collect()
+    assert {x.id for x in alone} == set(want) and not any(x.nearest for x in alone)
+
+
 def test_inventory_names_every_file(spark, tmp_path):
     folder = tmp_path / "tables"
     (folder / "parts.parquet").mkdir(parents=True)
