@@ -49,6 +49,18 @@ def masks(a: Column | str, cyclic: Column) -> Column:
     return F.when(F.size(a) > 0, F.array_distinct(each)).otherwise(F.array().cast("array<array<string>>"))
 
 
+def mask_buckets(a: Column | str, topology: Column | str, cyclic: Column) -> Column:
+    """For each position a hash of the topology and all other tokens in their order: from the one after it onwards where ``cyclic``, else with its place.
+
+    Sequences whose masks are equal share a hash, for a circle has only one rotation that begins at its mask.
+    """
+    a, topology = _c(a), _c(topology)
+    n = F.size(a)
+    before, after = lambda i: F.slice(a, F.lit(1), i), lambda i: F.slice(a, i + 2, n)
+    key = lambda i: F.when(cyclic, F.xxhash64(topology, F.lit(-1), F.concat(after(i), before(i)))).otherwise(F.xxhash64(topology, i, F.concat(before(i), after(i))))
+    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(0), n - 1), key))).otherwise(F.array().cast("array<long>"))
+
+
 def one_token_edit(a: Column | str, b: Column | str, topology_a: Column | str, topology_b: Column | str) -> Column:
     """Same topology and length and exactly one differing token, under any rotation of b for head-to-tail circles."""
     a, b, ta, tb = map(_c, (a, b, topology_a, topology_b))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partwise.functions.hashing import stable_id
-from partwise.functions.sequences import masks, one_token_edit
+from partwise.functions.sequences import mask_buckets, one_token_edit
 from partwise.plans.lineage import Scratch
 from partwise.plans.ranking import running_totals
 
@@ -36,9 +36,9 @@ def similar_sets(items: DataFrame, threshold: float, low: float = 0.0, high: flo
     from rare to frequent, and two sets that are similar enough share one of their
     first n - ceil(threshold n) + 1 bits, so only those are joined, and only between
     sets whose sizes allow the threshold. Sets without bits are similar to none.
-    ``short`` says that sets have few bits: they then travel with each of their first bits,
-    and a pair is verified where it meets on its rarest shared bit, so that candidates
-    aren't shuffled. The result is the same.
+    ``short`` says that sets have few bits: pairs are then found by equal parts of their
+    sets (see ``_part_pairs``), of which far fewer meet in vain when the threshold is high
+    and no bit is rare. The result is the same.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be above 0 and at most 1")
@@ -47,26 +47,49 @@ def similar_sets(items: DataFrame, threshold: float, low: float = 0.0, high: flo
     first = sets.select("id", "n", F.explode(F.slice("codes", 1, F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1)).alias("code"))
     a, b = first.toDF("a", "na", "code"), first.toDF("b", "nb", "code")
     sizes = (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9) & (F.col("a") < F.col("b"))
-    if short:
-        n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        whole = first.drop("n").join(sets, "id").select("id", "codes", "weight", "n", "code").repartition(n, "code")  # a fixed number: the pairs are many more than the rows
-        full = whole.toDF("a", "ca", "wa", "na", "code").join(whole.toDF("b", "cb", "wb", "nb", "code"), "code").filter(sizes)
-        shared = F.array_intersect("ca", "cb")  # in the order of ca, so the rarest comes first
-        full = full.filter((F.size(shared) >= F.lit(threshold) / (1 + F.lit(threshold)) * (F.col("na") + F.col("nb")) - 1e-9) & (F.element_at(shared, 1) == F.col("code"))).withColumn("_i", F.size(shared))
-    else:
-        pairs = a.join(b, "code").filter(sizes).select("a", "b").distinct()
-        full = pairs.join(sets.toDF("a", "ca", "wa", "na"), "a").join(sets.toDF("b", "cb", "wb", "nb"), "b").withColumn("_i", F.size(F.array_intersect("ca", "cb")))
+    pairs = _part_pairs(sets, threshold) if short else a.join(b, "code").filter(sizes).select("a", "b").distinct()
+    full = pairs.join(sets.toDF("a", "ca", "wa", "na"), "a").join(sets.toDF("b", "cb", "wb", "nb"), "b").withColumn("_i", F.size(F.array_intersect("ca", "cb")))
     full = full.withColumn("similarity", F.col("_i") / (F.col("na") + F.col("nb") - F.col("_i")))
     ratio = F.col("wa") / F.nullif("wb", F.lit(0.0))
     inside = (ratio >= low) & (ratio <= high) if (low, high) != (0.0, float("inf")) else F.lit(True)
     return full.filter((F.col("similarity") >= threshold) & inside).select("a", "b", "similarity")
 
 
+def _part_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) with a < b, once each, among which are all pairs that reach the threshold; ``sets``: id, codes, weight, n.
+
+    Sets of given sizes that are similar enough differ in e codes at most. Of e // 2 + 1
+    parts, by the codes' remainders, one at least then differs in one code at most: it is
+    the same in both, or that of one without one code is that of the other. So each part
+    meets equal ones, and ones that lack one code of it. A word with a bit for each code
+    shows nearly all other meetings to be vain before sets are joined.
+    """
+    least = lambda p, q: math.ceil(threshold / (1 + threshold) * (p + q) - 1e-9)
+    ns = sorted(r.n for r in sets.select("n").distinct().collect())  # different sizes, not sets
+    near = {q: [p for p in ns if p <= q and least(p, q) <= p] for q in ns}
+    parts = {q: max(p + q - 2 * least(p, q) for p in near[q]) // 2 + 1 for q in ns}
+    if not ns:
+        return sets.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    of = F.create_map(*[x for n in ns for x in (F.lit(n), F.array(*[F.lit(k) for k in sorted({parts[q] for q in ns if n in near[q]})]))])
+    parts_of = F.create_map(*[F.lit(x) for kv in parts.items() for x in kv])
+    word = F.expr("aggregate(codes, 0L, (s, c) -> s | shiftleft(1L, c % 64))")
+    each = F.transform(F.sequence(F.lit(0), F.col("many") - 1), lambda k: F.filter("codes", lambda c: c % F.col("many") == k))
+    rows = sets.select("id", "n", "codes", word.alias("word"), F.explode(F.element_at(of, F.col("n"))).alias("many")).select("id", "n", "word", "many", F.posexplode(each).alias("k", "part"))
+    whole = rows.select("id", "n", "word", "many", F.xxhash64("many", "k", "part").alias("key"))
+    fewer = F.transform("part", lambda x: F.xxhash64("many", "k", F.array_remove("part", x)))
+    lacking = rows.select("id", "n", "word", F.explode(fewer).alias("key"))
+    other = whole.select("id", "n", "word", "key", F.lit(False).alias("lacks")).unionByName(lacking.withColumn("lacks", F.lit(True)))
+    met = whole.toDF("a", "na", "wa", "many", "key").join(other.toDF("b", "nb", "wb", "key", "lacks"), "key")
+    differ = F.col("na") + F.col("nb") - 2 * F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9)
+    fit = (F.col("many") == F.element_at(parts_of, F.greatest("na", "nb"))) & (F.bit_count(F.col("wa").bitwiseXOR(F.col("wb"))) <= differ)
+    return met.filter((F.col("a") < F.col("b")) | (F.col("lacks") & (F.col("a") != F.col("b")))).filter(fit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def one_edit_pairs(items: DataFrame) -> DataFrame:
     """(a, b) with a < b that differ in exactly one token; ``items``: id, tokens, topology.
 
     Equal sequences are one class, by their least id; classes meet in the buckets of
-    their masks (one token replaced by ``*``), per topology and length, as ids alone,
+    their masks (all tokens but one), per topology and length, as ids alone,
     and every meeting is verified. Members of a class are then paired with those of
     the other, and equal sequences with each other where a rotation is one edit away.
     """
@@ -74,7 +97,7 @@ def one_edit_pairs(items: DataFrame) -> DataFrame:
     given = scratch.write(items.select("id", "tokens", "topology").dropna())
     classes = scratch.write(given.groupBy("tokens", "topology").agg(F.min("id").alias("c")))
     cyc = F.col("topology").startswith("circle_head_to_tail")
-    m = scratch.write(classes.withColumn("mask", F.explode(masks("tokens", cyc))).select("c", F.xxhash64("topology", F.to_json("mask")).alias("bucket")).distinct())
+    m = scratch.write(classes.select("c", F.explode(mask_buckets("tokens", "topology", cyc)).alias("bucket")))
     meet = m.toDF("a", "bucket").join(m.toDF("b", "bucket"), "bucket").filter("a <= b").select("a", "b").distinct()
     full = meet.join(classes.toDF("ta", "pa", "a"), "a").join(classes.toDF("tb", "pb", "b"), "b")
     near = scratch.write(full.filter(one_token_edit("ta", "tb", "pa", "pb")).select("a", "b"))

@@ -50,6 +50,32 @@ def test_short_sets_give_the_same_pairs(spark):
         assert got[0] and got[0] == got[1]
 
 
+def test_short_sets_meet_by_their_parts(spark, monkeypatch):
+    r = random.Random(6)
+    base = [r.sample(range(120), r.randrange(1, 30)) for _ in range(60)]
+    near = [[x for x in b if r.random() > 0.1] + r.sample(range(120), r.randrange(3)) for b in base for _ in range(2)]
+    items = spark.createDataFrame([(f"s{i:03}", b, 1.0) for i, b in enumerate(base + near)], "id string, bits array<int>, weight double")
+    met = []
+    found = graph._part_pairs
+    monkeypatch.setattr(graph, "_part_pairs", lambda *a: met.append(found(*a)) or met[-1])
+    for t in (0.6, 0.8, 1.0):
+        got = {(x.a, x.b): x.similarity for x in graph.similar_sets(items, t, short=True).collect()}
+        sets = {f"s{i:03}": {*b} for i, b in enumerate(base + near) if b}
+        want = {(a, b): len(x & y) / len(x | y) for (a, x), (b, y) in itertools.combinations(sets.items(), 2) if len(x & y) / len(x | y) >= t}
+        assert want and got == want
+    assert met[1].count() < 400  # at 0.8; a bit for each of few rare ones makes thousands meet
+
+
+def test_edits_meet_under_any_rotation(spark, monkeypatch):
+    monkeypatch.setattr(graph, "masks", None, raising=False)  # the least rotation of every mask isn't formed
+    r = random.Random(7)
+    seqs = [(f"q{i:03}", [r.choice("AB*") for _ in range(r.randrange(0, 6))], r.choice(["circle_head_to_tail", "lariat"])) for i in range(120)]
+    spins = lambda t, k: [t[i:] + t[:i] for i in range(len(t))] if k.startswith("circle") else [t]
+    want = {(i, j) for (i, t, k), (j, u, m) in itertools.combinations(seqs, 2) if k == m and len(t) == len(u) and any(sum(x != y for x, y in zip(t, s)) == 1 for s in spins(u, k))}
+    got = graph.one_edit_pairs(spark.createDataFrame(seqs, "id string, tokens array<string>, topology string")).collect()
+    assert want and {(x.a, x.b) for x in got} == want and len(got) == len(want)
+
+
 def union_find(edges):
     root = {}
 
