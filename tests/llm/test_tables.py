@@ -247,6 +247,21 @@ def test_best_rows_decide_under_the_prior(spark):
     assert fuse(e, c, ["year"], prior=LEAD).count() == 0
 
 
+def test_p2_found_forms_no_estimates(spark, monkeypatch):
+    from partwise.llm import table_queries
+
+    r = random.Random(5)
+    texts = ["2001", "2002", None, "na"]
+    rows = [(r.choice(["g1", "g2", "g3", f"h{i}"]), r.choice([f"P:{i}", f"Q{i}x", "none"]), r.choice(texts), r.choice(texts), r.choice([None, datetime(2024, 1, r.randrange(1, 9))]), r.choice(["included", "x"]), r.choice([None, True]), None, 0, 0) for i in range(200)]
+    m, c = manifest(spark, rows)
+    m = m.withColumns({"topology_signature": F.lit(None).cast("string"), "canonical_sequence": F.col("year")})
+    want = {(x.group, x.field_name, x.raw_id) for x in fuse(m, c, table_queries.FIELDS, prior=LEAD).filter("several").collect()}
+    monkeypatch.setattr(table_queries, "_table", lambda spark, sf, name: m if name == "curation_manifest" else c)
+    monkeypatch.setattr(table_queries, "fuse", lambda *_: (_ for _ in ()).throw(AssertionError("a fusion without effect")))
+    got = [tuple(x) for x in table_queries.p2_found(spark, "").collect()]
+    assert want and set(got) == want and len(got) == len(want)
+
+
 def test_heavy_groups_come_out_as_light_ones(spark, monkeypatch):
     from partwise.llm import fusion
 
